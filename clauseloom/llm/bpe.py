@@ -12,9 +12,11 @@ import numpy as np
 from .batches import gather
 
 #: Distinct words that a worker keeps with their ids before it starts over.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 350_000
+#: Stands between the pieces of a text; a text that holds it is encoded whole.
+_CUT = "\x01"
 #: White space that a cut at single spaces could tear apart.
-_RUN = re.compile(r"\s\s")
+_RUN = re.compile(r"\s\s|\x01")
 
 
 class _Numbered(dict):
@@ -28,9 +30,11 @@ class _Numbered(dict):
 class BpeEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    A byte-level pre-tokenizer always starts a new token at a lone space, so a text can
-    be cut there and every distinct word encoded once. Texts with adjoining white space
-    go through the library whole. Strings of special tokens are ordinary text.
+    A byte-level pre-tokenizer always starts a new token at a lone space, at both sides of a
+    lone line end, so a text can be cut there and every distinct piece encoded once. New
+    pieces go through the library on end; as each id stands for known bytes, the pieces' sizes
+    say where one ends. Texts with adjoining white space are encoded whole. Strings of
+    special tokens are ordinary text.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -41,10 +45,11 @@ class BpeEncoder:
         self._tokenizer.encode_special_tokens = True
         self._cache_words = cache_words
         self.vocabulary = self._tokenizer.get_vocab_size()
+        # a byte-level vocabulary writes each byte as one character
+        self._bytes = np.array([len(self._tokenizer.id_to_token(n) or "") for n in range(self.vocabulary)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        # a word stands for itself after a space; a line's first word keeps its line end; after a leading space stands text that follows nothing
         self._known = _Numbered()
         self._ids = np.zeros(0, np.int32)
         self._starts = np.zeros(0, np.int64)
@@ -52,11 +57,19 @@ class BpeEncoder:
 
     def _learn(self) -> None:
         keys = list(self._known)[len(self._lengths):]
-        found = [e.ids for e in self._tokenizer.encode_batch_fast([k[1:] if k[:1] == " " else k if k[:1] == "\n" else " " + k for k in keys], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
-        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
-        self._lengths = np.concatenate([self._lengths, lengths])
+        joined = [n for n, k in enumerate(keys) if k[:1] == " " and k[1:2].isalpha() and k[-1:].strip()]
+        others = sorted(set(range(len(keys))).difference(joined))
+        parts = [joined[n : n + 1000] for n in range(0, len(joined), 1000)]
+        found = self._tokenizer.encode_batch_fast(["".join([keys[n] for n in p]) for p in parts] + [keys[n] for n in others], add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        order = np.array(joined + others, np.int64)
+        sizes = np.fromiter((len(keys[n].encode()) for n in order), np.int64, len(order))
+        ends = np.searchsorted(np.cumsum(self._bytes[flat]), np.cumsum(sizes), side="right")
+        starts = np.concatenate([[0], ends[:-1]])
+        own_starts, own_lengths = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        own_starts[order], own_lengths[order] = len(self._ids) + starts, ends - starts
+        self._starts = np.concatenate([self._starts, own_starts])
+        self._lengths = np.concatenate([self._lengths, own_lengths])
         self._ids = np.concatenate([self._ids, flat])
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +80,9 @@ class BpeEncoder:
         counts = []
         for text in texts:
             if _RUN.search(text):
-                cut = [" " + text]
+                cut = [text]
             else:
-                cut = text.replace("\n", " \n").split(" ")
-                cut[0] = " " + cut[0]
+                cut = text.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}").split(_CUT)
             words += cut
             counts.append(len(cut))
         at = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
