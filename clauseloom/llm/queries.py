@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .flac import encode_flac, flac_features
+from .huffman import read_huffman, write_huffman
 from .packing import pack_power_of_two
+from .storage import scratch_path
 
 
 def bpe_file() -> str:
@@ -22,6 +25,16 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(docs, bpe_file(), with_ids=False)
 
 
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "huffman")
+    write_huffman(table(spark, sf_dir, "documents"), path, bpe_file())
+    return read_huffman(spark, path, with_ids=False)
+
+
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_features(encode_flac(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
