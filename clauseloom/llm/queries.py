@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .flac import encode_flac, flac_features
 from .huffman import read_huffman, write_huffman
+from .licenses import license_digest, license_oracle, scan_licenses
 from .packing import pack_power_of_two
+from .secrets import scan_secrets, secret_digest, secret_oracle
 from .storage import scratch_path
 
 
@@ -25,6 +27,14 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(docs, bpe_file(), with_ids=False)
 
 
+def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "huffman")
     write_huffman(table(spark, sf_dir, "documents"), path, bpe_file())
@@ -40,4 +50,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle()}
