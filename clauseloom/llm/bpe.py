@@ -1,98 +1,170 @@
-"""Byte-level BPE ids by the ``tokenizers`` library, each distinct word once."""
+"""Byte-level BPE ids by the ``tokenizers`` library, each distinct piece of text once."""
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
-from .batches import gather
+from .batches import gather, mix, utf8
 
-#: Distinct words that a worker keeps with their ids before it starts over.
-CACHE_WORDS = 350_000
-#: Stands between the pieces of a text; a text that holds it is encoded whole.
-_CUT = "\x01"
-#: White space that a cut at single spaces could tear apart.
-_RUN = re.compile(r"\s\s|\x01")
+#: Distinct pieces, and ids of theirs, that a worker keeps before it starts over.
+CACHE_PIECES, CACHE_IDS = 1_200_000, 8_000_000
+#: Bytes of new pieces that go through the library on end.
+JOIN = 4096
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-class _Numbered(dict):
-    """Gives every key the next number when it is first looked up."""
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+class PrefixHash:
+    """Two 64-bit polynomial hashes of any run of a byte array, from running sums."""
+
+    def __init__(self, data: np.ndarray):
+        self._sums, self._back = [], []
+        # odd bases have inverses, so a run's sum can be moved to the origin
+        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            power, inverse = _powers(base, len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+            self._sums.append(sums)
+            self._back.append(inverse)
+
+    def runs(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(mix((s[ends] - s[starts]) * b[starts]) for s, b in zip(self._sums, self._back))
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        n = max(n, 1 << 20) * 5 // 4
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            row = np.full(n, b, np.uint64)
+            row[0] = 1
+            both.append(np.cumprod(row))
+        _POWERS[base] = tuple(both)
+    return _POWERS[base][0][:n], _POWERS[base][1][:n]
+
+
+def _unsplit(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which rows hold adjoining ASCII white space, or white space beyond ASCII: a cut at spaces could change their ids."""
+    space = _SPACE[data]
+    at = [np.flatnonzero(space[1:] & space[:-1])]
+    high = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(high):
+        one, two = (np.concatenate([data, np.zeros(2, np.uint8)])[high + k] for k in (1, 2))
+        lead = data[high]
+        wide = (lead == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (lead == 0xE1) & (one == 0x9A) & (two == 0x80) | (lead == 0xE3) & (one == 0x80) & (two == 0x80)
+        wide |= (lead == 0xE2) & ((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)) | (one == 0x81) & (two == 0x9F))
+        at.append(high[wide])
+    rows = np.searchsorted(bounds, np.concatenate(at), side="right") - 1
+    out = np.zeros(len(bounds) - 1, bool)
+    out[rows] = True
+    return out
 
 
 class BpeEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    A byte-level pre-tokenizer always starts a new token at a lone space, at both sides of a
-    lone line end, so a text can be cut there and every distinct piece encoded once. New
-    pieces go through the library on end; as each id stands for known bytes, the pieces' sizes
-    say where one ends. Texts with adjoining white space are encoded whole. Strings of
-    special tokens are ordinary text.
+    A byte-level pre-tokenizer always starts a new token at a lone space, and at both sides of a
+    lone line end, so a text can be cut there and every distinct piece encoded once. Pieces are
+    known by two 64-bit hashes. New ones go through the library on end; as each id
+    stands for known bytes, the pieces' sizes say where one ends. Texts with other white space
+    are one piece. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._cache_words = cache_words
         self.vocabulary = self._tokenizer.get_vocab_size()
         # a byte-level vocabulary writes each byte as one character
         self._bytes = np.array([len(self._tokenizer.id_to_token(n) or "") for n in range(self.vocabulary)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self._known = _Numbered()
-        self._ids = np.zeros(0, np.int32)
+        self._hash = np.zeros(0, np.uint64)  # sorted, and in the same order:
+        self._check = np.zeros(0, np.uint64)
         self._starts = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
+        self._ids = np.zeros(0, np.int32)
 
-    def _learn(self) -> None:
-        keys = list(self._known)[len(self._lengths):]
-        joined = [n for n, k in enumerate(keys) if k[:1] == " " and k[1:2].isalpha() and k[-1:].strip()]
-        others = sorted(set(range(len(keys))).difference(joined))
-        parts = [joined[n : n + 1000] for n in range(0, len(joined), 1000)]
-        found = self._tokenizer.encode_batch_fast(["".join([keys[n] for n in p]) for p in parts] + [keys[n] for n in others], add_special_tokens=False)
-        flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
-        order = np.array(joined + others, np.int64)
-        sizes = np.fromiter((len(keys[n].encode()) for n in order), np.int64, len(order))
-        ends = np.searchsorted(np.cumsum(self._bytes[flat]), np.cumsum(sizes), side="right")
-        starts = np.concatenate([[0], ends[:-1]])
-        own_starts, own_lengths = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        own_starts[order], own_lengths[order] = len(self._ids) + starts, ends - starts
-        self._starts = np.concatenate([self._starts, own_starts])
-        self._lengths = np.concatenate([self._lengths, own_lengths])
-        self._ids = np.concatenate([self._ids, flat])
-
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end (int32), with ``end_id`` after each, and the bounds of each text's ids."""
-        if len(self._known) > self._cache_words:
+    def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces on end, in the order given, and how many each has."""
+        sizes = ends - starts
+        last = data[np.maximum(ends - 1, 0)] if len(data) else np.zeros(len(ends), np.uint8)
+        joins = ~whole & (sizes > 1)
+        joins[joins] = data[starts[joins]] == 32
+        joins &= ~_SPACE[last]
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        flat = gather(data, starts[order], sizes[order]).tobytes()
+        reach = np.cumsum(sizes[order])
+        own = int(joins.sum())
+        cuts = np.flatnonzero(np.diff(reach[:own] // JOIN, append=-1)) + 1 if own else []
+        edges = [0, *reach[np.asarray(cuts, np.int64) - 1].tolist(), *reach[own:].tolist()]
+        texts = [flat[a:b].decode() for a, b in zip(edges, edges[1:])]
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+        stop = np.searchsorted(np.cumsum(self._bytes[ids]), reach, side="right")
+        begin = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+        counts = np.empty(len(order), np.int64)
+        counts[order] = stop - begin
+        first = np.empty(len(order), np.int64)
+        first[order] = begin
+        return gather(ids, first, counts), counts
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end (int32), with ``end_id`` after each, and the bounds of each text's ids. Null texts are empty."""
+        data, bounds = utf8(texts)
+        if len(self._hash) > CACHE_PIECES or len(self._ids) > CACHE_IDS:
             self._forget()
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            if _RUN.search(text):
-                cut = [text]
-            else:
-                cut = text.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}").split(_CUT)
-            words += cut
-            counts.append(len(cut))
-        at = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
-        self._learn()
-        lengths = self._lengths[at]
-        flat = gather(self._ids, self._starts[at], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        uncut = _unsplit(data, bounds)
+        line = np.flatnonzero(data == 10)
+        cuts = np.concatenate([np.flatnonzero(data == 32), line, line + 1])
+        cuts = cuts[cuts < len(data)]
+        cuts = cuts[~uncut[np.searchsorted(bounds, cuts, side="right") - 1]]
+        starting = np.zeros(len(data) + 1, bool)
+        starting[cuts] = True
+        starting[bounds[:-1]] = True
+        starts = np.flatnonzero(starting[:-1])
+        ends = np.append(starts[1:], bounds[-1]) if len(starts) else starts
+        row = np.searchsorted(bounds, starts, side="right") - 1
+        hashes, checks = PrefixHash(data).runs(starts, ends)
+        code, distinct = pd.factorize(hashes)
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        if (checks[first][code] != checks).any():
+            raise RuntimeError("two pieces share a hash")
+        at = np.minimum(np.searchsorted(self._hash, distinct), max(len(self._hash) - 1, 0))
+        known = (self._hash[at] == distinct) & (self._check[at] == checks[first]) if len(self._hash) else np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            pick = first[new]
+            ids, counts = self._encode_new(data, starts[pick], ends[pick], uncut[row[pick]])
+            begin = len(self._ids) + np.cumsum(counts) - counts
+            order = np.argsort(distinct[new])
+            place = np.searchsorted(self._hash, distinct[new][order])
+            self._hash = np.insert(self._hash, place, distinct[new][order])
+            self._check = np.insert(self._check, place, checks[pick][order])
+            self._starts = np.insert(self._starts, place, begin[order])
+            self._lengths = np.insert(self._lengths, place, counts[order])
+            self._ids = np.concatenate([self._ids, ids])
+            at = np.searchsorted(self._hash, distinct)
+        lengths = self._lengths[at][code]
+        flat = gather(self._ids, self._starts[at][code], lengths)
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, bounds)]
         if end_id is None:
-            return flat, ends
-        return np.insert(flat, ends[1:], end_id), ends + np.arange(len(ends))
+            return flat, upto
+        return np.insert(flat, upto[1:], end_id), upto + np.arange(len(upto))
 
 
 @lru_cache(maxsize=1)

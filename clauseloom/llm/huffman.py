@@ -121,7 +121,7 @@ def tokenized_blocks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
 
         for batch in text_slices(batches, "text"):
             schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(batch.schema.field("key").type)), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("wide", pa.bool_())])
-            flat, bounds = bpe.encode(batch["text"].to_pylist(), end_id)
+            flat, bounds = bpe.encode(batch["text"], end_id)
             size = sum(counts)
             for k, a, b in zip(batch["key"].to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 keys.append(k)

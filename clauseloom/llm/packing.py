@@ -55,7 +55,7 @@ def pack_power_of_two(
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer)
         for batch in text_slices(batches, "text"):
-            flat, bounds = bpe.encode(batch["text"].to_pylist(), end_id)
+            flat, bounds = bpe.encode(batch["text"], end_id)
             ids = flat.astype("<u4")
             counts = np.diff(bounds)
             row, start, length = decompose(counts, max_tokens)

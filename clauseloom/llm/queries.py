@@ -10,6 +10,7 @@ from .licenses import license_digest, license_oracle, scan_licenses
 from .packing import pack_power_of_two
 from .secrets import scan_secrets, secret_digest, secret_oracle
 from .storage import scratch_path
+from .vectors import link_vectors, vector_oracle
 
 
 def bpe_file() -> str:
@@ -35,6 +36,10 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op8_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "huffman")
     write_huffman(table(spark, sf_dir, "documents"), path, bpe_file())
@@ -50,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle()}
+    return {"op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle(), "op8_pca_tiles": vector_oracle()}
