@@ -8,6 +8,7 @@ from .flac import encode_flac, flac_features
 from .huffman import read_huffman, write_huffman
 from .licenses import license_digest, license_oracle, scan_licenses
 from .packing import pack_power_of_two
+from .partenum import jaccard_groups
 from .quality import score_quality, train_quality
 from .secrets import scan_secrets, secret_digest, secret_oracle
 from .storage import scratch_path
@@ -34,6 +35,10 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
