@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import mix
 from .components import connected_components
 from .storage import staged
 
@@ -22,6 +23,8 @@ from .storage import staged
 TILE = 1024
 #: Rounds of stars around a random node, after the one around the smallest.
 ROUNDS = 2
+#: Cells of the bitmap that says which rows are read again.
+CELLS = 1 << 23
 #: 64-bit words of a parity sketch.
 WORDS = 8
 BITS = [f"b{n}" for n in range(WORDS)]
@@ -97,24 +100,60 @@ def _tile_pairs(mixed: DataFrame, sketches: DataFrame, may_link: Callable, tile:
     return facing.select("tiles").mapInArrow(compare, "a long, b long").distinct()
 
 
-def bucket_links(keys: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame], may_link: Callable, tile: int = TILE) -> DataFrame:
+def merged_keys(row: np.ndarray, key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and nodes with only the smallest node of each key, and a key of their own for each pair of it and another node.
+
+    So the tasks' own copies are stars already, and a bucket gets one row from each slice of rows.
+    """
+    node = nodes[row]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
+    other = ~first & (lead != node)
+    pairs = np.unique(np.stack([lead[other], node[other]], axis=1), axis=0)
+    own = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64), 13)
+    return np.concatenate([key[first], own, own]), np.concatenate([node[first], pairs[:, 0], pairs[:, 1]])
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def cell_bitmap(nodes: DataFrame, cell: Column):
+    """A broadcast bitmap of the cells of nodes, for a first look: 1 MB whatever the number of nodes."""
+    at = F.pmod(cell, F.lit(CELLS)).cast("long") + 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(CELLS // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["n"] - 1) * 4096 : (r["n"] - 1) * 4096 + len(part)] = part
+    return nodes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def in_bitmap(bitmap: bytes, cell: np.ndarray) -> np.ndarray:
+    at = cell.view(np.uint64) & np.uint64(CELLS - 1)
+    return (np.frombuffer(bitmap, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_link: Callable, tile: int = TILE) -> DataFrame:
     """Components (id, component) of all nodes that links reach.
 
-    ``keys``: key, node. ``sketches``: node, size and the words of a parity sketch, for every
-    node. ``verify`` keeps the linked ones of pairs (a, b). ``again`` gives the keys of some nodes
-    once more. ``may_link(size, size, differing bits)`` is true wherever there is a link.
+    ``keys``: key, node. ``prepare`` gets the nodes that share a bucket with another and returns
+    ``sketches`` (node, size and the words of a parity sketch), ``verify``, which keeps the linked
+    ones of pairs (a, b), and ``again``, which gives the keys of some nodes once more.
+    ``may_link(size, size, differing bits)`` is true wherever there is a link.
     """
     tested = staged(star_pairs(keys), "pairs")
-    links = staged(verify(tested), "links")
-    components = connected_components(links)
-    nodes = tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct()
+    nodes = staged(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "nodes")
+    sketches, verify, again = prepare(nodes)
+    components = connected_components(staged(verify(tested), "links"))
     members = staged(again(nodes), "keys")
     for seed in range(1, ROUNDS + 2):
         mixed = _mixed(members, components)
         if not mixed.take(1):
             break
-        last = seed > ROUNDS
-        pairs = _tile_pairs(mixed, sketches, may_link, tile) if last else _leader_pairs(mixed, seed)
+        pairs = _tile_pairs(mixed, sketches, may_link, tile) if seed > ROUNDS else _leader_pairs(mixed, seed)
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = staged(verify(pairs), "links")
         if more.take(1):

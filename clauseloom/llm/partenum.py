@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import mix, text_slices
-from .buckets import BITS, bucket_links, parity_sketches
+from .buckets import BITS, TILE, bucket_links, cell_bitmap, in_bitmap, merged_keys, parity_sketches, signed
 from .shingles import shingle_sets
 from .storage import staged
 
@@ -29,8 +29,6 @@ WIDTH = 5
 SLICE = 2 << 20
 #: Up to this difference subsets of partitions are enumerated; with these many partitions in each subset.
 SUBSETS, SUBSET = 3, 3
-#: Cells of the bitmap that says which documents are read again: 1 MB at any number of documents.
-CELLS = 1 << 23
 
 
 def band_limits(largest: int) -> np.ndarray:
@@ -100,52 +98,19 @@ def signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(found)
 
 
-def merged_keys(row: np.ndarray, key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and nodes with only the smallest node of each key, and a key of their own for each pair of it and another node.
-
-    So the tasks' own copies are stars already, and a bucket gets one row from each slice of rows.
-    """
-    node = nodes[row]
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
-    other = ~first & (lead != node)
-    pairs = np.unique(np.stack([lead[other], node[other]], axis=1), axis=0)
-    own = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64), 13)
-    return np.concatenate([key[first], own, own]), np.concatenate([node[first], pairs[:, 0], pairs[:, 1]])
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _cells(spark: SparkSession, nodes: DataFrame):
-    """A bitmap of the hashes of nodes, for a first look; it is 1 MB whatever the number of nodes."""
-    cell = F.pmod(F.xxhash64("node"), F.lit(CELLS)).cast("long")
-    rows = nodes.groupBy(F.bitmap_bucket_number(cell + 1).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell + 1)).alias("bits")).collect()
-    out = np.zeros(CELLS // 8, np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["n"] - 1) * 4096 : (r["n"] - 1) * 4096 + len(part)] = part
-    return spark.sparkContext.broadcast(out.tobytes())
-
-
 def _read_again(docs: DataFrame, nodes: DataFrame, work, kinds: str) -> DataFrame:
     """``work`` over the rows of docs (node, text, cell) whose node is one of ``nodes``; its rows have a node."""
-    cells = _cells(docs.sparkSession, nodes)
+    cells = cell_bitmap(nodes, F.xxhash64("node"))
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(cells.value, np.uint8)
         for batch in batches:
-            cell = batch["cell"].to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(in_bitmap(cells.value, batch["cell"].to_numpy(zero_copy_only=False))))
 
     # a few other nodes share a cell with one of them
     return docs.mapInArrow(lambda batches: work(known(batches)), kinds).join(nodes, "node", "left_semi")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, tile: int = 1024) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, tile: int = TILE) -> DataFrame:
     """One row for each row of ``docs``: ``id_col`` (a long), n_shingles and component_id, the smallest id that links reach.
 
     Two documents link when the Jaccard similarity of their sets of ``width``-word shingles is 0.8 or more.
@@ -157,7 +122,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null component. An empty table gives no rows. Other columns are not read.
     """
     key = F.col(id_col).cast("long")
-    texts = docs.select(key.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("long").alias("cell"))
+    texts = docs.select(key.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(key).alias("cell"))
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
@@ -176,7 +141,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 row, found = signatures(*shingle_sets(batch["text"], width))
                 nodes = batch["node"].to_numpy(zero_copy_only=False)
                 found, node = merged_keys(row, found, nodes) if merge else (found, nodes[row])
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(node)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([signed(found), pa.array(node)], names=["key", "node"])
 
         return emit
 
@@ -219,6 +184,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _read_again(whole, nodes, keys_of(False), "key long, node long")
 
     may_link = lambda m, n, apart: (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (9 * apart <= m + n)
-    found = bucket_links(keys, sketches, verify, again, may_link, tile)
+    found = bucket_links(keys, lambda nodes: (sketches, verify, again), may_link, tile)
     named = base.select("node", "size").join(found.withColumnRenamed("id", "node"), "node", "left")
     return named.select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .flac import encode_flac, flac_features
 from .huffman import read_huffman, write_huffman
+from .lines import count_repeated_lines
 from .licenses import license_digest, license_oracle, scan_licenses
 from .packing import pack_power_of_two
 from .partenum import jaccard_groups
@@ -43,6 +44,10 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_segment_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
