@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .flac import encode_flac, flac_features
 from .huffman import read_huffman, write_huffman
-from .lines import count_repeated_lines
+from .lattice import sample_pieces
 from .licenses import license_digest, license_oracle, scan_licenses
+from .lines import count_repeated_lines
 from .packing import pack_power_of_two
 from .partenum import jaccard_groups
 from .quality import score_quality, train_quality
@@ -22,6 +23,12 @@ def bpe_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +47,10 @@ def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(table(spark, sf_dir, "documents"), piece_file(), with_ids=False)
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
