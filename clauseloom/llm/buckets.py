@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from .batches import mix
 from .components import connected_components
-from .storage import staged
+from .storage import free_shuffles, staged
 
 #: Nodes in a tile, about.
 TILE = 1024
 #: Rounds of stars around a random node, after the one around the smallest.
 ROUNDS = 2
+#: Low bits of a key that say which slice its rows met in.
+SALT = 12
 #: Cells of the bitmap that says which rows are read again.
 CELLS = 1 << 23
 #: 64-bit words of a parity sketch.
@@ -42,10 +44,11 @@ def parity_sketches(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(words[:, n]) for n in range(WORDS)]
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of every node with the smallest of its bucket."""
-    first = F.min("node").over(Window.partitionBy("key"))
-    return keys.select(first.alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows of keys that several nodes have: bucket, node and first, the smallest node with this key."""
+    own = Window.partitionBy("key")
+    named = keys.select("key", "node", F.min("node").over(own).alias("first"), F.max("node").over(own).alias("last"))
+    return named.where("first < last").select(F.shiftright("key", SALT).alias("key"), "node", "first")
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -101,19 +104,28 @@ def _tile_pairs(mixed: DataFrame, sketches: DataFrame, may_link: Callable, tile:
 
 
 def merged_keys(row: np.ndarray, key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and nodes with only the smallest node of each key, and a key of their own for each pair of it and another node.
+    """Keys and nodes so that a bucket that many nodes of a slice share is not one key of many rows.
 
-    So the tasks' own copies are stars already, and a bucket gets one row from each slice of rows.
+    A key's low bits are cleared, and its smallest node in this slice has it. Where there are others,
+    all of them have it once more, with low bits that say which slice they met in.
     """
     node = nodes[row]
+    key = key >> np.uint64(SALT) << np.uint64(SALT)
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
-    other = ~first & (lead != node)
-    pairs = np.unique(np.stack([lead[other], node[other]], axis=1), axis=0)
-    own = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64), 13)
-    return np.concatenate([key[first], own, own]), np.concatenate([node[first], pairs[:, 0], pairs[:, 1]])
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(heads, len(key)))
+    last = node[heads + sizes - 1] if len(key) else node
+    several = np.repeat(node[heads] != last, sizes)
+    lead = np.repeat(node[heads], sizes)[several]
+    salt = np.uint64(1) + mix(lead.astype(np.uint64), 3) % np.uint64((1 << SALT) - 1)
+    return np.concatenate([key[heads], key[several] | salt]), np.concatenate([node[heads], node[several]])
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of its own for each pair of nodes that are known to be alike."""
+    own = mix(mix(a.astype(np.uint64)) + b.astype(np.uint64), 13)
+    return np.concatenate([own, own]), np.concatenate([a, b])
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -139,16 +151,18 @@ def in_bitmap(bitmap: bytes, cell: np.ndarray) -> np.ndarray:
 def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_link: Callable, tile: int = TILE) -> DataFrame:
     """Components (id, component) of all nodes that links reach.
 
-    ``keys``: key, node. ``prepare`` gets the nodes that share a bucket with another and returns
-    ``sketches`` (node, size and the words of a parity sketch), ``verify``, which keeps the linked
-    ones of pairs (a, b), and ``again``, which gives the keys of some nodes once more.
-    ``may_link(size, size, differing bits)`` is true wherever there is a link.
+    ``keys``: key, node, as :func:`merged_keys` gives them. ``prepare`` gets the nodes that share a
+    bucket with another and returns ``sketches`` (node, size and the words of a parity sketch),
+    ``verify``, which keeps the linked ones of pairs (a, b), and ``apart``, which leaves out rows of
+    nodes that have an equal among others. ``may_link(size, size, differing bits)`` is true wherever
+    there is a link.
     """
-    tested = staged(star_pairs(keys), "pairs")
-    nodes = staged(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "nodes")
-    sketches, verify, again = prepare(nodes)
+    shared = staged(shared_keys(keys), "shared")
+    free_shuffles(keys.sparkSession)
+    tested = staged(shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sketches, verify, apart = prepare(staged(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "nodes"))
     components = connected_components(staged(verify(tested), "links"))
-    members = staged(again(nodes), "keys")
+    members = apart(shared.select("key", "node"))
     for seed in range(1, ROUNDS + 2):
         mixed = _mixed(members, components)
         if not mixed.take(1):

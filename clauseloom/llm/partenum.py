@@ -4,9 +4,10 @@ Sets are dealt into bands so that sizes in one band differ by a quarter at most;
 lie in one band or in two that adjoin. Within a band the symmetric difference of such sets is bounded by
 a number k. The domain of shingles is cut into partitions. Where k is small, every
 subset of all but k partitions gives a signature, the hash of the set's shingles in it. Where it is
-larger, there are more than k partitions and each gives one. Sets that differ in k shingles
-then share a signature. A set leaves out its smallest partitions as long as more than k others stay,
-so signatures of next to no shingles, which many sets share, are rare.
+larger, there are more than k + 1 partitions, and the k + 1 that hold most of the set give one each:
+sets that differ in k shingles agree on more partitions than either leaves out, the fullest of
+these is among those that both keep, and so they share a signature. Signatures of next to
+no shingles, which many sets share, are rare.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import mix, text_slices
-from .buckets import BITS, TILE, bucket_links, cell_bitmap, in_bitmap, merged_keys, parity_sketches, signed
+from .batches import mix, runs, text_slices
+from .buckets import BITS, TILE, bucket_links, cell_bitmap, in_bitmap, merged_keys, pair_keys, parity_sketches, signed
 from .shingles import shingle_sets
 from .storage import staged
 
@@ -49,7 +50,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     for step in (0, 1):
         band = own + step
         differ = 2 * limits[band] // 9  # |r - s| + |s - r| <= (|r| + |s|) / 9 at Jaccard 0.8
-        parts = np.where(differ <= SUBSETS, differ + SUBSET, differ + 1 + -(-differ // 6))
+        parts = np.where(differ <= SUBSETS, differ + SUBSET, differ + 1 + -(-differ // 4))
         parts = np.where(differ == 0, 1, parts)
         row = np.repeat(np.arange(len(sizes)), sizes)
         part = ((values >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
@@ -74,23 +75,16 @@ def signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
                 rows.append(sets)
                 found.append(mix(mix(table[sets][:, chosen].sum(axis=1, dtype=np.uint64)) + mix(band[sets].astype(np.uint64), c + 101)))
 
-        # of the other sets, a partition stays unless it is among those of fewer shingles than the set can do without
-        spare = parts - differ - 1
-        held = np.bincount(owner[~few], minlength=len(sizes))
-        least, below = np.zeros(len(sizes), np.int64), parts - held
-        for q in range(1, 64):
-            enough = below <= spare
-            least[enough] = q
-            if not enough.any():
-                break
-            below = below + np.bincount(owner[~few & (count == q)], minlength=len(sizes))
-        on = ~few & (count >= least[owner])
+        # the other sets keep their k + 1 fullest partitions, the later of equal ones
         salt = lambda o, p: mix((band[o] << 32 | p).astype(np.uint64), 5)
+        at = np.flatnonzero(~few)
+        order = at[np.argsort((owner[at] << 42) - (count[at] << 21) - part[at], kind="stable")]
+        held = np.bincount(owner[order], minlength=len(sizes))
+        on = order[runs(held) < (differ + 1)[owner[order]]]
         rows.append(owner[on])
         found.append(mix(mix(total[on]) + salt(owner[on], part[on])))
-        # a set that cannot do without its empty partitions
-        for n in np.flatnonzero((least == 0) & (differ > SUBSETS) & (sizes > 0)).tolist():
-            empty = np.setdiff1d(np.arange(parts[n]), part[owner == n])
+        for n in np.flatnonzero((held < differ + 1) & (differ > SUBSETS) & (sizes > 0)).tolist():
+            empty = np.setdiff1d(np.arange(parts[n]), part[owner == n])[held[n] - differ[n] - 1 :]
             rows.append(np.full(len(empty), n))
             found.append(mix(salt(np.full(len(empty), n), empty), 11))
     if not rows:
@@ -135,18 +129,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = staged(texts.mapInArrow(describe, "node long, size long, d0 long, d1 long, " + ", ".join(f"{b} long" for b in BITS)), "sets")
     sketches = base.where("node is not null and size > 0").dropDuplicates(["node", "d0", "d1"])
 
-    def keys_of(merge: bool):
-        def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches, "text", SLICE):
-                row, found = signatures(*shingle_sets(batch["text"], width))
-                nodes = batch["node"].to_numpy(zero_copy_only=False)
-                found, node = merged_keys(row, found, nodes) if merge else (found, nodes[row])
-                yield pa.RecordBatch.from_arrays([signed(found), pa.array(node)], names=["key", "node"])
-
-        return emit
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", SLICE):
+            values, sizes = shingle_sets(batch["text"], width)
+            nodes = batch["node"].to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            # of equal sets in a slice only the smallest node goes on
+            leads: dict[bytes, int] = {}
+            leader = np.arange(len(nodes))
+            for n in np.argsort(nodes, kind="stable").tolist():
+                leader[n] = leads.setdefault(values[ends[n] - sizes[n] : ends[n]].tobytes(), n)
+            own = (leader == np.arange(len(nodes))) & (sizes > 0)
+            other = ~own & (sizes > 0) & (nodes != nodes[leader])
+            row, found = signatures(values[np.repeat(own, sizes)], sizes[own])
+            key, node = merged_keys(row, found, nodes[own])
+            more, both = pair_keys(nodes[leader][other], nodes[other])
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate([key, more])), pa.array(np.concatenate([node, both]))], names=["key", "node"])
 
     whole = texts.where("node is not null")
-    keys = whole.mapInArrow(keys_of(True), "key long, node long")
+    keys = whole.mapInArrow(emit, "key long, node long")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
@@ -177,13 +178,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = left.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         return looked.where("equal").select("a", "b").union(both.mapInArrow(similar, "a long, b long")).distinct()
 
-    def again(nodes: DataFrame) -> DataFrame:
-        # of nodes with one set only the smallest has to look further
+    def apart(members: DataFrame) -> DataFrame:
         smallest = sketches.groupBy("d0", "d1").agg(F.min("node").alias("node")).select("node")
-        nodes = staged(nodes.join(smallest, "node", "left_semi"), "nodes")
-        return _read_again(whole, nodes, keys_of(False), "key long, node long")
+        return members.join(smallest, "node", "left_semi")
 
     may_link = lambda m, n, apart: (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (9 * apart <= m + n)
-    found = bucket_links(keys, lambda nodes: (sketches, verify, again), may_link, tile)
+    found = bucket_links(keys, lambda nodes: (sketches, verify, apart), may_link, tile)
     named = base.select("node", "size").join(found.withColumnRenamed("id", "node"), "node", "left")
     return named.select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
