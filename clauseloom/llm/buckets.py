@@ -32,16 +32,23 @@ WORDS = 8
 BITS = [f"b{n}" for n in range(WORDS)]
 
 
-def parity_sketches(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each set (``counts`` hashed members on end) how often each of 512 cells is hit, modulo two, as eight 64-bit words.
+def parity_sketches(values: np.ndarray, counts: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """For each bag (``counts`` hashed members on end) how often each of 64 cells a word is hit, modulo two, as 64-bit words.
 
-    Sets that differ in d members have sketches that differ in d bits at most.
+    Bags that differ in d members have sketches that differ in d bits at most.
     """
-    cells = 64 * WORDS
+    cells = 64 * words
     row = np.repeat(np.arange(len(counts)), counts)
     hits = np.bincount(row * cells + (values & np.uint64(cells - 1)).astype(np.int64), minlength=len(counts) * cells)
-    words = np.packbits((hits & 1).astype(np.uint8).reshape(len(counts), cells), axis=1).view(np.int64)
-    return [np.ascontiguousarray(words[:, n]) for n in range(WORDS)]
+    bits = np.packbits((hits & 1).astype(np.uint8).reshape(len(counts), cells), axis=1).view(np.int64)
+    return [np.ascontiguousarray(bits[:, n]) for n in range(words)]
+
+
+def bits_apart(a: str, b: str) -> tuple[Column, Column]:
+    """In how many bits the first and the second half of two sketches differ; their words have these prefixes."""
+    each = [F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS]
+    half = WORDS // 2
+    return sum(each[1:half], each[0]), sum(each[half + 1 :], each[half])
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -92,8 +99,9 @@ def _tile_pairs(mixed: DataFrame, sketches: DataFrame, may_link: Callable, tile:
                 if not len(i):
                     continue
                 i, j = i + left.start, j + right.start
-                apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
-                ok = may_link(column["size"][i], column["size"][j], apart)
+                apart = np.bitwise_count(words[i] ^ words[j])
+                low, high = apart[:, : WORDS // 2].sum(axis=1, dtype=np.int64), apart[:, WORDS // 2 :].sum(axis=1, dtype=np.int64)
+                ok = may_link(column["size"][i], column["size"][j], low, high)
                 x, y = column["node"][i[ok]], column["node"][j[ok]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             if found:
@@ -154,8 +162,8 @@ def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_lin
     ``keys``: key, node, as :func:`merged_keys` gives them. ``prepare`` gets the nodes that share a
     bucket with another and returns ``sketches`` (node, size and the words of a parity sketch),
     ``verify``, which keeps the linked ones of pairs (a, b), and ``apart``, which leaves out rows of
-    nodes that have an equal among others. ``may_link(size, size, differing bits)`` is true wherever
-    there is a link.
+    nodes that have an equal among others. ``may_link(size, size, low, high)``, of the bits in
+    which both halves of the sketches differ, is true wherever there is a link.
     """
     shared = staged(shared_keys(keys), "shared")
     free_shuffles(keys.sparkSession)

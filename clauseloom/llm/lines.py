@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .batches import mix, text_slices, utf8
 from .bpe import PrefixHash
-from .buckets import BITS, TILE, bucket_links, cell_bitmap, in_bitmap, merged_keys, parity_sketches, signed
+from .buckets import BITS, TILE, WORDS, bits_apart, bucket_links, cell_bitmap, in_bitmap, merged_keys, parity_sketches, signed
 from .edits import within_edits
 from .storage import staged
 
@@ -103,7 +103,12 @@ def line_components(docs: DataFrame, text_col: str = "text", edits: int = EDITS,
                 own = own[in_bitmap(cells.value, lines.node[own])]
                 sizes = lines.ends[own] - lines.starts[own]
                 parts = [lines.codes[a:b] for a, b in zip(lines.starts[own].tolist(), lines.ends[own].tolist())]
-                words = parity_sketches(np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64), sizes)
+                codes = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64)
+                # an edit changes the counts of two code points at most, and of four pairs of neighbours
+                pairs = mix(codes[:-1] * np.uint64(0x110000) + codes[1:], 19) if len(codes) else codes
+                inner = np.ones(len(codes), bool)
+                inner[np.cumsum(sizes) - 1] = False
+                words = [*parity_sketches(mix(codes, 23), sizes, WORDS // 2), *parity_sketches(pairs[inner[:-1]], sizes - 1, WORDS // 2)]
                 raw = pa.array([p.tobytes() for p in parts], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(lines.node[own]), pa.array(sizes), *map(pa.array, words), raw], names=["node", "size", *BITS, "codes"])
 
@@ -118,15 +123,14 @@ def line_components(docs: DataFrame, text_col: str = "text", edits: int = EDITS,
         def verify(pairs: DataFrame) -> DataFrame:
             side = lambda c: lines.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", *BITS)))
             met = pairs.join(side("a"), "a").join(side("b"), "b")
-            apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"a_{BITS[0]}").bitwiseXOR(F.col(f"b_{BITS[0]}"))))
-            looked = staged(met.where((F.abs(F.col("a_size") - F.col("b_size")) <= edits) & (apart <= 2 * edits)).select("a", "b"), "looked")
+            low, high = bits_apart("a_", "b_")
+            looked = staged(met.where((F.abs(F.col("a_size") - F.col("b_size")) <= edits) & (low <= 2 * edits) & (high <= 4 * edits)).select("a", "b"), "looked")
             both = looked.join(lines.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
             return both.mapInArrow(close, "a long, b long")
 
         return lines, verify, lambda members: members
 
-    # an edit changes the counts of two code points at most
-    may_link = lambda m, n, apart: (np.abs(m - n) <= edits) & (apart <= 2 * edits)
+    may_link = lambda m, n, low, high: (np.abs(m - n) <= edits) & (low <= 2 * edits) & (high <= 4 * edits)
     return bucket_links(texts.mapInArrow(emit, "key long, node long"), prepare, may_link, tile)
 
 
@@ -145,7 +149,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["text_hash"].take(at), pa.array(lines.place), pa.array(lines.node)], names=["id", "text_hash", "place", "node"])
 
     rows = docs.where(F.length(text_col) >= min_chars).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    seen = rows.mapInArrow(places, f"id {kind}, text_hash long, place long, node long")
+    seen = staged(rows.mapInArrow(places, f"id {kind}, text_hash long, place long, node long"), "line-places")
     at = F.struct("id", "text_hash", "place")
     each = staged(seen.groupBy("node").agg(F.min(at).alias("first"), F.max(at).alias("last")), "line-firsts")
     several = staged(linked.select(F.col("id").alias("node"), "component").union(linked.select("component", "component").distinct()), "line-groups")

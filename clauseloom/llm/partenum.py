@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import mix, runs, text_slices
-from .buckets import BITS, TILE, bucket_links, cell_bitmap, in_bitmap, merged_keys, pair_keys, parity_sketches, signed
+from .buckets import BITS, TILE, bits_apart, bucket_links, cell_bitmap, in_bitmap, merged_keys, pair_keys, parity_sketches, signed
 from .shingles import shingle_sets
 from .storage import staged
 
@@ -169,8 +169,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         side = lambda c: sketches.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "d0", "d1", *BITS)))
         met = pairs.join(side("a"), "a").join(side("b"), "b")
         equal = (F.col("a_d0") == F.col("b_d0")) & (F.col("a_d1") == F.col("b_d1"))
-        apart = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"a_{BITS[0]}").bitwiseXOR(F.col(f"b_{BITS[0]}"))))
-        can = (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * apart <= F.col("a_size") + F.col("b_size"))
+        low, high = bits_apart("a_", "b_")
+        can = (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * (low + high) <= F.col("a_size") + F.col("b_size"))
         looked = staged(met.where(equal | can).groupBy("a", "b").agg(F.bool_or(equal).alias("equal")), "looked")
         left = looked.where("not equal").select("a", "b")
         needed = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
@@ -182,7 +182,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         smallest = sketches.groupBy("d0", "d1").agg(F.min("node").alias("node")).select("node")
         return members.join(smallest, "node", "left_semi")
 
-    may_link = lambda m, n, apart: (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (9 * apart <= m + n)
+    may_link = lambda m, n, low, high: (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (9 * (low + high) <= m + n)
     found = bucket_links(keys, lambda nodes: (sketches, verify, apart), may_link, tile)
     named = base.select("node", "size").join(found.withColumnRenamed("id", "node"), "node", "left")
     return named.select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
