@@ -25,6 +25,8 @@ from .storage import staged
 
 #: Ids after which a block is closed, at the next document's end.
 BLOCK_IDS = 1 << 16
+#: Text bytes tokenised at a time.
+SLICE = 1 << 20
 #: Ids between two checkpoints.
 INTERVAL = 128
 #: Bits of the longest code, unless the vocabulary needs more.
@@ -119,7 +121,7 @@ def tokenized_blocks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
             ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "before": [before], "n_ids": [len(ids)], "keys": [keys], "counts": [counts], "ids": [ids.astype(kind).tobytes()], "wide": [kind == "<u4"]}, schema=schema)
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(batch.schema.field("key").type)), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("wide", pa.bool_())])
             flat, bounds = bpe.encode(batch["text"], end_id)
             size = sum(counts)
