@@ -52,10 +52,11 @@ def bits_apart(a: str, b: str) -> tuple[Column, Column]:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of keys that several nodes have: bucket, node and first, the smallest node with this key."""
+    """Rows of keys that several nodes have: bucket, node, first (the smallest node with this key) and more: whether the bucket may have a third."""
     own = Window.partitionBy("key")
-    named = keys.select("key", "node", F.min("node").over(own).alias("first"), F.max("node").over(own).alias("last"))
-    return named.where("first < last").select(F.shiftright("key", SALT).alias("key"), "node", "first")
+    named = keys.select("key", "node", F.min("node").over(own).alias("first"), F.max("node").over(own).alias("last"), F.count("*").over(own).alias("n"))
+    more = (F.col("n") > 2) | (F.col("key").bitwiseAND(F.lit((1 << SALT) - 1)) != 0)
+    return named.where("first < last").select(F.shiftright("key", SALT).alias("key"), "node", "first", more.alias("more"))
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -114,8 +115,8 @@ def _tile_pairs(mixed: DataFrame, sketches: DataFrame, may_link: Callable, tile:
 def merged_keys(row: np.ndarray, key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and nodes so that a bucket that many nodes of a slice share is not one key of many rows.
 
-    A key's low bits are cleared, and its smallest node in this slice has it. Where there are others,
-    all of them have it once more, with low bits that say which slice they met in.
+    A key's low bits are cleared, and its smallest node in this slice has it, twice where there are
+    others. All of those have it once more, with low bits that say which slice they met in.
     """
     node = nodes[row]
     key = key >> np.uint64(SALT) << np.uint64(SALT)
@@ -124,10 +125,12 @@ def merged_keys(row: np.ndarray, key: np.ndarray, nodes: np.ndarray) -> tuple[np
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(key)))
     last = node[heads + sizes - 1] if len(key) else node
-    several = np.repeat(node[heads] != last, sizes)
+    shared = node[heads] != last
+    several = np.repeat(shared, sizes)
     lead = np.repeat(node[heads], sizes)[several]
     salt = np.uint64(1) + mix(lead.astype(np.uint64), 3) % np.uint64((1 << SALT) - 1)
-    return np.concatenate([key[heads], key[several] | salt]), np.concatenate([node[heads], node[several]])
+    twice = heads[shared]
+    return np.concatenate([key[heads], key[twice], key[several] | salt]), np.concatenate([node[heads], node[twice], node[several]])
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +171,9 @@ def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_lin
     shared = staged(shared_keys(keys), "shared")
     free_shuffles(keys.sparkSession)
     tested = staged(shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    sketches, verify, apart = prepare(staged(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "nodes"))
+    sketches, verify, apart = prepare(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
     components = connected_components(staged(verify(tested), "links"))
-    members = apart(shared.select("key", "node"))
+    members = apart(shared.where("more").select("key", "node"))  # a bucket of two is settled by its star
     for seed in range(1, ROUNDS + 2):
         mixed = _mixed(members, components)
         if not mixed.take(1):

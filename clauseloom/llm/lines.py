@@ -94,6 +94,7 @@ def line_components(docs: DataFrame, text_col: str = "text", edits: int = EDITS,
             yield pa.RecordBatch.from_arrays([signed(key), pa.array(node)], names=["key", "node"])
 
     def prepare(nodes: DataFrame):
+        nodes = staged(nodes, "nodes")
         cells = cell_bitmap(nodes, F.col("node"))
 
         def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

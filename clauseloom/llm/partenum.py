@@ -122,12 +122,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in text_slices(batches, "text", SLICE):
             values, sizes = shingle_sets(batch["text"], width)
             ends = np.cumsum(sizes).tolist()
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip([0, *ends], ends)), np.int64).reshape(-1, 2)
+            digest = np.array([xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip([0, *ends], ends)], np.uint64)
             words = parity_sketches(values, sizes)
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sizes), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *map(pa.array, words)], names=["node", "size", "d0", "d1", *BITS])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sizes), signed(digest), *map(pa.array, words)], names=["node", "size", "digest", *BITS])
 
-    base = staged(texts.mapInArrow(describe, "node long, size long, d0 long, d1 long, " + ", ".join(f"{b} long" for b in BITS)), "sets")
-    sketches = base.where("node is not null and size > 0").dropDuplicates(["node", "d0", "d1"])
+    base = staged(texts.mapInArrow(describe, "node long, size long, digest long, " + ", ".join(f"{b} long" for b in BITS)), "sets")
+    sketches = staged(base.where("node is not null and size > 0").dropDuplicates(["node", "digest"]), "sketches")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
@@ -166,10 +166,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sketches.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "d0", "d1", *BITS)))
+        side = lambda c: sketches.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "digest", *BITS)))
         met = pairs.join(side("a"), "a").join(side("b"), "b")
-        equal = (F.col("a_d0") == F.col("b_d0")) & (F.col("a_d1") == F.col("b_d1"))
         low, high = bits_apart("a_", "b_")
+        equal = (F.col("a_digest") == F.col("b_digest")) & (F.col("a_size") == F.col("b_size")) & (low + high == 0)
         can = (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * (low + high) <= F.col("a_size") + F.col("b_size"))
         looked = staged(met.where(equal | can).groupBy("a", "b").agg(F.bool_or(equal).alias("equal")), "looked")
         left = looked.where("not equal").select("a", "b")
@@ -179,7 +179,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return looked.where("equal").select("a", "b").union(both.mapInArrow(similar, "a long, b long")).distinct()
 
     def apart(members: DataFrame) -> DataFrame:
-        smallest = sketches.groupBy("d0", "d1").agg(F.min("node").alias("node")).select("node")
+        smallest = sketches.groupBy("digest", "size", *BITS).agg(F.min("node").alias("node")).select("node")
         return members.join(smallest, "node", "left_semi")
 
     may_link = lambda m, n, low, high: (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (9 * (low + high) <= m + n)
