@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("text_queries", "version_queries", "scoring_queries")
+
+
+def _all() -> dict:
+    found = {}
+    for name in MODULES:
+        found |= import_module(f".plans.{name}", __package__).QUERIES
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
