@@ -22,7 +22,7 @@ from .storage import free_shuffles, staged
 #: Nodes in a tile, about.
 TILE = 1024
 #: Rounds of stars around a random node, after the one around the smallest.
-ROUNDS = 2
+ROUNDS = 1
 #: Low bits of a key that say which slice its rows met in.
 SALT = 12
 #: Cells of the bitmap that says which rows are read again.

@@ -81,9 +81,12 @@ def segment_keys(hashes: PrefixHash, starts: np.ndarray, ends: np.ndarray, edits
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def line_components(docs: DataFrame, text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
-    """``id`` and ``component`` of the hashes of lines that links reach, but for each component's smallest."""
-    texts = docs.where(F.length(text_col) >= min_chars).select(F.col(text_col).alias("text"))
+def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
+    """``id`` and ``component`` of the hashes of lines that links reach, but for each component's smallest.
+
+    ``rows``: text_hash and text; ``firsts``: node and first, which has the text_hash of a text that holds the line.
+    """
+    texts = rows.select("text_hash", "text")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
@@ -96,9 +99,12 @@ def line_components(docs: DataFrame, text_col: str = "text", edits: int = EDITS,
     def prepare(nodes: DataFrame):
         nodes = staged(nodes, "nodes")
         cells = cell_bitmap(nodes, F.col("node"))
+        places = nodes.join(firsts, "node").select("first.text_hash").distinct()
+        spots = cell_bitmap(places, F.col("text_hash"))
 
         def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches, "text", SLICE):
+            some = (b.filter(pa.array(in_bitmap(spots.value, b["text_hash"].to_numpy(zero_copy_only=False)))) for b in batches)
+            for batch in text_slices(some, "text", SLICE):
                 lines = Lines(batch["text"], min_chars)
                 own = lines.distinct()
                 own = own[in_bitmap(cells.value, lines.node[own])]
@@ -140,7 +146,6 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     "Before" is by (id, text_hash, line number), null ids first. Lines are known by 64-bit hashes.
     """
-    linked = line_components(docs, text_col, edits, min_chars, tile)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +158,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = staged(rows.mapInArrow(places, f"id {kind}, text_hash long, place long, node long"), "line-places")
     at = F.struct("id", "text_hash", "place")
     each = staged(seen.groupBy("node").agg(F.min(at).alias("first"), F.max(at).alias("last")), "line-firsts")
+    linked = line_components(rows, each, edits, min_chars, tile)
     several = staged(linked.select(F.col("id").alias("node"), "component").union(linked.select("component", "component").distinct()), "line-groups")
     firsts = several.join(each, "node").groupBy("component").agg(F.min("first").alias("keep"))
     kept = several.join(firsts, "component").select("node", "keep")
