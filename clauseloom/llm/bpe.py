@@ -13,7 +13,7 @@ import pyarrow as pa
 from .batches import gather, mix, utf8
 
 #: Distinct pieces, and ids of theirs, that a worker keeps before it starts over.
-CACHE_PIECES, CACHE_IDS = 1_200_000, 8_000_000
+CACHE_PIECES, CACHE_IDS = 600_000, 3_000_000
 #: Bytes of new pieces that go through the library on end.
 JOIN = 4096
 
@@ -43,7 +43,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        n = max(n, 1 << 20) * 5 // 4
+        n = max(n, 1 << 17) * 5 // 4
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             row = np.full(n, b, np.uint64)
