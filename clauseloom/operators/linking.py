@@ -40,7 +40,15 @@ def as_of(questions: DataFrame, versions: DataFrame, on: list[str], day: str, qu
     return both.where("side = 1").select(*on, F.col("q").alias(question), F.col("at").alias(day), F.col("known.v").alias(version))
 
 
-def citations(texts: DataFrame, key: str, text: str) -> DataFrame:
+def law_name(words: list[str], names: frozenset[str] = frozenset()) -> str:
+    """The statute that words end with: the longest known name of up to twelve words, else the last word, or two where the last is only "law"."""
+    for n in range(max(0, len(words) - 12), len(words)):
+        if "".join(words[n:]) in names:
+            return "".join(words[n:])
+    return "".join(words[-2:]) if words and words[-1] in ("법", "법률") else "".join(words[-1:])
+
+
+def citations(texts: DataFrame, key: str, text: str, names: frozenset[str] = frozenset()) -> DataFrame:
     """Statute articles that texts cite, in order and once each: key, nth, law, category, article. "The same law" is the one named before."""
     kind = texts.schema[key].dataType.simpleString()
     drop = str.maketrans({c: " " for c in QUOTES})
@@ -52,11 +60,7 @@ def citations(texts: DataFrame, key: str, text: str) -> DataFrame:
                 plain, named, seen = (raw or "").translate(drop), None, {}
                 for m in re.finditer(CITATION, plain):
                     words = (plain[max(0, m.start() - 80) : m.start()] + m[1]).split()
-                    tail = words[-1] if words else ""
-                    if tail in SAME_LAW or " ".join(words[-2:]) in SAME_LAW:
-                        law = named
-                    else:
-                        law = tail if len(tail) >= 3 else "".join(words[-2:])
+                    law = named if {"".join(words[-1:]), " ".join(words[-2:])} & set(SAME_LAW) else law_name(words, names)
                     if law:
                         named = law
                         seen.setdefault((law, m[2] or "법률", f"제{m[3]}조" + (f"의{m[4]}" if m[4] else "")))

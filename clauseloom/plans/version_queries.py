@@ -85,10 +85,6 @@ def lineage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     node = F.concat_ws("@", "l_orderkey", "l_linenumber")
     edges = items.select("l_orderkey", node.alias("node"), F.lag(node).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("before"))
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clauseloom-"))
     return V.chain_roots(edges.select("node", "before")).select("node", F.col("root").alias("lineage"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names; to a local one only where it names none."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clauseloom-"))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """One row for each line: doc_id, source, lang, idx (from 0), line. A null text has no lines."""
     return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
