@@ -21,8 +21,6 @@ from .storage import free_shuffles, staged
 
 #: Nodes in a tile, about.
 TILE = 1024
-#: Rounds of stars around a random node, after the one around the smallest.
-ROUNDS = 1
 #: Low bits of a key that say which slice its rows met in.
 SALT = 12
 #: Cells of the bitmap that says which rows are read again.
@@ -159,26 +157,29 @@ def in_bitmap(bitmap: bytes, cell: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_link: Callable, tile: int = TILE) -> DataFrame:
+def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_link: Callable, tile: int = TILE, rounds: int = 2) -> DataFrame:
     """Components (id, component) of all nodes that links reach.
 
     ``keys``: key, node, as :func:`merged_keys` gives them. ``prepare`` gets the nodes that share a
     bucket with another and returns ``sketches`` (node, size and the words of a parity sketch),
     ``verify``, which keeps the linked ones of pairs (a, b), and ``apart``, which leaves out rows of
     nodes that have an equal among others. ``may_link(size, size, low, high)``, of the bits in
-    which both halves of the sketches differ, is true wherever there is a link.
+    which both halves of the sketches differ, is true wherever there is a link. ``rounds`` stars
+    around a random node follow the one around the smallest.
     """
     shared = staged(shared_keys(keys), "shared")
     free_shuffles(keys.sparkSession)
     tested = staged(shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     sketches, verify, apart = prepare(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
-    components = connected_components(staged(verify(tested), "links"))
+    links = staged(verify(tested), "links")
+    free_shuffles(keys.sparkSession)
+    components = connected_components(links)
     members = apart(shared.where("more").select("key", "node"))  # a bucket of two is settled by its star
-    for seed in range(1, ROUNDS + 2):
+    for seed in range(1, rounds + 2):
         mixed = _mixed(members, components)
         if not mixed.take(1):
             break
-        pairs = _tile_pairs(mixed, sketches, may_link, tile) if seed > ROUNDS else _leader_pairs(mixed, seed)
+        pairs = _tile_pairs(mixed, sketches, may_link, tile) if seed > rounds else _leader_pairs(mixed, seed)
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = staged(verify(pairs), "links")
         if more.take(1):

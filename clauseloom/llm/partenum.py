@@ -27,7 +27,7 @@ from .shingles import shingle_sets
 from .storage import staged
 
 WIDTH = 5
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Up to this difference subsets of partitions are enumerated; with these many partitions in each subset.
 SUBSETS, SUBSET = 3, 3
 
@@ -92,16 +92,28 @@ def signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(found)
 
 
+def wide_sketch(values: np.ndarray) -> bytes:
+    """A parity sketch of at least two bits for each member, a power of two of them."""
+    cells = 1 << max(9, int(2 * len(values) - 1).bit_length())
+    hits = np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_between(one: pa.Buffer, two: pa.Buffer) -> int:
+    """In how many bits two wide sketches differ; the longer one is folded to the size of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (one, two)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _read_again(docs: DataFrame, nodes: DataFrame, work, kinds: str) -> DataFrame:
-    """``work`` over the rows of docs (node, text, cell) whose node is one of ``nodes``; its rows have a node."""
+    """``work`` over the rows of docs whose node is one of ``nodes``, or shares its cell of the bitmap with one of them."""
     cells = cell_bitmap(nodes, F.xxhash64("node"))
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(cells.value, batch["cell"].to_numpy(zero_copy_only=False))))
 
-    # a few other nodes share a cell with one of them
-    return docs.mapInArrow(lambda batches: work(known(batches)), kinds).join(nodes, "node", "left_semi")
+    return docs.mapInArrow(lambda batches: work(known(batches)), kinds)
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, tile: int = TILE) -> DataFrame:
@@ -153,7 +165,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in text_slices(batches, "text", SLICE):
             values, sizes = shingle_sets(batch["text"], width)
             ends = np.cumsum(sizes).tolist()
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([values[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())], names=["node", "set"])
+            each = [values[a:b] for a, b in zip([0, *ends], ends)]
+            columns = [batch["node"], batch["cell"], pa.array([wide_sketch(v) for v in each], pa.binary()), pa.array([v.tobytes() for v in each], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "cell", "wide", "set"])
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = [9 * bits_between(x.as_buffer(), y.as_buffer()) <= n for x, y, n in zip(batch["x"], batch["y"], batch["n"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,11 +190,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         low, high = bits_apart("a_", "b_")
         equal = (F.col("a_digest") == F.col("b_digest")) & (F.col("a_size") == F.col("b_size")) & (low + high == 0)
         can = (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * (low + high) <= F.col("a_size") + F.col("b_size"))
-        looked = staged(met.where(equal | can).groupBy("a", "b").agg(F.bool_or(equal).alias("equal")), "looked")
-        left = looked.where("not equal").select("a", "b")
-        needed = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        own = staged(_read_again(whole, needed, sets, "node long, set binary"), "candidate-sets")
-        both = left.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        looked = staged(met.where(equal | can).groupBy("a", "b").agg(F.bool_or(equal).alias("equal"), F.max(F.col("a_size") + F.col("b_size")).alias("n")), "looked")
+        left = looked.where("not equal").select("a", "b", "n")
+        ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        own = staged(_read_again(whole, ends(left), sets, "node long, cell long, wide binary, set binary"), "candidate-sets")
+        named = lambda rows, c, of, to: rows.select(F.col("node").alias(c), F.col(of).alias(to))
+        left = staged(left.join(named(own, "a", "wide", "x"), "a").join(named(own, "b", "wide", "y"), "b").mapInArrow(near, "a long, b long").distinct(), "near")
+        own = _read_again(own.select("node", "cell", "set"), ends(left), lambda batches: batches, "node long, cell long, set binary")
+        both = left.join(named(own, "a", "set", "x"), "a").join(named(own, "b", "set", "y"), "b")
         return looked.where("equal").select("a", "b").union(both.mapInArrow(similar, "a long, b long")).distinct()
 
     def apart(members: DataFrame) -> DataFrame:
