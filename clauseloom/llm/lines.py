@@ -25,7 +25,7 @@ from .storage import staged
 EDITS = 2
 #: Lines of fewer code points stay as they are.
 MIN_CHARS = 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class Lines:
@@ -138,7 +138,7 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
         return lines, verify, lambda members: members
 
     may_link = lambda m, n, low, high: (np.abs(m - n) <= edits) & (low <= 2 * edits) & (high <= 4 * edits)
-    return bucket_links(texts.mapInArrow(emit, "key long, node long"), prepare, may_link, tile)
+    return bucket_links(texts.mapInArrow(emit, "key long, node long"), prepare, may_link, tile, rounds=1)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:

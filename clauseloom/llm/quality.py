@@ -20,7 +20,7 @@ from .batches import text_slices, utf8
 from .bpe import PrefixHash
 
 FEATURES = ("length", "upper", "digit", "mark", "exclamation", "bar", "symbol", "space", "word_length", "repeated_words", "repeated_line", "first", "last", "bias")
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Shares are weighed up, so that a tenth of a line counts as much as a mark that is there or not.
 SHARE = 10
 
