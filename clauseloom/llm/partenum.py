@@ -208,3 +208,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = bucket_links(keys, lambda nodes: (sketches, verify, apart), may_link, tile)
     named = base.select("node", "size").join(found.withColumnRenamed("id", "node"), "node", "left")
     return named.select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+
+def jaccard_oracle(width: int = WIDTH) -> str:
+    """DuckDB SQL for :func:`jaccard_groups` over table documents, for small tables: it counts common shingles of all pairs that have any."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= {width} then list_transform(generate_series(1, len(w) - {width - 1}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from r join e on e.x = r.y),
+c as (select x, min(y) component_id from r group by x)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id from documents join c on c.x = doc_id left join n using (doc_id)"""

@@ -10,7 +10,7 @@ from .lattice import sample_pieces
 from .licenses import license_digest, license_oracle, scan_licenses
 from .lines import count_repeated_lines
 from .packing import pack_power_of_two
-from .partenum import jaccard_groups
+from .partenum import jaccard_groups, jaccard_oracle
 from .quality import score_quality, train_quality
 from .secrets import scan_secrets, secret_digest, secret_oracle
 from .storage import scratch_path
@@ -82,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle(), "op8_pca_tiles": vector_oracle()}
+    return {"op3_partenum_join": jaccard_oracle(), "op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle(), "op8_pca_tiles": vector_oracle()}
