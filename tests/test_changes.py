@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clauseloom.operators import changes as C
+from clauseloom.operators import entries as N
 from clauseloom.operators import linking as L
 from clauseloom.operators import questions as Q
 from clauseloom.operators import retrieval as R
@@ -100,3 +101,19 @@ def test_stream_gates_versions(spark, tmp_path):
         query.awaitTermination()
     found = sorted((r.path, r.seq, r.nth) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert found == [("p", 1, 1), ("p", 3, 2), ("q", 1, 1)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("ab |\n", max_size=40), max_size=6), st.integers(4, 30))
+def test_pieces_lose_nothing(units, limit):
+    found = N.pack_units(units, limit)
+    assert all(len(p) <= limit for p in found)
+    plain = lambda parts: "".join("".join(parts).split())
+    if not any(u.startswith("|") for u in units):
+        assert plain(found) == plain(units)
+
+
+def test_services_take_the_longer_alias(spark):
+    said = spark.createDataFrame([(1, "Cloud Games and cloud"), (2, "cloudy"), (3, "클라우드게임은")], "k int, t string")
+    found = N.detect_services(said, "k", "t", [("cloud", "c"), ("cloud games", "g"), ("클라우드", "k")])
+    assert {r.k: r.services for r in found.collect()} == {1: ["g", "c"], 2: [], 3: ["k"]}
