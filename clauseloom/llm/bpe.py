@@ -13,7 +13,7 @@ import pyarrow as pa
 from .batches import gather, mix, utf8
 
 #: Distinct pieces, and ids of theirs, that a worker keeps before it starts over.
-CACHE_PIECES, CACHE_IDS = 600_000, 3_000_000
+CACHE_PIECES, CACHE_IDS = 1_100_000, 4_600_000
 #: Bytes of new pieces that go through the library on end.
 JOIN = 4096
 
@@ -94,8 +94,8 @@ class BpeEncoder:
     def _forget(self) -> None:
         self._hash = np.zeros(0, np.uint64)  # sorted, and in the same order:
         self._check = np.zeros(0, np.uint64)
-        self._starts = np.zeros(0, np.int64)
-        self._lengths = np.zeros(0, np.int64)
+        self._starts = np.zeros(0, np.int32)
+        self._lengths = np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.int32)
 
     def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +159,8 @@ class BpeEncoder:
             self._lengths = np.insert(self._lengths, place, counts[order])
             self._ids = np.concatenate([self._ids, ids])
             at = np.searchsorted(self._hash, distinct)
-        lengths = self._lengths[at][code]
-        flat = gather(self._ids, self._starts[at][code], lengths)
+        lengths = self._lengths[at][code].astype(np.int64)
+        flat = gather(self._ids, self._starts[at][code].astype(np.int64), lengths)
         upto = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, bounds)]
         if end_id is None:
             return flat, upto
