@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -167,7 +166,17 @@ class BpeEncoder:
         return np.insert(flat, upto[1:], end_id), upto + np.arange(len(upto))
 
 
-@lru_cache(maxsize=1)
+_KEPT: dict[str, BpeEncoder] = {}
+
+
 def encoder(path: str) -> BpeEncoder:
     """One encoder for all tasks of a worker process."""
-    return BpeEncoder(path)
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = BpeEncoder(path)
+    return _KEPT[path]
+
+
+def rest() -> None:
+    """Drop the encoder that a worker keeps; tasks of other operators begin with this."""
+    _KEPT.clear()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import mix, text_slices, utf8
-from .bpe import PrefixHash
+from .bpe import PrefixHash, rest
 from .buckets import BITS, TILE, WORDS, bits_apart, bucket_links, cell_bitmap, in_bitmap, merged_keys, parity_sketches, signed
 from .edits import within_edits
 from .storage import staged
@@ -89,6 +89,7 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
     texts = rows.select("text_hash", "text")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         for batch in text_slices(batches, "text", SLICE):
             lines = Lines(batch["text"], min_chars)
             own = lines.distinct()
@@ -149,6 +150,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         for batch in text_slices(batches, "text", SLICE):
             lines = Lines(batch["text"], min_chars)
             at = pa.array(lines.row)

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import mix, runs, text_slices
+from .bpe import rest
 from .buckets import BITS, TILE, bits_apart, bucket_links, cell_bitmap, in_bitmap, merged_keys, pair_keys, parity_sketches, signed
 from .shingles import shingle_sets
 from .storage import staged
 
 WIDTH = 5
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Up to this difference subsets of partitions are enumerated; with these many partitions in each subset.
 SUBSETS, SUBSET = 3, 3
 
@@ -131,6 +132,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(key.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(key).alias("cell"))
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         for batch in text_slices(batches, "text", SLICE):
             values, sizes = shingle_sets(batch["text"], width)
             ends = np.cumsum(sizes).tolist()

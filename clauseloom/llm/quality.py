@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import text_slices, utf8
-from .bpe import PrefixHash
+from .bpe import PrefixHash, rest
 
 FEATURES = ("length", "upper", "digit", "mark", "exclamation", "bar", "symbol", "space", "word_length", "repeated_words", "repeated_line", "first", "last", "bias")
 SLICE = 1 << 20
@@ -200,6 +200,7 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
     """
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest()
         for batch in text_slices(batches, "__text", SLICE):
             values = model.values(*line_features(batch["__text"]))[0]
             yield pa.RecordBatch.from_arrays([*(c for c, name in zip(batch.columns, batch.schema.names) if name != "__text"), pa.array(model.scores(values))], names=names)
