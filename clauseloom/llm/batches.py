@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one step of a vectorised operator handles at a time.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 3 << 18
 
 
 def give_back() -> None:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from .batches import gather, mix, utf8
 
 #: Distinct pieces, and ids of theirs, that a worker keeps before it starts over.
-CACHE_PIECES, CACHE_IDS = 1_100_000, 4_600_000
+CACHE_PIECES, CACHE_IDS = 1_400_000, 6_000_000
 #: Bytes of new pieces that go through the library on end.
 JOIN = 4096
 
