@@ -162,16 +162,18 @@ def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_lin
 
     ``keys``: key, node, as :func:`merged_keys` gives them. ``prepare`` gets the nodes that share a
     bucket with another and returns ``sketches`` (node, size and the words of a parity sketch),
-    ``verify``, which keeps the linked ones of pairs (a, b), and ``apart``, which leaves out rows of
-    nodes that have an equal among others. ``may_link(size, size, low, high)``, of the bits in
+    ``verify``, which keeps the linked ones of pairs (a, b), ``apart``, which leaves out rows of
+    nodes that have an equal among others, and ``equals``, links (a, b) of all that it leaves out, or
+    None. ``may_link(size, size, low, high)``, of the bits in
     which both halves of the sketches differ, is true wherever there is a link. ``rounds`` stars
     around a random node follow the one around the smallest.
     """
     shared = staged(shared_keys(keys), "shared")
     free_shuffles(keys.sparkSession)
     tested = staged(shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    sketches, verify, apart = prepare(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
-    links = staged(verify(tested), "links")
+    sketches, verify, apart, equals = prepare(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
+    links = verify(tested)
+    links = staged(links if equals is None else links.unionByName(equals), "links")
     free_shuffles(keys.sparkSession)
     components = connected_components(links)
     members = apart(shared.where("more").select("key", "node"))  # a bucket of two is settled by its star

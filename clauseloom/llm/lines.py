@@ -136,7 +136,7 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
             both = looked.join(lines.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
             return both.mapInArrow(close, "a long, b long")
 
-        return lines, verify, lambda members: members
+        return lines, verify, lambda members: members, None
 
     may_link = lambda m, n, low, high: (np.abs(m - n) <= edits) & (low <= 2 * edits) & (high <= 4 * edits)
     return bucket_links(texts.mapInArrow(emit, "key long, node long"), prepare, may_link, tile, rounds=1)

@@ -202,12 +202,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = left.join(named(own, "a", "set", "x"), "a").join(named(own, "b", "set", "y"), "b")
         return looked.where("equal").select("a", "b").union(both.mapInArrow(similar, "a long, b long")).distinct()
 
+    same = ["digest", "size", *BITS]
+
     def apart(members: DataFrame) -> DataFrame:
-        smallest = sketches.groupBy("digest", "size", *BITS).agg(F.min("node").alias("node")).select("node")
+        smallest = sketches.groupBy(*same).agg(F.min("node").alias("node")).select("node")
         return members.join(smallest, "node", "left_semi")
 
+    def prepare(nodes: DataFrame):
+        # equal sets need not meet in any star, so each is linked to the smallest node of its kind
+        copied = staged(sketches.groupBy(*same).agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last"), "copied")
+        return sketches, verify, apart, sketches.join(copied, same).where("a < node").select("a", F.col("node").alias("b"))
+
     may_link = lambda m, n, low, high: (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (9 * (low + high) <= m + n)
-    found = bucket_links(keys, lambda nodes: (sketches, verify, apart), may_link, tile)
+    found = bucket_links(keys, prepare, may_link, tile)
     named = base.select("node", "size").join(found.withColumnRenamed("id", "node"), "node", "left")
     return named.select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 

@@ -65,6 +65,15 @@ def test_jaccard_groups_equal_brute_force(spark):
         assert got == groups(texts)
 
 
+def test_exact_copies_link_among_unlinked_variants(spark):
+    template = [f"w{n}" for n in range(44)]
+    texts = [(n, " ".join([*template[: 4 + n % 36], f"x{n}", *template[5 + n % 36 :]])) for n in range(300)]
+    assert all(root == d for d, _, root in groups(texts))
+    texts += [(1000 + n, " ".join(template)) for n in range(8)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(frame(spark, texts)).collect())
+    assert got == groups(texts) and {root for d, _, root in got if d >= 1000} == {1000}
+
+
 def test_jaccard_groups_take_odd_rows(spark):
     found = jaccard_groups(frame(spark)).collect()
     assert len(found) == len(rows())
