@@ -8,6 +8,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .batches import gather, mix, utf8
 
@@ -76,7 +77,8 @@ class BpeEncoder:
     lone line end, so a text can be cut there and every distinct piece encoded once. Pieces are
     known by two 64-bit hashes. New ones go through the library on end; as each id
     stands for known bytes, the pieces' sizes say where one ends. Texts with other white space
-    are one piece. Strings of special tokens are ordinary text.
+    are one piece, and so are those that hold the text of an added token, which the library
+    gives that token's id.
     """
 
     def __init__(self, path: str):
@@ -84,10 +86,13 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self.vocabulary = self._tokenizer.get_vocab_size()
         # a byte-level vocabulary writes each byte as one character
         self._bytes = np.array([len(self._tokenizer.id_to_token(n) or "") for n in range(self.vocabulary)], np.int64)
+        added = {n: t.content for n, t in self._tokenizer.get_added_tokens_decoder().items()}
+        for n, content in added.items():
+            self._bytes[n] = len(content.encode())
+        self._added = [content for content in added.values() if content]
         self._forget()
 
     def _forget(self) -> None:
@@ -127,6 +132,8 @@ class BpeEncoder:
         if len(self._hash) > CACHE_PIECES or len(self._ids) > CACHE_IDS:
             self._forget()
         uncut = _unsplit(data, bounds)
+        for content in self._added:
+            uncut |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
         line = np.flatnonzero(data == 10)
         cuts = np.concatenate([np.flatnonzero(data == 32), line, line + 1])
         cuts = cuts[cuts < len(data)]

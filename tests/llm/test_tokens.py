@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clauseloom.llm import huffman
+from clauseloom.llm.bpe import BpeEncoder
 from clauseloom.llm.lattice import PieceLattice, decode_pieces, sample_pieces
 from clauseloom.llm.packing import decompose, pack_power_of_two, unpack
 from clauseloom.llm.storage import scratch_path
@@ -38,6 +39,22 @@ def test_decompose_cuts_into_powers():
     assert start[row == 4].tolist() == [0, 1024, 2048]
 
 
+def test_added_tokens_have_the_librarys_ids(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"{end} start", f"x{end}", f"{end}{end} \n {end}", f"two  spaces {end}\nline", end, "plain text here", f"cut {end[:5]} {end[5:]}", f"é{end}日本 語", None, "", f"a {end} b"]
+    library = Tokenizer.from_file(BPE)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for run in (texts, texts[::-1]):
+        ids, bounds = BpeEncoder(BPE).encode(pa.array(run, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in run]
+    made = list(enumerate(texts))
+    want = {d: ids_of(library, t).tobytes() for d, t in made}
+    assert {r.doc_id: bytes(r.ids) for r in unpack(pack_power_of_two(frame(spark, made), BPE)).collect()} == want
+    path = scratch_path(spark, "test-huffman")
+    huffman.write_huffman(frame(spark, made), path, BPE, block_ids=64, interval=8)
+    assert {r.doc_id: bytes(r.ids) for r in huffman.read_huffman(spark, path).collect()} == want
+
+
 def test_packing(spark, tokenizer):
     found = pack_power_of_two(frame(spark), BPE).collect()
     want = Counter(ids_of(tokenizer, t).tobytes() for _, t in rows())
