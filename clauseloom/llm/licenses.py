@@ -1,20 +1,22 @@
 """License scans by ordered signature rules, by DataFrame functions alone.
 
 Texts that name a license somewhere are written as words, two spaces apart, so that a rule
-is a regular expression over whole words. A rule runs only where its keyword occurs. Of
+is a regular expression over whole words. A rule runs only where a word that it requires occurs. Of
 overlapping detections the one of higher priority suppresses those inside its interval;
 among equals the longer one, then the earlier rule, stays.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matches import match_sizes, positions
 from .storage import staged
 
-#: Texts without a match are not scanned by rules; every rule and base phrase needs one.
+#: The SQL form's first look at a text; some rules need no match of it.
 GATE = r"(?i)licen[sc]e|spdx|creative[^a-z0-9]+commons|public[^a-z0-9]+domain|cc[^a-z0-9]+(?:by|zero|0)|copyleft"
 #: A word: letters A-Z in either case, digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -115,8 +117,8 @@ def _regex(words: str) -> str:
     return "".join(out)
 
 
-def rules() -> list[tuple[int, str, int, str, str]]:
-    """All rules in order: number, label, priority (0: base phrases), keyword, expression. The number decides last, the lower first."""
+def worded_rules() -> list[tuple[str, int, str, str]]:
+    """All rules in order: label, priority (0: base phrases), keyword of its family, words."""
     out = [(label, 0, words.split()[0], words) for words, label in BASE]
     for label, keyword, names, versions, identifiers in FAMILIES:
         for words in identifiers:
@@ -134,8 +136,33 @@ def rules() -> list[tuple[int, str, int, str, str]]:
             out.append((f"{label}-{v.replace(' ', '.')}", 3, "commons", f"creative commons {long} licen[sc]e {v}"))
         out.append((label, 2, "cc", f"cc {short}"))
         out.append((label, 2, "commons", f"creative commons {long} (?:international|unported)? licen[sc]e?"))
-    out += [(label, 2, keyword, words) for label, keyword, words in NOTICES]
-    return [(n, label, priority, keyword, _regex(words)) for n, (label, priority, keyword, words) in enumerate(out)]
+    return out + [(label, 2, keyword, words) for label, keyword, words in NOTICES]
+
+
+def rules() -> list[tuple[int, str, int, str, str]]:
+    """All rules in order: number, label, priority, keyword of its family, expression. The number decides last, the lower first."""
+    return [(n, label, priority, keyword, _regex(words)) for n, (label, priority, keyword, words) in enumerate(worded_rules())]
+
+
+def _required(words: str) -> list[str]:
+    """The words of a rule that are in every text it matches; those with alternatives within as they are written."""
+    flat = re.sub(r"\(\?:[^()]*\)\??", " ", words)
+    return [w for w in flat.split() if not w.endswith("?")]
+
+
+def needed_words() -> list[str]:
+    """For each rule a word that every match holds: its family's keyword where that is one, else the longest."""
+    out = []
+    for _, _, keyword, words in worded_rules():
+        plain = [w for w in _required(words) if w.isalnum() and w != "under"]  # "under" stands in too many texts
+        out.append(keyword if keyword in plain else max(plain, key=len))
+    return out
+
+
+def gate() -> str:
+    """Matches every text that some rule matches: it names a license, or holds the needed word of a rule that does not."""
+    alone = {need for need, (*_, words) in zip(needed_words(), worded_rules()) if not any("licen[sc]e" in w or "license" in w for w in _required(words))}
+    return f"(?i)licen[sc]e|(?<!{WORD[:-1]})(?:{'|'.join(sorted(alone))})(?!{WORD[:-1]})"
 
 
 _WORDS = lambda s: ((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("int")
@@ -154,10 +181,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = F.transform(F.regexp_extract_all(F.translate("text", upper, lower), F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("key"), text.alias("text"))
     found = staged(
-        rows.select("rid", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE), F.array_join(words, "")).alias("words")), "licenses"
+        rows.select("rid", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(gate()), F.array_join(words, "")).alias("words")), "licenses"
     )
-    table = F.broadcast(spark.createDataFrame(rules(), "number int, label string, priority int, keyword string, rule string"))  # a few hundred rules
-    keywords = sorted({r[3] for r in rules()})
+    needs = needed_words()
+    named = [(n, label, priority, need, rule) for (n, label, priority, _, rule), need in zip(rules(), needs)]
+    table = F.broadcast(spark.createDataFrame(named, "number int, label string, priority int, keyword string, rule string"))  # a few hundred rules
+    keywords = sorted(set(needs))
     present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k, F.lit(" "))))
     pairs = found.where("words is not null").select("rid", "words", F.explode(present).alias("keyword")).join(table, "keyword")
     sizes = pairs.select("rid", "number", "label", "priority", F.posexplode(match_sizes(F.col("words"), F.col("rule"), _WORDS)).alias("nth", "m"))

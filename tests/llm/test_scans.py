@@ -1,6 +1,7 @@
 """Scans, scores and media: SQL where it can say the same, brute force and round trips elsewhere."""
 
 import hashlib
+import re
 from itertools import product
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from clauseloom.llm import flac, quality, queries
-from clauseloom.llm.licenses import license_digest, license_oracle, scan_licenses
+from clauseloom.llm.licenses import license_digest, license_oracle, scan_licenses, worded_rules
 from clauseloom.llm.secrets import redact_secrets, scan_secrets, secret_digest, secret_oracle
 
 from ..oracle import connect, same
@@ -41,6 +42,19 @@ def test_scans_equal_duckdb(spark, texts, run, sql):
     assert run(empty(spark)).count() == 0
 
 
+def test_every_rule_fires_on_its_own_shortest_text(spark):
+    texts = []
+    for *_, words in worded_rules():
+        short = re.sub(r"\(\?:[^()]*\)\?", "", words)
+        short = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", short)
+        texts.append(" ".join(w for w in short.split() if not w.endswith("?")).replace("[sc]", "c"))
+    assert {"bsd 2 clause", "gnu gpl v3", "cc0 1 0", "wtfpl", "nasa open source agreement"} <= set(texts)
+    found = {r.doc_id: r for r in scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    for n, (_, priority, _, _) in enumerate(worded_rules()):
+        whole = [d for d in found[n].detections if (d.start, d.end) == (0, found[n].n_words) and (d.number == n if priority == 0 else d.priority >= priority)]
+        assert whole, texts[n]
+
+
 def test_weak_candidates_need_a_partner(spark):
     spans = {r.doc_id: r.spans for r in secret_digest(scan_secrets(frame(spark, list(enumerate(SECRETS))))).collect()}
     assert spans[2] == "" and "address:0:28" in spans[3] and "account" in spans[1] and spans[5] == ""
