@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linking as L
-from ..operators.retrieval import vector_top
+from ..operators.retrieval import vector_links
 from ..tables import table
 
 #: Similarity from which vectors of the synthetic tables count as linked; they lie further apart than real ones.
@@ -14,10 +14,10 @@ LEAST = 0.3
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All similarities of the vectors of query rows (cases) with others (clauses)."""
+    """Similarities of the vectors of query rows (cases) with others (clauses), all from ``LEAST`` on once rounded."""
     vectors = table(spark, sf_dir, "embeddings")
     cases = vectors.where("vec_id % 50 = 0")
-    found = vector_top(vectors.where("vec_id % 50 <> 0"), cases, 1 << 20)
+    found = vector_links(vectors.where("vec_id % 50 <> 0"), cases, LEAST - 0.001)
     return found.select(F.col("vec_id").alias("group"), F.col("query_id").alias("case_id"), F.round("similarity", 3).alias("similarity")).join(cases.select(F.col("vec_id").alias("case_id"), F.col("label").alias("release")), "case_id")
 
 

@@ -69,8 +69,8 @@ def rrf_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ranks of a query's candidates, the vectors of its label, without a cut."""
-    every = _vectors(spark, sf_dir, 1 << 20, "label")
-    return every.groupBy("query_id").agg(F.count("*").alias("candidates"), F.max("rank").alias("last"), F.min_by("vec_id", "rank").alias("best"))
+    every = R.vector_counts(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), same="label")
+    return every.select("query_id", "candidates", F.col("candidates").alias("last"), "best")
 
 
 def content_dedup_also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
