@@ -27,33 +27,44 @@ TILE = 1024
 STEP = 16
 
 
-def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Which rows hold a usable vector, their unit vectors in double precision, and their raw bytes. Rows of other sizes than the first usable one are not usable."""
-    right, units, raws, size = [], [], [], None
+def _usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Which rows hold a usable vector, these vectors' sizes, and their components in double precision as bytes."""
+    right, sizes, raws = [], [], []
     for n, v in enumerate(column):
         x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, dtype=np.float64)
-        if x is None or not len(x) or (size is not None and len(x) != size) or not np.isfinite(x).all() or not (norm := math.sqrt(float(x @ x))) > 0 or not math.isfinite(norm):
+        if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
             continue
-        size = len(x)
         right.append(n)
-        units.append(x / norm)
+        sizes.append(len(x))
         raws.append((x + 0.0).tobytes())
-    return np.array(right, np.int64), np.array(units).reshape(len(right), size or 0), raws
+    return np.array(right, np.int64), np.array(sizes, np.int64), raws
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is first scaled by its largest component, so that no square overflows or vanishes."""
+    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
+def _rows_of(column: pa.Array, count: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(count, -1)
 
 
 def _moments(rows: DataFrame) -> np.ndarray:
-    """Sum of outer products of all unit vectors: dimensions squared, whatever the number of rows."""
+    """Sum of outer products of all unit vectors, all of one size: dimensions squared, whatever the number of rows."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            unit = np.frombuffer(b"".join(batch["unit"].to_pylist()), np.float64).reshape(batch.num_rows, -1)
+            if not batch.num_rows:
+                continue
+            unit = _unit(_rows_of(batch["raw"], batch.num_rows))
             total = unit.T @ unit if total is None else total + unit.T @ unit
         if total is not None:
             i, j = np.indices(total.shape)
             yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "x"])
 
-    cells = rows.select("unit").mapInArrow(add, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    cells = rows.select("raw").mapInArrow(add, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     size = max((r["i"] for r in cells), default=-1) + 1
     out = np.zeros((size, size))
     for r in cells:
@@ -62,7 +73,7 @@ def _moments(rows: DataFrame) -> np.ndarray:
 
 
 def compare_tiles(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of ``a`` and ``b`` with dot product ``threshold`` or more; i < j where both are one tile. Rows are unit vectors, leading dimensions first."""
+    """Pairs (i, j) of rows of ``a`` and ``b`` whose dot product may reach ``threshold``, up to rounding; i < j where both are one tile. Rows are unit vectors, leading dimensions first."""
     size, slack = a.shape[1], 1e-9
     rest = lambda x, at: np.sqrt(np.maximum((x[:, at:] ** 2).sum(axis=1), 0))
     at = min(STEP, size)
@@ -77,103 +88,111 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) ->
         total = total + np.einsum("nd,nd->n", a[i, at:upto], b[j, at:upto])
         on = total + rest(a, upto)[i] * rest(b, upto)[j] >= threshold - slack
         i, j, total, at = i[on], j[on], total[on], upto
-    exact = np.einsum("nd,nd->n", a[i], b[j]) >= threshold
-    return i[exact], j[exact]
+    return i, j
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
     """One row for each row of ``vectors``: ``id_col``, n_links (other vectors of cosine ``threshold`` or more among those of the same label), component_id (smallest id that links reach), kept (it is that one).
 
     Copies within a label are compared once and counted as often as they occur. Each pair of tiles
-    sends a count for each vector and the edges of a spanning star, not its pairs.
+    sends a count for each vector and the edges of a spanning star, not its pairs. The PCA only
+    orders and bounds: what it lets through is decided on the vectors as they are given.
 
-    Vectors that are null, empty, zero, of another size than others, or hold null or non-finite
-    components, and rows whose label or id is null, link with nothing; such a row is kept. Rows that
-    repeat an id are vectors of their own with that id. An empty table gives no rows. Other
-    columns are not read.
+    Vectors that are null, empty, zero, or hold null or non-finite components, and rows whose label or id is null,
+    link with nothing; such a row is kept. Vectors of different sizes do not link; each size has directions of its own,
+    which the driver computes one size at a time. Rows that repeat an id are vectors of their own,
+    counted and linked each within its label. An empty table gives no rows. Other columns are not read.
     """
-    kinds = f"vec_id {vectors.schema[id_col].dataType.simpleString()}, label {vectors.schema[label_col].dataType.simpleString()}, digest binary, unit binary"
+    kind, label = vectors.schema[id_col].dataType.simpleString(), vectors.schema[label_col].dataType.simpleString()
 
-    def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def raws(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            right, unit, raws = _unit_rows(batch["vector"])
-            digests: list = [None] * batch.num_rows
-            rows: list = [None] * batch.num_rows
-            for n, u, raw in zip(right.tolist(), unit, raws):
-                digests[n], rows[n] = xxhash.xxh3_128_digest(raw), u.tobytes()
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["vec_id", "label", "digest", "unit"])
+            right, size, raw = _usable(batch["vector"])
+            digests, rows, sizes = ([None] * batch.num_rows for _ in range(3))
+            for n, s, x in zip(right.tolist(), size.tolist(), raw):
+                digests[n], rows[n], sizes[n] = xxhash.xxh3_128_digest(x), x, s
+            columns = [batch["vec_id"], batch["label"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "size", "digest", "raw"])
 
     chosen = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
-    rows = staged(chosen.mapInArrow(units, kinds), "vectors")
+    rows = staged(chosen.mapInArrow(raws, f"vec_id {kind}, label {label}, size long, digest binary, raw binary"), "vectors")
     right = (F.col("digest").isNotNull()) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     members = rows.where(right)
     alone = rows.where(~right).select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    groups = staged(members.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "distinct-vectors")
+    # a node is a distinct vector of a label; ids may be repeated and say nothing
+    groups = members.groupBy("label", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("raw").alias("raw"))
+    groups = staged(groups.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
 
-    values, turn = np.linalg.eigh(_moments(groups)) if groups.take(1) else (None, np.zeros((0, 0)))
-    turn = turn[:, ::-1]  # dimensions squared
+    sizes = [r[0] for r in groups.groupBy("size").count().orderBy("size").collect()]
+    turns = {size: np.linalg.eigh(_moments(groups.where(F.col("size") == size)))[1][:, ::-1] for size in sizes}
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = np.frombuffer(b"".join(batch["unit"].to_pylist()), np.float64).reshape(batch.num_rows, -1) @ turn
-            cell = np.floor(unit[:, :2] / width).astype(np.int32)
-            second = cell[:, 1] if cell.shape[1] > 1 else np.zeros(len(cell), np.int32)
-            yield pa.RecordBatch.from_arrays([batch["label"], batch["rep"], batch["copies"], pa.array(cell[:, 0]), pa.array(second), pa.array([u.tobytes() for u in unit], pa.binary())], names=["label", "rep", "copies", "x", "y", "unit"])
-
-    label = groups.schema["label"].dataType.simpleString()
-    placed = groups.select("label", "rep", "copies", "unit").mapInArrow(place, f"label {label}, rep long, copies long, x int, y int, unit binary")
+            own = np.asarray(batch["size"])
+            for size in np.unique(own).tolist():
+                part = batch.take(pa.array(np.flatnonzero(own == size)))
+                unit = _unit(_rows_of(part["raw"], part.num_rows)) @ turns[size]
+                cell = np.floor(unit[:, :2] / width).astype(np.int32)
+                second = cell[:, 1] if cell.shape[1] > 1 else np.zeros(len(cell), np.int32)
+                columns = [part["label"], part["size"], part["node"], part["copies"], pa.array(cell[:, 0]), pa.array(second), pa.array([u.tobytes() for u in unit], pa.binary()), part["raw"]]
+                yield pa.RecordBatch.from_arrays(columns, names=[*cells, "node", "copies", "x", "y", "unit", "raw"])
+
+    cells = ["label", "size"]
+    placed = groups.select(*cells, "node", "copies", "raw").mapInArrow(place, f"label {label}, size long, node long, copies long, x int, y int, unit binary, raw binary")
     placed = staged(placed, "placed-vectors")
-    blocks = placed.groupBy("label", "x", "y").agg(F.ceil(F.count("*") / tile).alias("blocks"))
-    tiled = placed.join(blocks, ["label", "x", "y"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cells += ["x", "y"]
+    blocks = placed.groupBy(*cells).agg(F.ceil(F.count("*") / tile).alias("blocks"))
+    tiled = placed.join(blocks, cells).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def pack(table: pa.Table) -> pa.Table:
-        first = table.slice(0, 1)
-        lists = [pa.array([table["rep"].to_pylist()], pa.list_(pa.int64())), pa.array([table["copies"].to_pylist()], pa.list_(pa.int64())), pa.array([b"".join(table["unit"].to_pylist())], pa.binary())]
-        return pa.table([*(first[c] for c in ("label", "x", "y", "block")), *lists], names=["label", "x", "y", "block", "reps", "copies", "units"])
+        lists = [pa.array([table[c].to_pylist()], pa.list_(pa.int64())) for c in ("node", "copies")]
+        joined = [pa.array([b"".join(table[c].to_pylist())], pa.binary()) for c in ("unit", "raw")]
+        return pa.table([*(table.slice(0, 1)[c] for c in (*cells, "block")), *lists, *joined], names=[*cells, "block", "nodes", "copies", "units", "raws"])
 
-    tiles = tiled.select("label", "x", "y", "block", "rep", "copies", "unit").groupBy("label", "x", "y", "block").applyInArrow(
-        pack, f"label {label}, x int, y int, block long, reps array<long>, copies array<long>, units binary"
-    )
+    # dealt by the tile, since a cell may hold a third of all vectors
+    dealt = tiled.select(*cells, "block", "node", "copies", "unit", "raw").repartition(*cells, "block")
+    tiles = dealt.groupBy(*cells, "block").applyInArrow(pack, f"label {label}, size long, x int, y int, block long, nodes array<long>, copies array<long>, units binary, raws binary")
     tiles = staged(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
-    index = tiles.select("tile", "label", "x", "y", "block")
+    index = tiles.select("tile", *cells, "block")
     ahead = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)))))
-    left = index.select(F.col("tile").alias("a"), F.col("label"), F.col("block").alias("a_block"), F.col("x"), F.col("y"), ahead.alias("d"))
-    left = left.select("a", "label", "a_block", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"))
-    pairs = left.join(index.withColumnRenamed("tile", "b"), ["label", "x", "y"]).where("not own or a_block <= block").select("a", "b")
-    side = lambda c: tiles.select(F.col("tile").alias(c), F.col("reps").alias(f"{c}_reps"), F.col("copies").alias(f"{c}_copies"), F.col("units").alias(f"{c}_units"))
+    left = index.select(F.col("tile").alias("a"), "label", "size", F.col("block").alias("a_block"), "x", "y", ahead.alias("d"))
+    left = left.select("a", "label", "size", "a_block", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"))
+    pairs = left.join(index.withColumnRenamed("tile", "b"), cells).where("not own or a_block <= block").select("a", "b")
+    side = lambda c: tiles.select(F.col("tile").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("nodes", "copies", "units", "raws")))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 row = {name: batch[name][n] for name in batch.schema.names}
-                reps, copies, units = [], [], []
+                nodes, copies, units, raw = [], [], [], []
                 same = row["a"].as_py() == row["b"].as_py()
                 for c in "a" if same else "ab":
-                    reps.append(np.asarray(row[f"{c}_reps"].values))
+                    nodes.append(np.asarray(row[f"{c}_nodes"].values))
                     copies.append(np.asarray(row[f"{c}_copies"].values))
-                    units.append(np.frombuffer(row[f"{c}_units"].as_buffer(), np.float64).reshape(len(reps[-1]), -1))
+                    units.append(np.frombuffer(row[f"{c}_units"].as_buffer(), np.float64).reshape(len(nodes[-1]), -1))
+                    raw.append(np.frombuffer(row[f"{c}_raws"].as_buffer(), np.float64).reshape(len(nodes[-1]), -1))
                 i, j = compare_tiles(units[0], units[-1], threshold, same)
+                exact = np.einsum("nd,nd->n", _unit(raw[0][i]), _unit(raw[-1][j])) >= threshold if len(i) else np.zeros(0, bool)
+                i, j = i[exact], j[exact]
                 if not len(i):
                     continue
-                ids, weight = np.concatenate(reps), np.concatenate(copies)
-                j = j if same else j + len(reps[0])
-                order = np.argsort(ids)
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                root = local_components(len(ids), rank[i], rank[j])[rank]
+                ids, weight = np.concatenate(nodes), np.concatenate(copies)
+                j = j if same else j + len(nodes[0])
+                root = local_components(len(ids), i, j)
                 links = np.zeros(len(ids), np.int64)
                 np.add.at(links, i, weight[j])
                 np.add.at(links, j, weight[i])
                 on = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), pa.array(ids[order][root[on]])], names=["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), pa.array(ids[root[on]])], names=["node", "links", "root"])
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "rep long, links long, root long")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "node long, links long, root long")
     met = staged(met, "links")
-    links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    reached = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    known = groups.select("label", "digest", "rep", "copies").join(links, "rep", "left").join(reached, "rep", "left")
-    known = known.select("label", "digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = met.groupBy("node").agg(F.sum("links").alias("links"))
+    reached = connected_components(met.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("root"))
+    known = groups.select("label", "digest", "node", "least", "copies").join(links, "node", "left").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(smallest, "root").select("label", "digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("component_id").cast("long").alias("component_id"))
     linked = members.select("vec_id", "label", "digest").join(known, ["label", "digest"])
     return linked.select(F.col("vec_id").alias(id_col), "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionAll(alone)
 
