@@ -6,11 +6,11 @@ import os
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .batches import gather, mix, utf8
+from .batches import gather, utf8
+from .hashes import distinct, piece_hashes
 
 #: Distinct pieces, and ids of theirs, that a worker keeps before it starts over.
 CACHE_PIECES, CACHE_IDS = 1_400_000, 6_000_000
@@ -21,38 +21,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class PrefixHash:
-    """Two 64-bit polynomial hashes of any run of a byte array, from running sums."""
-
-    def __init__(self, data: np.ndarray):
-        self._sums, self._back = [], []
-        # odd bases have inverses, so a run's sum can be moved to the origin
-        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            power, inverse = _powers(base, len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-            self._sums.append(sums)
-            self._back.append(inverse)
-
-    def runs(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(mix((s[ends] - s[starts]) * b[starts]) for s, b in zip(self._sums, self._back))
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        n = max(n, 1 << 17) * 5 // 4
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(n, b, np.uint64)
-            row[0] = 1
-            both.append(np.cumprod(row))
-        _POWERS[base] = tuple(both)
-    return _POWERS[base][0][:n], _POWERS[base][1][:n]
-
-
 def _unsplit(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Which rows hold adjoining ASCII white space, or white space beyond ASCII: a cut at spaces could change their ids."""
     space = _SPACE[data]
@@ -75,7 +43,8 @@ class BpeEncoder:
 
     A byte-level pre-tokenizer always starts a new token at a lone space, and at both sides of a
     lone line end, so a text can be cut there and every distinct piece encoded once. Pieces are
-    known by two 64-bit hashes. New ones go through the library on end; as each id
+    known by 128-bit hashes; should two agree in the half that they are sorted by, hashing starts
+    anew with another seed. New ones go through the library on end; as each id
     stands for known bytes, the pieces' sizes say where one ends. Texts with other white space
     are one piece, and so are those that hold the text of an added token, which the library
     gives that token's id.
@@ -93,6 +62,7 @@ class BpeEncoder:
         for n, content in added.items():
             self._bytes[n] = len(content.encode())
         self._added = [content for content in added.values() if content]
+        self._seed = 0
         self._forget()
 
     def _forget(self) -> None:
@@ -126,6 +96,33 @@ class BpeEncoder:
         first[order] = begin
         return gather(ids, first, counts), counts
 
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which distinct piece each piece is, and where the table of known pieces has the distinct ones; new ones join it."""
+        one, two = piece_hashes(data, starts, ends, self._seed)
+        code, first, collide = distinct(one, two)
+        own, check = one[first], two[first]
+        at = np.searchsorted(self._hash, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(self._hash)
+        known[inside] = self._hash[at[inside]] == own[inside]
+        if collide or (self._check[at[known]] != check[known]).any():
+            self._seed += 1
+            self._forget()
+            return self._places(data, starts, ends, whole)
+        new = np.flatnonzero(~known)
+        if len(new):
+            pick = first[new]
+            ids, counts = self._encode_new(data, starts[pick], ends[pick], whole[pick])
+            begin = len(self._ids) + np.cumsum(counts) - counts
+            place = at[new]
+            self._hash = np.insert(self._hash, place, own[new])
+            self._check = np.insert(self._check, place, check[new])
+            self._starts = np.insert(self._starts, place, begin)
+            self._lengths = np.insert(self._lengths, place, counts)
+            self._ids = np.concatenate([self._ids, ids])
+            at = np.searchsorted(self._hash, own)
+        return code, at
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end (int32), with ``end_id`` after each, and the bounds of each text's ids. Null texts are empty."""
         data, bounds = utf8(texts)
@@ -144,27 +141,7 @@ class BpeEncoder:
         starts = np.flatnonzero(starting[:-1])
         ends = np.append(starts[1:], bounds[-1]) if len(starts) else starts
         row = np.searchsorted(bounds, starts, side="right") - 1
-        hashes, checks = PrefixHash(data).runs(starts, ends)
-        code, distinct = pd.factorize(hashes)
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        if (checks[first][code] != checks).any():
-            raise RuntimeError("two pieces share a hash")
-        at = np.minimum(np.searchsorted(self._hash, distinct), max(len(self._hash) - 1, 0))
-        known = (self._hash[at] == distinct) & (self._check[at] == checks[first]) if len(self._hash) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            pick = first[new]
-            ids, counts = self._encode_new(data, starts[pick], ends[pick], uncut[row[pick]])
-            begin = len(self._ids) + np.cumsum(counts) - counts
-            order = np.argsort(distinct[new])
-            place = np.searchsorted(self._hash, distinct[new][order])
-            self._hash = np.insert(self._hash, place, distinct[new][order])
-            self._check = np.insert(self._check, place, checks[pick][order])
-            self._starts = np.insert(self._starts, place, begin[order])
-            self._lengths = np.insert(self._lengths, place, counts[order])
-            self._ids = np.concatenate([self._ids, ids])
-            at = np.searchsorted(self._hash, distinct)
+        code, at = self._places(data, starts, ends, uncut[row])
         lengths = self._lengths[at][code].astype(np.int64)
         flat = gather(self._ids, self._starts[at][code].astype(np.int64), lengths)
         upto = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, bounds)]

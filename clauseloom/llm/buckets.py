@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .batches import mix
 from .components import connected_components
-from .storage import free_shuffles, staged
+from .storage import discard, staged, written
 
-#: Nodes in a tile, about.
-TILE = 1024
+#: Nodes in a tile, about, and how many of them face another tile at a time.
+TILE, STRIP = 4096, 256
 #: Low bits of a key that say which slice its rows met in.
 SALT = 12
 #: Cells of the bitmap that says which rows are read again.
@@ -60,9 +60,11 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of buckets that hold nodes of several components: key, node, comp."""
     named = members.join(components.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    named = staged(named, "members")
+    named, held = written(named, "members")
     several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return staged(named.join(several, "key", "left_semi"), "mixed")
+    mixed = staged(named.join(several, "key", "left_semi"), "mixed")
+    discard(members.sparkSession, held)
+    return mixed
 
 
 def _leader_pairs(mixed: DataFrame, seed: int) -> DataFrame:
@@ -90,19 +92,21 @@ def _tile_pairs(mixed: DataFrame, sketches: DataFrame, may_link: Callable, tile:
             at = np.concatenate([[0], np.cumsum(tiles.value_lengths().to_numpy(zero_copy_only=False))])
             found = []
             for a, b in zip(at.tolist(), at[1:].tolist()):
-                left, right = slice(upto[a], upto[a + 1]), slice(upto[b - 1], upto[b])
-                on = (column["comp"][left][:, None] != column["comp"][right][None, :])
-                if b - a == 1:
-                    on = np.triu(on, 1)
-                i, j = np.nonzero(on)
-                if not len(i):
-                    continue
-                i, j = i + left.start, j + right.start
-                apart = np.bitwise_count(words[i] ^ words[j])
-                low, high = apart[:, : WORDS // 2].sum(axis=1, dtype=np.int64), apart[:, WORDS // 2 :].sum(axis=1, dtype=np.int64)
-                ok = may_link(column["size"][i], column["size"][j], low, high)
-                x, y = column["node"][i[ok]], column["node"][j[ok]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                right = slice(upto[b - 1], upto[b])
+                for first in range(upto[a], upto[a + 1], STRIP):
+                    left = slice(first, min(first + STRIP, upto[a + 1]))
+                    on = column["comp"][left][:, None] != column["comp"][right][None, :]
+                    if b - a == 1:
+                        on = np.triu(on, 1 + left.start - right.start)
+                    i, j = np.nonzero(on)
+                    if not len(i):
+                        continue
+                    i, j = i + left.start, j + right.start
+                    apart = np.bitwise_count(words[i] ^ words[j])
+                    low, high = apart[:, : WORDS // 2].sum(axis=1, dtype=np.int64), apart[:, WORDS // 2 :].sum(axis=1, dtype=np.int64)
+                    ok = may_link(column["size"][i], column["size"][j], low, high)
+                    x, y = column["node"][i[ok]], column["node"][j[ok]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -110,20 +114,21 @@ def _tile_pairs(mixed: DataFrame, sketches: DataFrame, may_link: Callable, tile:
     return facing.select("tiles").mapInArrow(compare, "a long, b long").distinct()
 
 
-def merged_keys(row: np.ndarray, key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and nodes so that a bucket that many nodes of a slice share is not one key of many rows.
+def merged_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and nodes so that a bucket that many nodes of a task share is not one key of many rows.
 
-    A key's low bits are cleared, and its smallest node in this slice has it, twice where there are
-    others. All of those have it once more, with low bits that say which slice they met in.
+    A key's low bits are cleared, and its smallest node here has it, twice where there are
+    others. All of those have it once more, with low bits that say where they met.
     """
-    node = nodes[row]
     key = key >> np.uint64(SALT) << np.uint64(SALT)
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(key)))
-    last = node[heads + sizes - 1] if len(key) else node
-    shared = node[heads] != last
+    shared = sizes > 1
     several = np.repeat(shared, sizes)
     lead = np.repeat(node[heads], sizes)[several]
     salt = np.uint64(1) + mix(lead.astype(np.uint64), 3) % np.uint64((1 << SALT) - 1)
@@ -169,13 +174,12 @@ def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_lin
     around a random node follow the one around the smallest.
     """
     shared = staged(shared_keys(keys), "shared")
-    free_shuffles(keys.sparkSession)
     tested = staged(shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     sketches, verify, apart, equals = prepare(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct())
     links = verify(tested)
-    links = staged(links if equals is None else links.unionByName(equals), "links")
-    free_shuffles(keys.sparkSession)
+    links, held = written(links if equals is None else links.unionByName(equals), "links")
     components = connected_components(links)
+    discard(keys.sparkSession, held)
     members = apart(shared.where("more").select("key", "node"))  # a bucket of two is settled by its star
     for seed in range(1, rounds + 2):
         mixed = _mixed(members, components)
@@ -183,8 +187,9 @@ def bucket_links(keys: DataFrame, prepare: Callable[[DataFrame], tuple], may_lin
             break
         pairs = _tile_pairs(mixed, sketches, may_link, tile) if seed > rounds else _leader_pairs(mixed, seed)
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = staged(verify(pairs), "links")
+        more, held = written(verify(pairs), "links")
         if more.take(1):
             components = connected_components(more.unionAll(components.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        discard(keys.sparkSession, held)
         members, tested = mixed.select("key", "node"), tested.unionAll(pairs)
     return components

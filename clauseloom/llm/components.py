@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import discard, written
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,10 +30,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates two steps on edges that point to smaller ids. The first hangs a node's larger
     neighbours under its smallest one, the second its smaller neighbours; both keep the
     components. It ends when the edges stay as they are, which then are stars. Each round's edges
-    are written to the shared folder. A node's neighbours are only ever counted by minimum or
+    are written to the shared folder, and deleted once the next are. A node's neighbours are only ever counted by minimum or
     joined, never gathered.
     """
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38)"))).first()
@@ -42,7 +43,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large, between = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(least.select("u", "m")).distinct(), "edges")
+        now, after = written(small.union(least.select("u", "m")).distinct(), "edges")
+        discard(spark, path, between)
+        path = after

@@ -4,7 +4,8 @@ Two lines are linked when their edit distance is ``EDITS`` or less. A line is cu
 segment more than that, so a line within this distance holds one of the segments unchanged,
 and close to where it stood: each line probes an index of segments by length, segment and
 content at the few starts that are possible. Candidates are verified by banded bit-parallel
-edit distance. Of all lines that links reach, the first occurrence stays.
+edit distance. Of all lines that links reach, the first occurrence stays. Shorter lines
+link where they are equal.
 """
 
 from __future__ import annotations
@@ -13,51 +14,72 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import mix, text_slices, utf8
-from .bpe import PrefixHash, rest
+from .bpe import rest
 from .buckets import BITS, TILE, WORDS, bits_apart, bucket_links, cell_bitmap, in_bitmap, merged_keys, parity_sketches, signed
 from .edits import within_edits
-from .storage import staged
+from .hashes import RollingSums
+from .storage import discard, staged, written
 
 EDITS = 2
-#: Lines of fewer code points stay as they are.
+#: Lines of fewer code points are linked only where they are equal.
 MIN_CHARS = 20
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Keys of an index that a task holds before it merges and hands them on.
+HELD = 400_000
+
+_WORD = np.zeros(256, bool)  # bytes of letters, digits and everything beyond ASCII
+_WORD[128:] = _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 
 
 class Lines:
-    """The lines of many texts: code points on end, starts and ends of lines, their texts, places and hashes."""
+    """The lines of many texts that hold a letter, digit or character beyond ASCII, or ``min_chars`` code points.
+
+    ``row`` and ``place`` say where a line stands, ``starts`` and ``ends`` its bytes, ``chars`` its code points. Its name
+    is ``node``, 64 bits of a 128-bit hash of its bytes; ``check`` has the others. ``renamed`` are
+    names that several lines have (ascending); theirs are made of all bits.
+    """
 
-    def __init__(self, texts: pa.Array, min_chars: int):
-        data, bounds = utf8(texts)
-        self.codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
-        feeds = np.flatnonzero(self.codes == 10)
+    def __init__(self, texts: pa.Array, min_chars: int, renamed: np.ndarray, bits: int = 64):
+        self.data, bounds = utf8(texts)
+        self.raw = self.data.tobytes()
+        feeds = np.flatnonzero(self.data == 10)
         rows = len(bounds) - 1
-        counts = np.bincount(np.searchsorted(upto, feeds, side="right") - 1, minlength=rows) + 1
+        counts = np.bincount(np.searchsorted(bounds, feeds, side="right") - 1, minlength=rows) + 1
         # a line ends at its line feed or where its text ends
-        order = np.argsort(np.concatenate([feeds * 2, upto[1:] * 2 - 1]), kind="stable")
-        ends = np.concatenate([feeds, upto[1:]])[order]
+        order = np.argsort(np.concatenate([feeds * 2, bounds[1:] * 2 - 1]), kind="stable")
+        ends = np.concatenate([feeds, bounds[1:]])[order]
         firsts = np.cumsum(counts) - counts
         starts = np.concatenate([[0], ends[:-1] + 1])
-        starts[firsts] = upto[:-1]
-        self.row = np.repeat(np.arange(rows), counts)
-        self.place = np.arange(len(ends)) - np.repeat(firsts, counts)
-        self.counts = counts
-        long = ends - starts >= min_chars
-        self.starts, self.ends, self.row, self.place = starts[long], ends[long], self.row[long], self.place[long]
-        self.hashes = PrefixHash(self.codes)
-        one, two = self.hashes.runs(self.starts, self.ends)
-        self.node = (one + mix(two)).view(np.int64)
-
-    def distinct(self) -> np.ndarray:
-        return np.unique(self.node, return_index=True)[1]
-
-
-def segment_keys(hashes: PrefixHash, starts: np.ndarray, ends: np.ndarray, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+        starts[firsts] = bounds[:-1]
+        self.upto = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        words = np.concatenate([[0], np.cumsum(_WORD[self.data])])
+        chars = self.upto[ends] - self.upto[starts]
+        on = (chars >= min_chars) | (words[ends] > words[starts])
+        self.row = np.repeat(np.arange(rows), counts)[on]
+        self.place = (np.arange(len(ends)) - np.repeat(firsts, counts))[on]
+        self.starts, self.ends, self.chars = starts[on], ends[on], chars[on]
+        digests = b"".join(xxhash.xxh3_128_digest(self.raw[a:b]) for a, b in zip(self.starts.tolist(), self.ends.tolist()))
+        both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        node, self.check = both[:, 0] >> np.uint64(64 - bits), both[:, 1].view(np.int64)
+        while len(renamed):
+            again = np.isin(node, renamed)
+            if not again.any():
+                break
+            node = np.where(again, mix(node ^ both[:, 1]), node)
+        self.node = node.view(np.int64)
+
+    def distinct(self, chosen: np.ndarray) -> np.ndarray:
+        """Numbers of the chosen lines, one for each name."""
+        at = np.flatnonzero(chosen)
+        return at[np.unique(self.node[at], return_index=True)[1]]
+
+
+def segment_keys(sums: RollingSums, starts: np.ndarray, ends: np.ndarray, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Line number and key of every segment in the index, and of every probe of it by lines that are as long or longer."""
     rows, keys = [], []
     size = ends - starts
@@ -75,14 +97,13 @@ def segment_keys(hashes: PrefixHash, starts: np.ndarray, ends: np.ndarray, edits
                 begin = at + shift
                 on = every[(length >= min_chars) & (begin >= 0) & (begin + wide <= size)]
                 salt = mix((length[on] * (edits + 1) + k).astype(np.uint64), 17)
-                one, two = hashes.runs(starts[on] + begin[on], starts[on] + begin[on] + wide[on])
                 rows.append(on)
-                keys.append(mix(one + mix(two) + salt))
+                keys.append(mix(sums.runs(starts[on] + begin[on], starts[on] + begin[on] + wide[on]) + salt))
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
-    """``id`` and ``component`` of the hashes of lines that links reach, but for each component's smallest.
+def line_components(rows: DataFrame, firsts: DataFrame, renamed: np.ndarray, edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE, bits: int = 64) -> DataFrame:
+    """``id`` and ``component`` of the names of lines that links reach, but for each component's smallest.
 
     ``rows``: text_hash and text; ``firsts``: node and first, which has the text_hash of a text that holds the line.
     """
@@ -90,12 +111,25 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest()
+        held, count = [], 0
+
+        def merged():
+            key, node = merged_keys(*(np.concatenate(c) for c in zip(*held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([signed(key), pa.array(node)], names=["key", "node"])
+
         for batch in text_slices(batches, "text", SLICE):
-            lines = Lines(batch["text"], min_chars)
-            own = lines.distinct()
-            row, key = segment_keys(lines.hashes, lines.starts[own], lines.ends[own], edits, min_chars)
-            key, node = merged_keys(row, key, lines.node[own])
-            yield pa.RecordBatch.from_arrays([signed(key), pa.array(node)], names=["key", "node"])
+            lines = Lines(batch["text"], min_chars, renamed, bits)
+            own = lines.distinct(lines.chars >= min_chars)
+            sums = RollingSums(np.frombuffer(lines.raw.decode().encode("utf-32-le"), np.uint32))
+            row, key = segment_keys(sums, lines.upto[lines.starts[own]], lines.upto[lines.ends[own]], edits, min_chars)
+            held.append((key, lines.node[own][row]))
+            count += len(key)
+            if count >= HELD:
+                yield merged()
+                count = 0
+        if held:
+            yield merged()
 
     def prepare(nodes: DataFrame):
         nodes = staged(nodes, "nodes")
@@ -106,26 +140,26 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
         def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = (b.filter(pa.array(in_bitmap(spots.value, b["text_hash"].to_numpy(zero_copy_only=False)))) for b in batches)
             for batch in text_slices(some, "text", SLICE):
-                lines = Lines(batch["text"], min_chars)
-                own = lines.distinct()
-                own = own[in_bitmap(cells.value, lines.node[own])]
-                sizes = lines.ends[own] - lines.starts[own]
-                parts = [lines.codes[a:b] for a, b in zip(lines.starts[own].tolist(), lines.ends[own].tolist())]
-                codes = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64)
+                lines = Lines(batch["text"], min_chars, renamed, bits)
+                own = lines.distinct((lines.chars >= min_chars) & in_bitmap(cells.value, lines.node))
+                sizes = lines.chars[own]
+                parts = [lines.raw[a:b] for a, b in zip(lines.starts[own].tolist(), lines.ends[own].tolist())]
+                codes = np.frombuffer(b"".join(parts).decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
                 # an edit changes the counts of two code points at most, and of four pairs of neighbours
                 pairs = mix(codes[:-1] * np.uint64(0x110000) + codes[1:], 19) if len(codes) else codes
                 inner = np.ones(len(codes), bool)
                 inner[np.cumsum(sizes) - 1] = False
                 words = [*parity_sketches(mix(codes, 23), sizes, WORDS // 2), *parity_sketches(pairs[inner[:-1]], sizes - 1, WORDS // 2)]
-                raw = pa.array([p.tobytes() for p in parts], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(lines.node[own]), pa.array(sizes), *map(pa.array, words), raw], names=["node", "size", *BITS, "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines.node[own]), pa.array(sizes), *map(pa.array, words), pa.array(parts, pa.binary())], names=["node", "size", *BITS, "line"])
 
-        found = texts.mapInArrow(chosen, "node long, size long, " + ", ".join(f"{b} long" for b in BITS) + ", codes binary")
+        found = texts.mapInArrow(chosen, "node long, size long, " + ", ".join(f"{b} long" for b in BITS) + ", line binary")
         lines = staged(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "lines")
+        cells.destroy()
+        spots.destroy()
 
         def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                one, two = ([np.frombuffer(x.as_buffer(), np.uint32) for x in batch[c]] for c in ("x", "y"))
+                one, two = ([np.frombuffer(str(x.as_buffer(), "utf-8").encode("utf-32-le"), np.uint32) for x in batch[c]] for c in ("x", "y"))
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(within_edits(one, two, edits), pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -133,7 +167,7 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
             met = pairs.join(side("a"), "a").join(side("b"), "b")
             low, high = bits_apart("a_", "b_")
             looked = staged(met.where((F.abs(F.col("a_size") - F.col("b_size")) <= edits) & (low <= 2 * edits) & (high <= 4 * edits)).select("a", "b"), "looked")
-            both = looked.join(lines.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
+            both = looked.join(lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
             return both.mapInArrow(close, "a long, b long")
 
         return lines, verify, lambda members: members, None
@@ -142,25 +176,46 @@ def line_components(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, min_
     return bucket_links(texts.mapInArrow(emit, "key long, node long"), prepare, may_link, tile, rounds=1)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
+def _named_lines(rows: DataFrame, kind: str, min_chars: int, bits: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Places of all lines (id, text_hash, place, node), what each name has (node, first, last place), and the names that had to be made anew.
+
+    Two lines that share 64 bits of their hashes show by the others, and are given other names before anything is
+    decided; some n² / 2⁶⁵ of n lines do, so their names are a bounded broadcast.
+    """
+    renamed = np.zeros(0, np.uint64)
+    while True:
+
+        def places(batches: Iterable[pa.RecordBatch], renamed=renamed) -> Iterator[pa.RecordBatch]:
+            rest()
+            for batch in text_slices(batches, "text", SLICE):
+                lines = Lines(batch["text"], min_chars, renamed, bits)
+                at = pa.array(lines.row)
+                columns = [batch["id"].take(at), batch["text_hash"].take(at), pa.array(lines.place), pa.array(lines.node), pa.array(lines.check)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "place", "node", "check"])
+
+        seen, held = written(rows.mapInArrow(places, f"id {kind}, text_hash long, place long, node long, check long"), "line-places")
+        at = F.struct("id", "text_hash", "place")
+        each, known = written(seen.groupBy("node").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("check").alias("low"), F.max("check").alias("high")), "line-firsts")
+        shared = [r[0] for r in each.where("low <> high").select("node").collect()]
+        if not shared:
+            return seen.drop("check"), each.drop("low", "high"), renamed
+        discard(rows.sparkSession, held, known)
+        renamed = np.union1d(renamed, np.array(shared, np.int64).view(np.uint64))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE, bits: int = 64) -> DataFrame:
     """``id_col``, text_hash and removed (line numbers from 0, ascending) of every text that holds lines met before.
 
-    "Before" is by (id, text_hash, line number), null ids first. Lines are known by 64-bit hashes.
+    "Before" is by (id, text_hash, line number), null ids first. Lines of ``min_chars`` code points link
+    within ``edits``, shorter ones where they are equal; lines without any letter, digit or character beyond
+    ASCII that are shorter stay. Rows of one id and text are one document. ``bits`` of a line's hash
+    name it at first, fewer only in tests.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest()
-        for batch in text_slices(batches, "text", SLICE):
-            lines = Lines(batch["text"], min_chars)
-            at = pa.array(lines.row)
-            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["text_hash"].take(at), pa.array(lines.place), pa.array(lines.node)], names=["id", "text_hash", "place", "node"])
-
-    rows = docs.where(F.length(text_col) >= min_chars).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    seen = staged(rows.mapInArrow(places, f"id {kind}, text_hash long, place long, node long"), "line-places")
+    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    seen, each, renamed = _named_lines(rows, kind, min_chars, bits)
     at = F.struct("id", "text_hash", "place")
-    each = staged(seen.groupBy("node").agg(F.min(at).alias("first"), F.max(at).alias("last")), "line-firsts")
-    linked = line_components(rows, each, edits, min_chars, tile)
+    linked = line_components(rows, each, renamed, edits, min_chars, tile, bits)
     several = staged(linked.select(F.col("id").alias("node"), "component").union(linked.select("component", "component").distinct()), "line-groups")
     firsts = several.join(each, "node").groupBy("component").agg(F.min("first").alias("keep"))
     kept = several.join(firsts, "component").select("node", "keep")
@@ -170,13 +225,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("removed")).withColumnRenamed("id", id_col)
 
 
-def count_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
+def count_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE, bits: int = 64) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_lines, n_kept and removed, the numbers of lines that were met before.
 
     A null or empty text is one empty line. Rows of one id and text are one document. An empty
     table gives no rows. Other columns are not read.
     """
-    gone = repeated_lines(docs, id_col, text_col, edits, min_chars, tile)
+    gone = repeated_lines(docs, id_col, text_col, edits, min_chars, tile, bits)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), lines.alias("n_lines"))

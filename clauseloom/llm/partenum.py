@@ -2,12 +2,17 @@
 
 Sets are dealt into bands so that sizes in one band differ by a quarter at most; sets of Jaccard 0.8
 lie in one band or in two that adjoin. Within a band the symmetric difference of such sets is bounded by
-a number k. The domain of shingles is cut into partitions. Where k is small, every
-subset of all but k partitions gives a signature, the hash of the set's shingles in it. Where it is
-larger, there are more than k + 1 partitions, and the k + 1 that hold most of the set give one each:
-sets that differ in k shingles agree on more partitions than either leaves out, the fullest of
-these is among those that both keep, and so they share a signature. Signatures of next to
-no shingles, which many sets share, are rare.
+a number k. The domain of shingles is cut into n1 first-level partitions, so many that in one of
+them two similar sets differ in k2 shingles at most, and each of these into n2 second-level ones. Every subset of
+n2 - k2 of these gives a signature, the hash of the set's shingles in it: where two sets differ in k2
+shingles or fewer, they agree on such a subset.
+
+The three numbers are chosen by k, for signatures that hold enough shingles to tell sets apart: one first-level
+partition and subsets of three up to k = 5, subsets of three out of six up to k = 11, and k2 = 0 beyond, where
+subsets are whole partitions. There, a quarter of k more partitions are cut than it takes, and each set leaves out
+as many, its emptiest: partitions on which sets agree are equally full in both, so the fullest of these is
+among the k + 1 fullest of either. (With k2 = 1, pairs out of three, some 1 % of the signatures of sets of 60
+to 300 shingles are empty and shared by unlike sets; this way it is 0.04 % and less.)
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from .storage import staged
 
 WIDTH = 5
 SLICE = 1 << 19
-#: Up to this difference subsets of partitions are enumerated; with these many partitions in each subset.
-SUBSETS, SUBSET = 3, 3
+#: Shingles of a task that are turned into signatures at a time.
+HELD = 400_000
 
 
 def band_limits(largest: int) -> np.ndarray:
@@ -41,55 +46,45 @@ def band_limits(largest: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def levels(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each bound k of differences: first-level partitions, those of them left out, second-level partitions, and how many of these a subset has."""
+    few, some = k <= 5, k < 12
+    out = np.where(some, 0, -(-k // 4))
+    first = np.select([few, some], [1, k // 4 + 1], k + 1 + out)
+    return first, out, np.select([k == 0, few, some], [1, k + 3, 6], 1), np.select([k == 0, some], [1, 3], 1)
+
+
 def signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Set number and signature, for every signature of sets (``sizes`` ascending hashes on end)."""
     limits = band_limits(int(sizes.max(initial=1)) * 2)
     own = np.searchsorted(limits, sizes)
-    rows, found = [], []
-    firsts = np.cumsum(sizes) - sizes
     content = mix(values, 7)
+    firsts = np.cumsum(sizes) - sizes
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for step in (0, 1):
         band = own + step
-        differ = 2 * limits[band] // 9  # |r - s| + |s - r| <= (|r| + |s|) / 9 at Jaccard 0.8
-        parts = np.where(differ <= SUBSETS, differ + SUBSET, differ + 1 + -(-differ // 4))
-        parts = np.where(differ == 0, 1, parts)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        part = ((values >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        slot = row << 32 | part
-        at = np.flatnonzero(np.diff(slot, prepend=-1))
-        if not len(at):
-            continue
-        total = np.add.reduceat(content, at)
-        count = np.diff(np.append(at, len(slot)))
-        owner, part = row[at], part[at]
-        few = differ[owner] <= SUBSETS
-
-        for k in range(SUBSETS + 1):
-            sets = np.flatnonzero((differ == k) & (sizes > 0))
-            if not len(sets):
-                continue
-            n = 1 if k == 0 else k + SUBSET
-            table = np.zeros((len(sizes), n), np.uint64)
-            mine = few & (differ[owner] == k)
-            table[owner[mine], part[mine]] = total[mine]
-            for c, chosen in enumerate(combinations(range(n), n if k == 0 else SUBSET)):
-                rows.append(sets)
-                found.append(mix(mix(table[sets][:, chosen].sum(axis=1, dtype=np.uint64)) + mix(band[sets].astype(np.uint64), c + 101)))
-
-        # the other sets keep their k + 1 fullest partitions, the later of equal ones
-        salt = lambda o, p: mix((band[o] << 32 | p).astype(np.uint64), 5)
-        at = np.flatnonzero(~few)
-        order = at[np.argsort((owner[at] << 42) - (count[at] << 21) - part[at], kind="stable")]
-        held = np.bincount(owner[order], minlength=len(sizes))
-        on = order[runs(held) < (differ + 1)[owner[order]]]
-        rows.append(owner[on])
-        found.append(mix(mix(total[on]) + salt(owner[on], part[on])))
-        for n in np.flatnonzero((held < differ + 1) & (differ > SUBSETS) & (sizes > 0)).tolist():
-            empty = np.setdiff1d(np.arange(parts[n]), part[owner == n])[held[n] - differ[n] - 1 :]
-            rows.append(np.full(len(empty), n))
-            found.append(mix(salt(np.full(len(empty), n), empty), 11))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        # |r - s| + |s - r| <= (|r| + |s|) / 9 at Jaccard 0.8
+        first, out, second, subset = levels(2 * limits[band] // 9)
+        for n, m in np.unique(np.stack([second, subset], axis=1)[sizes > 0], axis=0).tolist():
+            sets = np.flatnonzero((second == n) & (subset == m) & (sizes > 0))
+            at = np.repeat(firsts[sets], sizes[sets]) + runs(sizes[sets])
+            parts = first[sets] * n
+            row = np.repeat(np.arange(len(sets)), sizes[sets])
+            slot = (np.cumsum(parts) - parts)[row] + ((values[at] >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            heads = np.flatnonzero(np.diff(slot, prepend=-1))
+            total = np.zeros(int(parts.sum()), np.uint64)
+            total[slot[heads]] = np.add.reduceat(content[at], heads)
+            total = total.reshape(-1, n)
+            owner, index = np.repeat(np.arange(len(sets)), first[sets]), runs(first[sets])
+            if out[sets].any():
+                held = np.bincount(slot, minlength=total.size).reshape(-1, n)
+                order = np.lexsort((index, -held.sum(axis=1), owner))
+                order = order[index < (first - out)[sets][owner[order]]]
+                total, owner, index = total[order], owner[order], index[order]
+            place = band[sets][owner] << 40 | index << 8
+            for c, chosen in enumerate(combinations(range(n), m)):
+                rows.append(sets[owner])
+                found.append(mix(mix(sum(total[:, x] for x in chosen)) + mix((place | c).astype(np.uint64), 5)))
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -107,14 +102,15 @@ def bits_between(one: pa.Buffer, two: pa.Buffer) -> int:
 
 
 def _read_again(docs: DataFrame, nodes: DataFrame, work, kinds: str) -> DataFrame:
-    """``work`` over the rows of docs whose node is one of ``nodes``, or shares its cell of the bitmap with one of them."""
+    """``work`` over the rows of docs whose node is one of ``nodes``; a bitmap keeps most others from it, a join all that remain."""
+    nodes = staged(nodes, "nodes")
     cells = cell_bitmap(nodes, F.xxhash64("node"))
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(cells.value, batch["cell"].to_numpy(zero_copy_only=False))))
 
-    return docs.mapInArrow(lambda batches: work(known(batches)), kinds)
+    return docs.mapInArrow(lambda batches: work(known(batches)), kinds).join(nodes, "node", "left_semi")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, tile: int = TILE) -> DataFrame:
@@ -144,21 +140,42 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketches = staged(base.where("node is not null and size > 0").dropDuplicates(["node", "digest"]), "sketches")
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of equal sets that a task holds only the smallest node goes on
+        known: dict[bytes, int] = {}
+        values, sizes, kind, nodes = [], [], [], []
+
+        def merged():
+            of, node = np.array(kind, np.int64), np.concatenate(nodes)
+            least = np.full(len(sizes), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, node)
+            row, found = signatures(np.concatenate(values), np.array(sizes, np.int64))
+            key, own = merged_keys(found, least[row])
+            other = node != least[of]
+            more, both = pair_keys(least[of][other], node[other])
+            return pa.RecordBatch.from_arrays([signed(np.concatenate([key, more])), pa.array(np.concatenate([own, both]))], names=["key", "node"])
+
+        count = 0
         for batch in text_slices(batches, "text", SLICE):
-            values, sizes = shingle_sets(batch["text"], width)
-            nodes = batch["node"].to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            # of equal sets in a slice only the smallest node goes on
-            leads: dict[bytes, int] = {}
-            leader = np.arange(len(nodes))
-            for n in np.argsort(nodes, kind="stable").tolist():
-                leader[n] = leads.setdefault(values[ends[n] - sizes[n] : ends[n]].tobytes(), n)
-            own = (leader == np.arange(len(nodes))) & (sizes > 0)
-            other = ~own & (sizes > 0) & (nodes != nodes[leader])
-            row, found = signatures(values[np.repeat(own, sizes)], sizes[own])
-            key, node = merged_keys(row, found, nodes[own])
-            more, both = pair_keys(nodes[leader][other], nodes[other])
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate([key, more])), pa.array(np.concatenate([node, both]))], names=["key", "node"])
+            own, each = shingle_sets(batch["text"], width)
+            ends = np.cumsum(each).tolist()
+            full = np.flatnonzero(each)
+            for n in full.tolist():
+                part = own[ends[n] - each[n] : ends[n]]
+                of = known.setdefault(xxhash.xxh3_128_digest(part.tobytes()), len(sizes))
+                if of == len(sizes):
+                    values.append(part)
+                    sizes.append(len(part))
+                    count += len(part)
+                kind.append(of)
+            nodes.append(batch["node"].to_numpy(zero_copy_only=False)[full])
+            if count >= HELD or len(kind) >= HELD:
+                yield merged()
+                known.clear()
+                count = 0
+                for held in (values, sizes, kind, nodes):
+                    held.clear()
+        if sizes:
+            yield merged()
 
     whole = texts.where("node is not null")
     keys = whole.mapInArrow(emit, "key long, node long")

@@ -6,13 +6,12 @@ import numpy as np
 import pyarrow as pa
 
 from .batches import mix, utf8
-from .bpe import PrefixHash
+from .hashes import piece_hashes
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,14 +34,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     data, bounds = utf8(texts)
     data = _LOWER[data]
     starts, ends = word_bounds(data, bounds)
-    one, two = PrefixHash(data).runs(starts, ends)
-    words = one + mix(two)
+    words = piece_hashes(data, starts, ends)[0]
     upto = np.searchsorted(starts, bounds)
     counts = np.diff(upto)
     rolling = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
-        rolling = rolling * _BASE + words[k : len(words) - width + 1 + k]
-    rolling = mix(rolling)
+        rolling = mix(rolling ^ words[k : len(words) - width + 1 + k], k)
     out, sizes = [], np.zeros(len(counts), np.int64)
     for n, (a, b) in enumerate(zip(upto.tolist(), upto[1:].tolist())):
         if b - a >= width:
@@ -50,7 +47,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         elif b > a:
             whole = np.zeros(1, np.uint64)
             for k in range(a, b):
-                whole = whole * _BASE + words[k : k + 1]
+                whole = mix(whole ^ words[k : k + 1], k - a)
             own = mix(whole, b - a)
         else:
             continue
