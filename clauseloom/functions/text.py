@@ -93,10 +93,12 @@ def tokens(text: Column) -> Column:
     """Search terms in order: runs of a-z and digits, then pairs of neighbouring Hangul syllables, spaces between them left out."""
     low = F.lower(text)
     words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
-    hangul = F.regexp_replace(low, "[^가-힣]", "")
-    size = F.length(hangul)
-    pairs = F.when(size >= 2, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(hangul, i, 2))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    return F.concat(words, neighbour_pairs(F.regexp_replace(low, "[^가-힣]", "")))
+
+
+def neighbour_pairs(text: Column) -> Column:
+    """All pairs of neighbouring characters in order; a text of fewer than two has none."""
+    return let(F.split(text, ""), lambda c: F.when(F.length(text) >= 2, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: F.concat(x, y))).otherwise(F.array().cast("array<string>")))
 
 
 def overlap_ratio(question: Column, text: Column) -> Column:

@@ -73,14 +73,14 @@ def pieces(clauses: DataFrame, key: str, units: str, limit: int = PIECE_CHARS) -
 
 
 def entries(found: DataFrame, document: str, group: str, order: list[str], header: Column, text: str) -> DataFrame:
-    """Index entries of pieces: id, embed, embed_hash, prev, next, vector (false from the fourth list piece of a document on)."""
-    embed = F.substring(F.concat(header, F.lit("\n"), F.col(text)), 1, EMBED_CHARS)
+    """Index entries of pieces: id, embed (what an embedder takes), embed_hash (of the whole text), prev, next, vector (false from the fourth list piece of a document on)."""
+    whole = F.concat(header, F.lit("\n"), F.col(text))
     walk = Window.partitionBy(document).orderBy(*order)
-    rows = found.withColumn("id", F.concat_ws("::", group, F.col("piece").cast("string"))).withColumn("embed", embed)
+    rows = found.withColumn("id", F.concat_ws("::", group, F.col("piece").cast("string"))).withColumn("embed", F.substring(whole, 1, EMBED_CHARS))
     lists = F.sum(is_list(F.col(text)).cast("int")).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     own = Window.partitionBy(group).orderBy("piece")
     return (
-        rows.withColumn("embed_hash", F.substring(F.sha2("embed", 256), 1, 16))
+        rows.withColumn("embed_hash", F.substring(F.sha2(whole, 256), 1, 16))
         .withColumn("prev", F.lag("id").over(own))
         .withColumn("next", F.lead("id").over(own))
         .withColumn("vector", ~is_list(F.col(text)) | (lists <= LIST_PIECES))

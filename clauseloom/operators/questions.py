@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import neighbour_pairs
+
 # Fixed values of the decisions.
 DIRECT, DIRECT_NAMED, CLARIFY, RELEVANT, SUFFICIENT, NOT_FOUND = 0.5, 0.3, 0.5, 0.5, 0.6, 0.35
 HISTORY_TURNS = 3
 HIGHLIGHT_LEAST, HIGHLIGHT_MOST = 0.3, 2
 
 
-def evidence(branches: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Typed evidence of several branches (key, text, rank) as one table with tags such as C1, C2, T1."""
+def evidence(branches: list[tuple[str, DataFrame]], question: str = "question") -> DataFrame:
+    """Typed evidence of several branches (question, key, text, rank) as one table with tags such as C1, C2, T1, numbered for each question."""
     out = None
     for kind, rows in branches:
-        tagged = rows.select(F.lit(kind).alias("kind"), "key", "text", F.concat(F.lit(kind), F.row_number().over(Window.orderBy("rank", "key")).cast("string")).alias("tag"))
+        nth = F.row_number().over(Window.partitionBy(question).orderBy("rank", "key"))
+        tagged = rows.select(question, F.lit(kind).alias("kind"), "key", "text", F.concat(F.lit(kind), nth.cast("string")).alias("tag"))
         out = tagged if out is None else out.unionByName(tagged)
     return out
 
@@ -57,17 +60,18 @@ def fit_batches(sizes: Column, limit: int) -> Column:
 
 
 def highlights(answers: DataFrame, evidence_lines: DataFrame, by: str, least: float = HIGHLIGHT_LEAST, most: int = HIGHLIGHT_MOST) -> DataFrame:
-    """For each answer sentence (by, a_no, a_grams) up to ``most`` evidence sentences (by, e_no, e_grams) that share character pairs: dice, rank."""
-    met = answers.join(evidence_lines, by)
-    common = F.size(F.array_intersect("a_grams", "e_grams"))
-    dice = 2.0 * common / (F.size("a_grams") + F.size("e_grams"))
-    near = met.withColumn("dice", dice).where(F.col("dice") >= least)
+    """For each answer sentence (by, a_no, a_grams) up to ``most`` evidence sentences (by, e_no, e_grams) that share character pairs: dice, rank.
+
+    Sentences meet where they share a pair, and the pairs that both hold are counted, so no list is compared with another.
+    """
+    one = answers.select(by, "a_no", F.size("a_grams").alias("a_size"), F.explode("a_grams").alias("gram"))
+    two = evidence_lines.select(by, "e_no", F.size("e_grams").alias("e_size"), F.explode("e_grams").alias("gram"))
+    met = one.join(two, [by, "gram"]).groupBy(by, "a_no", "e_no").agg(F.count("*").alias("common"), F.first("a_size").alias("a_size"), F.first("e_size").alias("e_size"))
+    near = met.withColumn("dice", 2.0 * F.col("common") / (F.col("a_size") + F.col("e_size"))).where(F.col("dice") >= least)
     rank = F.row_number().over(Window.partitionBy(by, "a_no").orderBy(F.desc("dice"), "e_no")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select(by, "a_no", "e_no", "dice", "rank")
 
 
 def grams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters of a text in lower case without white space."""
-    plain = F.regexp_replace(F.lower(text), r"\s+", "")
-    size = F.length(plain)
-    return F.when(size >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(plain, i, 2)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(neighbour_pairs(F.regexp_replace(F.lower(text), r"\s+", "")))

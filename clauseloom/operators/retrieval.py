@@ -18,24 +18,26 @@ DIVERSE_MIN, DIVERSE_SHARE = 2, 5
 LIST_PIECES, EXPAND_ALL = 3, 8
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf of every term of every document."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: str, extra: list[str] | None = None) -> DataFrame:
+    """term, key, len (terms of the document) and ``extra`` columns for every occurrence of a term."""
+    cut = docs.select(key, *(extra or []), tokens(F.col(text)).alias("__terms"))
+    return cut.withColumn("len", F.size("__terms").cast("long")).select(key, "len", *(extra or []), F.explode("__terms").alias("term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, allowed: Column | None = None) -> DataFrame:
     """query_key, key and score of every document that shares a term with a query.
 
     A query's terms count once. Statistics are those of all documents, also where ``allowed``, over
-    columns of ``docs``, restricts the results. Only postings of query terms are joined.
+    columns of ``docs``, restricts the results. Only occurrences of query terms are shuffled, each with its
+    document's length, so documents are not joined again.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    sized = docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("len"), *([allowed.alias("__on")] if allowed is not None else []))
-    stats = sized.agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avg"))  # one row
-    held = postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
+    stats = docs.agg(F.count("*").alias("n"), (F.sum(F.size(tokens(F.col(text)))) / F.count("*")).alias("avg"))  # one row
+    marked = docs.withColumn("__on", allowed if allowed is not None else F.lit(True))
+    held = postings(marked, key, text, ["__on"]).join(terms.select("term").distinct(), "term", "left_semi")
+    held = held.groupBy("term", key, "len", "__on").agg(F.count("*").alias("tf"))
     seen = held.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = sized.where("__on") if allowed is not None else sized
-    scored = held.join(seen, "term").join(wanted, key).crossJoin(F.broadcast(stats))
+    scored = held.where("__on").join(seen, "term").crossJoin(F.broadcast(stats))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     return terms.join(scored.select("term", key, weight.alias("w")), "term").groupBy(query_key, key).agg(F.sum("w").alias("score")).where("score > 0")
@@ -173,3 +175,28 @@ def vanished_terms(queries: DataFrame, query_key: str, query_text: str, current:
     """query_key and term of query terms that texts (column term) of the past have and current ones lack."""
     terms = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     return terms.join(past.select("term").distinct(), "term", "left_semi").join(current.select("term").distinct(), "term", "left_anti")
+
+
+def holding(docs: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
+    """key and passage_key of documents that hold a passage whole.
+
+    A passage's inner words are words of any text that holds it, so three of them in a row (or one, of passages of three or
+    four words) lead to the texts in question, which are then compared. Only passages of one or two words meet all texts.
+    """
+    words = F.filter(F.split(F.col(passage), r"[ \n\t]+"), lambda w: w != "")
+    asked = passages.where(F.length(passage) > 0).select(passage_key, F.col(passage).alias("__passage"), words.alias("__w"))
+    whole = F.contains("__text", F.col("__passage"))
+    texts = docs.select(key, F.col(text).alias("__text"), F.filter(F.split(F.col(text), r"[ \n\t]+"), lambda w: w != "").alias("__w"))
+    hashed = lambda a, b, c: F.xxhash64(a, b, c)
+    n = F.size("__w")
+    at = lambda i: F.element_at("__w", i)
+    found = None
+    for width, enough in ((3, n >= 5), (1, n.between(3, 4))):
+        some = asked.where(enough).select(passage_key, "__passage", (hashed(at(2), at(3), at(4)) if width == 3 else F.xxhash64(at(2))).alias("__anchor"))
+        rows = F.slice("__w", 1, F.greatest(n - (width - 1), F.lit(0)))
+        anchors = F.transform(rows, lambda w, i: hashed(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)) if width == 3 else F.xxhash64(w))
+        pairs = texts.select(key, F.explode(F.array_distinct(anchors)).alias("__anchor")).join(some, "__anchor").select(key, passage_key).distinct()
+        met = pairs.join(some.select(passage_key, "__passage"), passage_key).join(texts.select(key, "__text"), key).where(whole).select(key, passage_key)
+        found = met if found is None else found.unionByName(met)
+    short = asked.where(n < 3).select(passage_key, "__passage")
+    return found.unionByName(texts.join(short, whole).select(key, passage_key)).distinct()

@@ -66,7 +66,7 @@ def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty clauses to ask about, sources in turn: lines of 80 to 600 characters."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where(F.length("line").between(80, 600))
     turn = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat_ws("#", "doc_id", "idx")), "doc_id", "idx"))
-    return docs.withColumn("turn", turn.cast("long")).orderBy("turn", "source").limit(40).select("source", "doc_id", F.col("idx").cast("long").alias("idx"), "turn")
+    return docs.withColumn("turn", turn.cast("long")).where("turn <= 40").orderBy("turn", "source").limit(40).select("source", "doc_id", F.col("idx").cast("long").alias("idx"), "turn")
 
 
 def qa_history_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ QUERIES = {
     "piece_packing": (piece_packing, None),
     "clause_entries": (
         clause_entries,
-        f"""with {LINES_SQL}, i as (select doc_id, idx, doc_id || '::' || (idx + 1) as id, substring(sha256(substring('[' || source || ']' || chr(10) || line, 1, 6000)), 1, 16) as embed_hash, line as text from lines),
+        f"""with {LINES_SQL}, i as (select doc_id, idx, doc_id || '::' || (idx + 1) as id, substring(sha256('[' || source || ']' || chr(10) || line), 1, 16) as embed_hash, line as text from lines),
 k as (select *, len({FULL_LINES_SQL}) > 0 and len(list_filter({FULL_LINES_SQL}, lambda s: starts_with(s, '|'))) / len({FULL_LINES_SQL}) >= 0.8 l from i)
 select id, embed_hash, lag(id) over w as prev, lead(id) over w as next, not coalesce(l, false) or sum(coalesce(l, false)::int) over (partition by doc_id order by idx rows between unbounded preceding and current row) <= 3 as vector from k window w as (partition by doc_id order by idx)""",
     ),

@@ -142,7 +142,7 @@ def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether keyword search finds the documents that hold a benchmark text whole."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ranked = R.top(_bm25(spark, sf_dir), "item_id", "doc_id", "score", TOP)
-    gold = docs.select("doc_id", "text").join(items.select("item_id", F.col("text").alias("passage")), F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    gold = R.holding(docs, items.withColumnRenamed("text", "passage"), "doc_id", "text", "item_id", "passage")
     ranks = E.first_relevant(ranked, gold, "item_id", "doc_id").join(gold.select("item_id").distinct(), "item_id", "left_semi")
     return ranks.agg(F.count("*").alias("questions"), F.count("rank").alias("found"))
 
@@ -213,7 +213,7 @@ select case when s.line is null then 'insert' when w.line is null then 'delete'
     "gone_terms": (
         gone_terms,
         f"""with t as (select quality, unnest({tokens_sql('text')}) as term from documents join labels using (doc_id)), q as (select distinct item_id, unnest({tokens_sql('text')}) as term from benchmark)
-select item_id, term from q where term in (select term from t where quality = 0) and term not in (select term from t where quality = 1)""",
+select item_id, q.term from q semi join (select distinct term from t where quality = 0) low on low.term = q.term anti join (select distinct term from t where quality = 1) high on high.term = q.term""",
     ),
     "recall_mrr_grouping_sets": (
         recall_mrr_grouping_sets,

@@ -94,8 +94,9 @@ def conversation_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text", F.col("item_id").alias("rank"))
-    parts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("text"), F.col("n_regionkey").cast("long").alias("rank"))
+    """Benchmark texts and nations as two kinds of evidence for five questions."""
+    docs = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).cast("long").alias("question"), F.col("item_id").alias("key"), "text", F.col("item_id").alias("rank"))
+    parts = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("question"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("text"), (-F.col("n_nationkey")).cast("long").alias("rank"))
     return Q.evidence([("C", docs), ("H", parts)])
 
 
@@ -200,7 +201,8 @@ select threshold, tp, fp, fn, round(f, 6) as f1, row_number() over (order by f d
     ),
     "evidence_union": (
         evidence_union,
-        """select 'C' as kind, item_id as key, text, 'C' || row_number() over (order by item_id) as tag from benchmark union all select 'H', n_nationkey, n_name, 'H' || row_number() over (order by n_regionkey, n_nationkey) from nation""",
+        """select (item_id % 5)::bigint as question, 'C' as kind, item_id as key, text, 'C' || row_number() over (partition by item_id % 5 order by item_id) as tag from benchmark
+union all select n_regionkey, 'H', n_nationkey, n_name, 'H' || row_number() over (partition by n_regionkey order by -n_nationkey) from nation""",
     ),
     "keep_only_semi": (keep_only_semi, "select source, count(*) as kept from documents where doc_id in (select doc_id from labels where quality = 1) group by source"),
     "merge_priority": (

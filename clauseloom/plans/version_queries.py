@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import changes as C
 from ..operators import versions as V
+from ..operators import views as W
 from ..tables import CHAIN_SQL, LINES_SQL, table, version_chain
 from .text_queries import match_key_sql
 
@@ -172,7 +173,7 @@ def word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = _chain(spark, sf_dir)
     old, new = (chain.where(F.col("version_seq") == v).select("doc_id", "idx", F.col("line").alias(c)) for v, c in ((2, "old"), (3, "new")))
     ops = C.word_diff(F.col("old"), F.col("new"))
-    met = old.join(new, ["doc_id", "idx"]).where("old <> new").withColumn("ops", C.fold_equal(ops))
+    met = old.join(new, ["doc_id", "idx"]).where("old <> new").withColumn("ops", W.fold(ops))
     inserted = F.filter("ops", lambda o: o["kind"] == "ins")
     return met.select("doc_id", F.col("idx").cast("long").alias("idx"), F.array_join(F.transform(inserted, lambda o: o["text"]), " ").alias("inserted"), F.exists("ops", lambda o: o["kind"] == "del").alias("deleted"))
 
