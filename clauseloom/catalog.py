@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "version_queries", "scoring_queries", "retrieval_queries", "linking_queries", "entry_queries", "label_queries", "flow_queries", "relational_queries")
+MODULES = ("text_queries", "version_queries", "scoring_queries", "retrieval_queries", "linking_queries", "entry_queries", "label_queries", "flow_queries", "sheet_queries", "relational_queries")
 
 
 def _all() -> dict:
