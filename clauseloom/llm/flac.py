@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bits
@@ -356,6 +356,17 @@ def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     return rows.mapInArrow(decode, f"key {key}, sample_offset long, n_samples long, pcm binary").withColumnRenamed("key", id_col)
 
 
+def write_pcm(media: DataFrame, path: str, id_col: str = "doc_id", media_col: str = "media", block_samples: int = BLOCK * 8) -> None:
+    """Write the PCM blocks of :func:`decode_flac` as a table that a reader can seek in: its files' statistics of id and sample_offset say which hold a sample."""
+    blocks = decode_flac(media, id_col, media_col, block_samples)
+    blocks.sortWithinPartitions(id_col, "sample_offset").write.parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The blocks of :func:`write_pcm` that hold any of the samples ``first`` to ``last``."""
+    return spark.read.parquet(path).where((F.col("sample_offset") <= last) & (F.col("sample_offset") + F.col("n_samples") > first))
+
+
 def flac_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
     """Each stream decoded again and summed up: ``id_col``, the long columns ``carry``, payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes, media_sha256 and feature (sum, energy, zero crossings and peak of the samples)."""
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .matches import match_sizes, positions
 from .storage import staged
 
-#: The SQL form's first look at a text; some rules need no match of it.
-GATE = r"(?i)licen[sc]e|spdx|creative[^a-z0-9]+commons|public[^a-z0-9]+domain|cc[^a-z0-9]+(?:by|zero|0)|copyleft"
 #: A word: letters A-Z in either case, digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -214,7 +212,7 @@ def license_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def license_oracle() -> str:
     """DuckDB SQL for the digests of table documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({n}, {quote(label)}, {priority}, {quote(keyword)}, {quote(rule)})" for n, label, priority, keyword, rule in rules())
+    values = ", ".join(f"({n}, {quote(label)}, {priority}, {quote(need)}, {quote(rule)})" for (n, label, priority, _, rule), need in zip(rules(), needed_words()))
     count = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     outer = " ".join(f"when prio = {p} then max(case when prio >= {p} then e end) over o" for p in LEVELS)
@@ -222,8 +220,8 @@ def license_oracle() -> str:
     return f"""
 with r(n, label, prio, keyword, rule) as (values {values}),
 d as (select doc_id k, coalesce(text, '') t from documents),
-w as (select k, len(regexp_extract_all(t, {quote(WORD)})) n_words, case when regexp_matches(t, {quote(GATE)}) then array_to_string(list_transform(regexp_extract_all(translate(t, '{upper}', '{lower}'), {quote(WORD)}), lambda x: ' ' || x || ' '), '') end s from d),
-h as (select k, n, label, prio, regexp_extract_all(s, rule) hits, regexp_split_to_array(s, rule) gaps from w, r where s is not null and contains(s, ' ' || keyword || ' ')),
+w as (select k, len(regexp_extract_all(t, {quote(WORD)})) n_words, array_to_string(list_transform(regexp_extract_all(translate(t, '{upper}', '{lower}'), {quote(WORD)}), lambda x: ' ' || x || ' '), '') s from d),
+h as (select k, n, label, prio, regexp_extract_all(s, rule) hits, regexp_split_to_array(s, rule) gaps from w, r where contains(s, ' ' || keyword || ' ')),
 m as (select k, n, label, prio, unnest(list_transform(gaps[1:len(hits)], lambda x: {count("x")})) g, unnest(list_transform(hits, lambda x: {count("x")})) l, generate_subscripts(hits, 1) i from h where len(hits) > 0),
 p as (select k, n, label, prio, (sum(g + l) over c)::bigint e, (sum(g + l) over c)::bigint - l s from m window c as (partition by k, n order by i)),
 q as (select *, case {outer} end above from p window o as (partition by k order by s, e desc, prio desc, n rows between unbounded preceding and 1 preceding)),

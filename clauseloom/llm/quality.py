@@ -65,8 +65,8 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word_stop = np.append(following, len(data))[at] if len(word_start) else word_start
     word_stop = np.minimum(word_stop, bounds[np.searchsorted(bounds, word_start, side="right")]) if len(word_start) else word_stop
     code = piece_hashes(data, word_start, word_stop)[0]
-    same = np.concatenate([[False], code[1:] == code[:-1]]) if len(code) else np.zeros(0, bool)
     line = np.searchsorted(starts, word_start, side="right") - 1
+    same = np.concatenate([[False], (code[1:] == code[:-1]) & (line[1:] == line[:-1])]) if len(code) else np.zeros(0, bool)
     # empty lines share a start with the line after them, which owns the word
     count = np.bincount(line, minlength=len(starts))
     out[:, 9] = np.bincount(line, weights=same, minlength=len(starts)) * SHARE / np.maximum(count, 1)

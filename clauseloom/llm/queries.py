@@ -13,7 +13,7 @@ from .packing import pack_power_of_two
 from .partenum import jaccard_groups, jaccard_oracle
 from .quality import score_quality, train_quality
 from .secrets import scan_secrets, secret_digest, secret_oracle
-from .storage import scratch_path
+from .storage import scratch_path, staged
 from .vectors import link_vectors, vector_oracle
 
 
@@ -74,7 +74,8 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac_features(encode_flac(table(spark, sf_dir, "documents")))
+    media = staged(encode_flac(table(spark, sf_dir, "documents")), "media")
+    return flac_features(media)
 
 
 def queries() -> dict:

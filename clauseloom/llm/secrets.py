@@ -8,7 +8,7 @@ candidates with parts, on the document and a grid of positions, decides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matches import match_sizes, positions
@@ -60,7 +60,8 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, text_hash (xxhash64 of the text) and spans, an
-    array of (start, rank, end, kind, weak) in order of start and kind; code points, end exclusive.
+    array of (start, rank, end, kind, weak, reach) in order of start and kind; code points, end exclusive. ``reach``
+    is the furthest end of the spans before, null for the first.
 
     Texts are read once; what follows works on sizes of matches, which are written to the shared folder.
     A null text is empty and has no spans. Repeated rows are scanned on their own; null ids are
@@ -72,23 +73,25 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = staged(rows.select("rid", "key", F.xxhash64("text").alias("text_hash"), *sizes), "secrets")
     parts = staged(_parts(found), "secret-parts")
     kept = parts.where("not weak").unionByName(_linked(parts, scope))
-    spans = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "weak"))).alias("spans"))
+    before = Window.partitionBy("rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("reach", F.max("end").over(before))
+    spans = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "weak", "reach"))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return found.select("rid", "key", "text_hash").join(spans, "rid", "left").select(F.col("key").alias(id_col), "text_hash", F.coalesce("spans", none).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every span of :func:`scan_secrets` replaced by ``mask``; overlapping spans become one. All columns stay, clean rows as they are, null texts null."""
+    """``docs`` with every span of :func:`scan_secrets` replaced by ``mask``; overlapping spans become one. All columns stay, clean rows as they are, null texts null; repeated rows are masked alike."""
     found = scan_secrets(docs, id_col, text_col, scope).where(F.size("spans") > 0)
     found = found.groupBy(F.col(id_col).alias("__key"), F.col("text_hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
     met = docs[id_col].eqNullSafe(found["__key"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["__hash"])
     text, spans = F.col(text_col), F.col("__spans")
     # each span writes the text between the furthest end before it and its own start, then the mask, unless it overlaps what is masked
-    reach = F.transform(spans, lambda s, i: F.array_max(F.transform(F.slice(spans, 1, i), lambda b: b["end"])))
-    piece = lambda s, r: F.when(s["start"] >= F.coalesce(r, F.lit(-1)), F.concat(F.substring(text, F.coalesce(r, F.lit(0)).cast("int") + 1, (s["start"] - F.coalesce(r, F.lit(0))).cast("int")), F.lit(mask))).otherwise("")
+    reach = lambda s: F.coalesce(s["reach"], F.lit(0)).cast("int")
+    piece = lambda s: F.when(s["start"] >= reach(s), F.concat(F.substring(text, reach(s) + 1, (s["start"] - reach(s)).cast("int")), F.lit(mask))).otherwise("")
     last = F.array_max(F.transform(spans, lambda s: s["end"]))
     tail = F.substring(text, last.cast("int") + 1, F.length(text))
-    masked = F.concat(F.array_join(F.zip_with(spans, reach, piece), ""), tail)
+    masked = F.concat(F.array_join(F.transform(spans, piece), ""), tail)
     columns = [F.when(spans.isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return docs.join(found, met, "left").select(*columns)
 

@@ -8,7 +8,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clauseloom.llm import huffman
@@ -24,9 +23,7 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def ids_of(tokenizer, text):
@@ -136,10 +133,15 @@ def test_whole_table_digests(spark):
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    want = {r.doc_id: zlib.crc32(ids_of(t, r.text).tobytes()) for r in docs.collect()}
+    ids = {r.doc_id: ids_of(t, r.text) for r in docs.collect()}
+    want = {d: zlib.crc32(own.tobytes()) for d, own in ids.items()}
     assert {r.doc_id: r.ids_crc32 for r in queries.op9_huffman_ids(spark, FOLDER).collect()} == want
-    packed = queries.op1_power_of_two_packing(spark, FOLDER)
-    assert packed.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole")).where("not whole").count() == 0
+    packed = queries.op1_power_of_two_packing(spark, FOLDER).collect()
+    reach = dict.fromkeys(ids, 0)
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.start)):
+        own = ids[r.doc_id]
+        assert r.start == reach[r.doc_id] and r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        reach[r.doc_id] += r.length
+    assert reach == {d: len(own) for d, own in ids.items()} and len({r.sequence_id for r in packed}) == len(packed) and {r.offset for r in packed} == {0}
     texts = {r.doc_id: zlib.crc32(r.text.encode()) for r in docs.collect()}
     assert {r.doc_id: r.text_crc32 for r in queries.op4_lattice_sampling(spark, FOLDER).collect()} == texts
