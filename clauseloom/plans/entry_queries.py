@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as C
 from ..operators import entries as N
+from ..operators import history as H
 from ..tables import LINES_SQL, table
 from .text_queries import FULL_LINES_SQL, tokens_sql
 from .version_queries import _HISTORY, _ORDER, FACTS_SQL, _facts
@@ -58,8 +59,7 @@ def company_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which clauses became unfavourable, with the changes that did it, newest first."""
     scored = C.scored_history(_facts(spark, sf_dir), "path", _ORDER, "score").withColumn("flag", C.flag(F.col("change_type"), F.col("carried"), F.col("old_score")))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return scored.where("flag = 'became'").groupBy("path", "version_date").agg(lines.alias("triggers"), F.min("carried").alias("lowest"))
+    return H.alerts(scored, ["path", "version_date"], "carried")
 
 
 def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import changes as C
+from ..operators import history as H
 from ..operators import versions as V
 from ..operators import views as W
 from ..tables import CHAIN_SQL, LINES_SQL, table, version_chain
@@ -117,45 +118,34 @@ def removed_unfavorable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flag_counts(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     scored = C.scored_history(_facts(spark, sf_dir), "path", _ORDER, "score")
-    flagged = scored.withColumn("flag", C.flag(F.col("change_type"), F.col("carried"), F.col("old_score"))).where(F.col("flag") == flag)
-    return flagged.groupBy("path").agg(F.count("*").alias("changes"), F.max("version_date").alias("latest"), F.min("carried").alias("lowest"))
+    return H.flagged(scored.withColumn("flag", C.flag(F.col("change_type"), F.col("carried"), F.col("old_score"))), flag, "carried")
 
 
 def history_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).groupBy("path", "version_date").agg(F.count("*").alias("changed"), F.count(F.when(F.col("change_type") == "added", 1)).alias("added"))
+    return H.versions_of(_facts(spark, sf_dir))
 
 
 def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _facts(spark, sf_dir)
-    counts = [("changes", facts), ("versions", facts.select("path", "version_date").distinct()), ("documents", facts.select("path").distinct())]
-    out = None
-    for name, rows in counts:
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return H.stats({"changes": facts, "versions": facts.select("path", "version_date").distinct(), "documents": facts.select("path").distinct()})
 
 
 def timeline_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All changes of 1997 with their place in the path's timeline; paths without one in the range keep all theirs."""
     inside = F.col("version_date").between(F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date"))
-    facts = _facts(spark, sf_dir).withColumn("inside", inside)
-    some = F.max(F.col("inside").cast("int")).over(Window.partitionBy("path"))
-    shown = facts.withColumn("some", some).where("inside or some = 0")
-    place = F.row_number().over(Window.partitionBy("path").orderBy(*_ORDER)).cast("long")
-    return shown.select("path", "id", place.alias("place"), (F.col("some") == 1).alias("date_matched"))
+    return H.timeline(_facts(spark, sf_dir), ["path"], _ORDER, inside).select("path", "id", "place", "date_matched")
 
 
 def changes_between_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir).where(F.col("version_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-06-30").cast("date")))
-    return facts.orderBy(F.desc("version_date"), "id").limit(50).select("id", "path", "version_date", "change_type")
+    return H.newest(H.changes_between(_facts(spark, sf_dir), "1998-01-01", "1998-06-30"), 50).select("id", "path", "version_date", "change_type")
 
 
 def month_day_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).where(F.date_format("version_date", "MM-dd") == "07-25").select("id", "path", "version_date")
+    return H.changes_between(_facts(spark, sf_dir), month_day="07-25").select("id", "path", "version_date")
 
 
 def latest_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).groupBy("path").agg(F.max_by("id", F.struct("version_date", "id")).alias("id"), F.max("version_date").alias("version_date"))
+    return H.latest_of(_facts(spark, sf_dir), ["path"])
 
 
 def timeline_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +153,7 @@ def timeline_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates_of = _facts(spark, sf_dir).select("path", "version_date").distinct()
-    back = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("version_date")))
-    return dates_of.withColumn("back", back.cast("long")).where("back <= 30")
+    return H.last_versions(_facts(spark, sf_dir))
 
 
 def word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import labels as B
 from clauseloom.operators import changes as C
 from clauseloom.operators import chunking as K
+from clauseloom.operators import history as H
 from clauseloom.operators import retrieval as R
 from clauseloom.operators import scan as X
 from clauseloom.operators import scoring as S
@@ -144,6 +145,26 @@ def test_scan(spark):
     assert {k for k in last} == {("p", "제1조"), ("p", "제2조"), ("p", "제4조"), ("q", "전문")} and last["p", "제1조"].lineage == "제1조@2020-01-01" and last["p", "제2조"].favor_score == -1.0
 
 
+def test_history_of_a_scan(spark):
+    records, current = X.scan(versions(spark), lambda units: units.withColumn("favor_score", F.when(F.contains("text", F.lit("나쁜")), -1.0).otherwise(0.5)))
+    cards = spark.createDataFrame([("p", "Terms")], "path string, title string")
+    tables = H.build(records, current, cards)
+    counts = {r.table_name: r.n for r in H.stats(tables).collect()}
+    assert counts == {"documents": 2, "versions": 3, "changes": 3, "unit_changes": 3, "clauses": 4}
+    docs = {r.path: r for r in tables["documents"].collect()}
+    assert (docs["p"].versions, docs["p"].title, docs["q"].title, docs["p"].latest_version) == (2, "Terms", None, datetime.date(2020, 3, 1))
+    assert {r.id for r in tables["changes"].collect()} == {"p::제2조::2020-03-01::modified", "p::제3조::2020-03-01::removed", "p::제4조::2020-03-01::added"}
+    asked = spark.createDataFrame([("p", "제2조", None), ("p", "제3조", None), ("q", "x", None)], "path string, clause_id string, lineage string")
+    assert sorted((r.asked, r.change_type) for r in H.timeline_of(tables["changes"], tables["clauses"], asked).collect()) == [("제2조", "modified"), ("제3조", "removed")]
+    ask = spark.createDataFrame([("p", "제2조@2020-01-01"), ("p", "제3조@2020-01-01"), ("p", None)], "path string, lineage string")
+    assert [r.clause_id for r in H.latest_clause(tables["clauses"], ask).collect()] == ["제2조"]
+    assert H.by_key(tables["documents"], cards, "path").count() == 1 and H.changes_between(tables["changes"], companies=[]).count() == 0
+    assert H.changes_between(tables["changes"], "2020-02-01", "2020-03-01", "03", ["p"], "p").count() == 3 and H.newest(tables["changes"], 2).count() == 2
+    sections = {r.section.split("\n")[0]: r.section for r in H.alert_texts(records).collect()}
+    assert set(sections) == {"## 제2조 — changed to the worse", "## 제4조 — unfavourable clause added"}
+    assert "- cause: 제2조① score +0.50 → -1.00" in sections["## 제2조 — changed to the worse"] and "act until 2020-03-10" in sections["## 제4조 — unfavourable clause added"]
+
+
 def test_conditions():
     assert P.both({"path": ["a", "b"]}, {"path": {"$nin": ["b"]}}) == {"path": ["a"]}
     assert P.both({"path": {"$nin": ["b"]}}, {"path": ["a", "b"], "x": 1}) == {"path": ["a"], "x": 1}
