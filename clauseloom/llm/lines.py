@@ -243,7 +243,7 @@ def count_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
     """``docs`` without lines that were met before; a text of which nothing but white space is left goes, if it lost a line.
 
-    All columns stay; rows without such lines stay as they are, null texts included.
+    All columns stay; rows without such lines stay as they are, null texts included. Rows of one id and text are one document and lose the same lines.
     """
     gone = repeated_lines(docs, id_col, text_col, edits, min_chars, tile).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
     met = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left")

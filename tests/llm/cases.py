@@ -1,10 +1,10 @@
-"""Rows that every operator over documents must take: nulls, empty and long texts, repeats, and columns whose names clash with its own."""
+"""Rows that every operator over documents must take: nulls, empty and long texts, a very long word, very many lines, repeats, and columns whose names clash with its own."""
 
 import random
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = " ".join(random.Random(2).choice(["alpha", "beta", "gamma", "Ünï", "δέλτα", "1234", "x!"]) for _ in range(20_000))
-TEXTS = [None, "", " ", "\n\n", "one", "two words", "a line\nanother line\n", "日本語 テスト 🤖 x", "tab\tand  double space", "\x00\x01 odd", LONG, "one", "▁ mark ▁"]
+TEXTS = [None, "", " ", "\n\n", "one", "two words", "a line\nanother line\n", "日本語 テスト 🤖 x", "tab\tand  double space", "\x00\x01 odd", LONG, "one", "▁ mark ▁", "w" * 100_000, "\n".join(f"line {n}" for n in range(8_000))]
 
 
 def rows():
