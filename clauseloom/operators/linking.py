@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .views import correction, lossless_diff, one_side
+
 LINK_MIN, LINK_TOP = 0.63, 3
 # How a statute's article is cited, and names that stand for the one named before.
 CITATION = r"(법률|법)\s*(시행령|시행규칙)?\s*제\s*(\d+)\s*조(?:\s*의\s*(\d+))?"
@@ -25,6 +27,12 @@ def best_links(pairs: DataFrame, group: str, case: str, release: str, score: str
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select(group, case, score, "rank")
 
 
+def similar_cases(links: DataFrame, cases: DataFrame, group: str, case: str) -> DataFrame:
+    """Cases that clauses are linked to (:func:`best_links`) with before and after as they are compared: diff by words, and what each side shows of the difference. Links to cases that are gone are left out."""
+    met = links.join(cases, case).withColumn("ops", lossless_diff(F.col("before"), F.col("after")))
+    return met.withColumn("diff", correction(F.col("before"), F.col("after"))).withColumn("before_ops", one_side(F.col("ops"), "del")).withColumn("after_ops", one_side(F.col("ops"), "ins")).drop("ops")
+
+
 def as_of(questions: DataFrame, versions: DataFrame, on: list[str], day: str, question: str, promulgated: str, effective: str, version: str) -> DataFrame:
     """``questions`` with the version in force on the day: the latest promulgated by then whose effective date has come; null where none has.
 

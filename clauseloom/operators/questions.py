@@ -47,6 +47,16 @@ def abstain_reason(relevant: Column, sufficiency: Column) -> Column:
     return F.when(relevant.isNull(), "unknown").when((relevant == 0) | (sufficiency < NOT_FOUND), "not_found").otherwise("insufficient")
 
 
+def grade_key(kind: Column, document: Column) -> Column:
+    """Key of a judgement: the kind of question and all that the judge is shown of the document (a struct), so that a text cut otherwise is judged anew."""
+    return F.sha2(F.concat_ws("\x01", kind, F.to_json(document)), 256)
+
+
+def judged_once(evidence: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence (key) that a memo (key, grade) already has the grade of, and one row for each key that is still to be judged."""
+    return evidence.join(memo, "key"), evidence.join(memo.select("key"), "key", "left_anti").dropDuplicates(["key"])
+
+
 def fit_batches(sizes: Column, limit: int) -> Column:
     """Batch number of each size in order: a batch is closed before it would exceed ``limit``."""
     start = F.struct(F.lit(0).alias("used"), F.array(F.lit(0)).alias("of"))

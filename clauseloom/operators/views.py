@@ -6,7 +6,7 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_list, let
@@ -117,6 +117,25 @@ def is_bulky(text: Column, company_list: Column) -> Column:
     return (F.length(text) > DIFF_CHARS) | ((F.length(text) > LIST_SKIP_CHARS) & (is_list(text) | company_list))
 
 
+def is_diffable(change_type: Column, old: Column, new: Column, old_bulky: Column, new_bulky: Column) -> Column:
+    """A modification whose both texts are known and worth comparing."""
+    return (change_type == "modified") & (F.coalesce(F.length(old), F.lit(0)) > 0) & new.isNotNull() & ~old_bulky & ~new_bulky
+
+
+def change_views(changes: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Each change (path, lineage, id, change_type, text, old_text) as it is shown: change, and latest, its text against the current one of its lineage, with same; null where the clause has gone.
+
+    ``clauses``: path, lineage, clause_id and text of the last versions, one of each lineage.
+    """
+    now = clauses.select("path", "lineage", F.col("clause_id").alias("now_id"), F.coalesce("text", F.lit("")).alias("now"))
+    met = changes.join(now, ["path", "lineage"], "left").withColumn("s", sides_of(F.col("change_type"), F.col("text"), F.col("old_text")))
+    kept = F.col("now").isNotNull() & (F.col("change_type") != "removed")
+    rows = met.withColumn("ops", lossless_diff(F.col("s.before"), F.col("s.after"))).withColumn("later", lossless_diff(F.when(kept, F.col("s.after")), F.when(kept, F.col("now"))))
+    shown = lambda ops: clip(fold(F.col(ops)))
+    latest = F.when(kept, F.struct(F.col("now_id").alias("clause_id"), (~is_changed(F.col("later"))).alias("same"), shown("later").alias("diff")))
+    return rows.select("path", "lineage", "id", "change_type", shown("ops").alias("change"), latest.alias("latest"))
+
+
 def diff_text(old: Column, new: Column) -> Column:
     """A change as one text: [-left out-], {+put in+}, and how many characters between stay as they were."""
     ops = fold(lossless_diff(old, new, TEXT_WORD_CHARS), TEXT_CONTEXT, TEXT_FOLD)

@@ -50,6 +50,24 @@ def is_document(path: Column) -> Column:
     return path.endswith(".md") & F.contains(path, F.lit("/")) & ~path.startswith("docs/") & ~path.rlike(r"(^|/)\.") & ~path.rlike(r"(?i)(^|/)readme\.md$")
 
 
+def select_documents(documents: DataFrame, prefixes: list[str], path: str = "path") -> DataFrame:
+    """Documents whose path starts with one of ``prefixes``; all of them where none is given."""
+    on = F.lit(not prefixes)
+    for prefix in prefixes:
+        on = on | F.col(path).startswith(prefix)
+    return documents.where(on)
+
+
+def companies_of(documents: DataFrame, path: str = "path") -> DataFrame:
+    """The companies that documents belong to."""
+    return documents.select(company(F.col(path)).alias("company")).distinct()
+
+
+def write_json(rows: DataFrame, folder: str) -> None:
+    """Rows as JSON lines, nulls written out."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
 def read_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Versions from text files ``folder/<version>/<path>``: path, version, meta, body. Each file is one row, read in tasks."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))

@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from clauseloom.operators import contexts as T
 from clauseloom.operators import indexing as I
+from clauseloom.operators import linking as L
+from clauseloom.operators import questions as Q
 from clauseloom.operators import sheets as H
+from clauseloom.operators import views as W
+from clauseloom.sources import frontmatter as FM
 from clauseloom.streaming import versions as SV
 from clauseloom.tables import ensure_checkpoint_dir
 
@@ -78,3 +82,35 @@ def test_scores_are_kept_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         SV.keep_scored(stream, score, str(tmp_path / "cache"), str(tmp_path / f"ck{n}")).awaitTermination()
         assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == ["a", "b"]
+
+
+def test_change_and_case_views(spark):
+    changes = spark.createDataFrame([("p", "l", "m", "modified", "new text", "old text"), ("p", "l", "r", "removed", "gone", None), ("p", "x", "a", "added", "come", None)], "path string, lineage string, id string, change_type string, text string, old_text string")
+    clauses = spark.createDataFrame([("p", "l", "c1", "new text!")], "path string, lineage string, clause_id string, text string")
+    found = {r.id: r for r in W.change_views(changes, clauses).collect()}
+    assert [(o.kind, o.text) for o in found["m"].change] == [("del", "old"), ("ins", "new"), ("eq", " text")] and found["m"].latest.same is False and found["m"].latest.clause_id == "c1"
+    assert found["r"].latest is None and found["a"].latest is None and [(o.kind, o.text) for o in found["r"].change] == [("del", "gone")]
+    links = spark.createDataFrame([("g", "k", 0.7, 1), ("g", "lost", 0.7, 2)], "grp string, case string, score double, rank int")
+    case = only_case(spark, links)
+    assert [(o.kind, o.text) for o in case.before_ops] == [("eq", "회사는 "), ("del", "7"), ("eq", "일")] and [r.changed for r in case.diff.after] == [False, True]
+    ok = spark.range(1).select(W.is_diffable(F.lit("modified"), F.lit("a"), F.lit("b"), F.lit(False), F.lit(False)), W.is_diffable(F.lit("modified"), F.lit(""), F.lit("b"), F.lit(False), F.lit(False))).first()
+    assert tuple(ok) == (True, False)
+
+
+def only_case(spark, links):
+    cases = spark.createDataFrame([("k", "회사는 7일", "회사는 30일")], "case string, before string, after string")
+    found = L.similar_cases(links, cases, "grp", "case").collect()
+    assert len(found) == 1
+    return found[0]
+
+
+def test_judgements_and_selections(spark, tmp_path):
+    docs = spark.createDataFrame([("q", "a/b.md", "t"), ("q", "c/d.md", "u"), ("q", "a/b.md", "t")], "kind string, path string, text string")
+    keyed = docs.withColumn("key", Q.grade_key(F.col("kind"), F.struct("path", "text")))
+    memo = keyed.where("path = 'c/d.md'").select("key", F.lit(0.9).alias("grade"))
+    known, todo = Q.judged_once(keyed, memo)
+    assert known.count() == 1 and [r.path for r in todo.collect()] == ["a/b.md"]
+    assert FM.select_documents(docs, ["c/"]).count() == 1 and FM.select_documents(docs, []).count() == 3
+    assert {r.company for r in FM.companies_of(docs).collect()} == {"a", "c"}
+    FM.write_json(docs, str(tmp_path / "j"))
+    assert FM.read_records(spark, str(tmp_path / "j"), "kind string, path string, text string").count() == 3
