@@ -156,7 +156,7 @@ def review_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A review sheet of 25 clauses: sources in turn, within a source by hash."""
     docs = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", "source", F.md5(F.col("doc_id").cast("string")).alias("h"))
     turn = F.row_number().over(Window.partitionBy("source").orderBy("h", "doc_id"))
-    return docs.withColumn("turn", turn.cast("long")).orderBy("turn", "source").limit(25).select("doc_id", "source", "turn")
+    return docs.withColumn("turn", turn.cast("long")).where("turn <= 25").orderBy("turn", "source").limit(25).select("doc_id", "source", "turn")
 
 
 _DATES = """select o_orderkey, year(o_orderdate) y, month(o_orderdate) m, o_orderdate::date d, o_orderstatus s from orders"""
