@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .flac import encode_flac, flac_features
 from .huffman import read_huffman, write_huffman
+from .languages import identify_languages, train_languages
 from .lattice import sample_pieces
 from .licenses import license_digest, license_oracle, scan_licenses
 from .lines import count_repeated_lines
 from .packing import pack_power_of_two
 from .partenum import jaccard_groups, jaccard_oracle
 from .quality import score_quality, train_quality
+from .ranked import search_documents, search_oracle
 from .secrets import scan_secrets, secret_digest, secret_oracle
 from .storage import scratch_path, staged
 from .vectors import link_vectors, vector_oracle
+from .whitening import whiten_vectors
 
 
 def bpe_file() -> str:
@@ -78,9 +81,22 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_features(media)
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_zstd_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, train_languages(docs))
+
+
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_partenum_join": jaccard_oracle(), "op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle(), "op8_pca_tiles": vector_oracle()}
+    return {"op3_partenum_join": jaccard_oracle(), "op5_secret_links": secret_oracle(), "op7_license_rules": license_oracle(), "op8_pca_tiles": vector_oracle(), "op13_block_max_search": search_oracle()}
