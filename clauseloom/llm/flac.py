@@ -1,7 +1,7 @@
 """FLAC streams of 8-bit mono samples, encoded and decoded many frames at a time.
 
 Samples are the bytes of a payload, minus 128. A frame has 576 of them and is constant,
-verbatim or the residual of a linear predictor in partitioned Rice code, whichever fits. The seek
+verbatim or the residual of a fixed or linear predictor in partitioned Rice code, whichever is shortest. The seek
 table names every ``SEEK_FRAMES``-th frame; decoding follows all of these points side by
 side, undoes fixed and other linear predictors, and verifies the header's CRC-8, the frame's
 CRC-16 and the stream's MD5.
@@ -21,13 +21,25 @@ from pyspark.sql import functions as F
 
 from . import bits
 from .batches import text_slices, utf8
+from .buckets import cell_bitmap, in_bitmap
+from .storage import staged
 
 BLOCK = 576
 SEEK_FRAMES = 4
 RATE = 8000
-PARTITION_ORDER = 2
+#: 2 to this power are the most partitions of a frame.
+PARTITION_ORDER = 3
+LARGEST_RICE = 8
+#: Longer codes are not written; a frame that would need one is coded otherwise.
+LONGEST_CODE = 57
+#: Order of a frame's own linear predictor, and bits of its coefficients.
+LINEAR_ORDER, LINEAR_BITS = 12, 6
+NEVER = 1 << 40
+#: Frames that are encoded or decoded at a time.
+GROUP = 1024
+MOST_SEEK_BYTES = (1 << 24) - 18
 #: Text bytes handled at a time.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 #: Fixed values of the format: predictor coefficients by order, and the CRC polynomials.
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
@@ -79,31 +91,82 @@ def _number(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _best(best: dict[str, np.ndarray], folded: np.ndarray, order: int, head: int, shift: np.ndarray | None = None, taps: np.ndarray | None = None) -> None:
+    """Take the frames that this predictor codes in fewer bits than those before it. ``head`` are the bits of its warm-up and coefficients."""
+    frames, parts = len(folded), 1 << PARTITION_ORDER
+    cells = folded.reshape(frames, parts, -1)
+    count = np.full(parts, BLOCK // parts)
+    count[0] -= order
+    most = cells.max(axis=2)
+    cost = np.empty((frames, parts, LARGEST_RICE + 1), np.int64)
+    for k in range(LARGEST_RICE + 1):
+        cost[:, :, k] = (cells >> k).sum(axis=2) + (k + 1) * count
+        cost[:, :, k][(most >> k) + k + 1 > LONGEST_CODE] = NEVER
+    # partitions of one parameter from the finest on: neighbours are joined while that saves bits
+    bits = np.full(frames, NEVER)
+    rice = np.zeros((frames, parts), np.int64)
+    split = np.zeros(frames, np.int64)
+    for p in range(PARTITION_ORDER, -1, -1):
+        k = cost.argmin(axis=2)
+        total = np.take_along_axis(cost, k[:, :, None], axis=2)[:, :, 0].sum(axis=1) + 4 * (1 << p) + 6 + head
+        on = total < bits
+        bits[on], split[on] = total[on], p
+        rice[on] = np.repeat(k, parts >> p, axis=1)[on]
+        if p:
+            cost = cost[:, ::2] + cost[:, 1::2]
+    on = bits < best["bits"]
+    best["bits"][on], best["split"][on], best["rice"][on], best["folded"][on] = bits[on], split[on], rice[on], folded[on]
+    best["order"][on], best["linear"][on] = order, taps is not None
+    if taps is not None:
+        best["shift"][on], best["taps"][on] = shift[on], taps[on]
+
+
+def _folded(residual: np.ndarray, order: int) -> np.ndarray:
+    out = residual << 1 ^ residual >> 31
+    out[:, :order] = 0
+    return out
+
+
+def _linear(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals of each frame's own linear predictor, its shift and its coefficients, from the frame's autocorrelation."""
+    x = samples.astype(np.float64)
+    lags = np.stack([(x[:, k:] * x[:, : BLOCK - k]).sum(axis=1) for k in range(LINEAR_ORDER + 1)], axis=1)
+    lags[:, 0] = lags[:, 0] * 1.0001 + 1
+    apart = np.abs(np.arange(LINEAR_ORDER)[:, None] - np.arange(LINEAR_ORDER)[None, :])
+    exact = np.linalg.solve(lags[:, apart], lags[:, 1:, None])[:, :, 0]
+    limit = 1 << (LINEAR_BITS - 1)
+    shift = np.clip(LINEAR_BITS - 1 - np.ceil(np.log2(np.abs(exact).max(axis=1) + 1e-9)), 0, 15).astype(np.int64)
+    taps = np.clip(np.round(exact * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int32)
+    guess = np.zeros_like(samples)
+    for i in range(LINEAR_ORDER):
+        guess[:, i + 1 :] += taps[:, i : i + 1] * samples[:, : BLOCK - 1 - i]
+    return samples - (guess >> shift[:, None].astype(np.int32)), shift, taps
+
+
 def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all frames on end, and each frame's length. ``samples`` is (frames, 576) int32."""
-    frames = len(samples)
-    diffs = [samples]
-    for _ in range(4):
-        diffs.append(np.diff(diffs[-1], axis=1, prepend=0))
-    order = np.argmin([np.abs(d[:, 4:]).sum(axis=1) for d in diffs], axis=0)
-    residual = np.take_along_axis(np.stack(diffs), order[None, :, None], axis=0)[0]
-    column = np.arange(BLOCK)
-    warm = column < order[:, None]
-    folded = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
-    folded[warm] = 0
-    parts = 1 << PARTITION_ORDER
-    mean = folded.reshape(frames, parts, -1).mean(axis=2)
-    rice = np.clip(np.floor(np.log2(0.7 * mean + 1e-9) + 1), 0, 14).astype(np.int64)
+    """Bytes of all frames on end, and each frame's length. ``samples`` is (frames, 576) int32.
+
+    Each frame takes what codes it in the fewest bits: fixed predictors of orders 0 to 4 or a linear one of its own,
+    1 to 8 partitions, and in each the best of all Rice parameters.
+    """
+    frames, parts = len(samples), 1 << PARTITION_ORDER
+    best = {"bits": np.full(frames, NEVER), "folded": np.zeros((frames, BLOCK), np.int64), "taps": np.zeros((frames, LINEAR_ORDER), np.int64), "rice": np.zeros((frames, parts), np.int64)}
+    best |= {name: np.zeros(frames, np.int64) for name in ("split", "order", "linear", "shift")}
+    diff = samples
+    for order in FIXED:
+        _best(best, _folded(diff, order), order, 8 * order)
+        diff = np.diff(diff, axis=1, prepend=0)
+    residual, shift, taps = _linear(samples)
+    _best(best, _folded(residual, LINEAR_ORDER), LINEAR_ORDER, (8 + LINEAR_BITS) * LINEAR_ORDER + 9, shift, taps)
+    order, linear, rice, folded = best["order"], best["linear"].astype(bool), best["rice"], best["folded"]
     k = np.repeat(rice, BLOCK // parts, axis=1)
-    high = folded >> k
-    size = high + 1 + k
+    size = (folded >> k) + 1 + k
     code = (1 << k) | (folded & ((1 << k) - 1))
-    size[warm] = 0
-    cost = size.sum(axis=1) + 8 * order + 4 * parts
+    size[np.arange(BLOCK) < order[:, None]] = 0
     constant = (samples == samples[:, :1]).all(axis=1)
-    verbatim = ~constant & ((size.max(axis=1) > 57) | (cost >= 8 * BLOCK))
+    verbatim = ~constant & (best["bits"] >= 8 * BLOCK)
     plain = constant | verbatim
-    order[plain] = 0
+    order[plain], linear[plain] = 0, False
     byte = samples & 0xFF
     size = np.where(verbatim[:, None], 8, size)
     code = np.where(verbatim[:, None], byte, code)
@@ -115,14 +178,14 @@ def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray,
     head = np.concatenate([np.tile([0xFF, 0xF8, 0x24, 0x02], (frames, 1)), text, np.zeros((frames, 1), np.int64)], axis=1)
     used = np.arange(11) < (4 + digits)[:, None]
     head[np.arange(frames), 4 + digits] = checksums(head[used].astype(np.uint8), np.cumsum(4 + digits) - (4 + digits), 4 + digits, CRC8)
-    sizes_head = 8 * (np.arange(11) < (5 + digits)[:, None])
-    kind = np.where(constant, 0, np.where(verbatim, 1, 8 | order)) << 1
-    lead = np.where(np.arange(4) < order[:, None], byte[:, :4], 0)
-    pieces, widths = [head, kind[:, None], lead], [sizes_head, np.full((frames, 1), 8), 8 * (np.arange(4) < order[:, None])]
+    kind = np.where(constant, 0, np.where(verbatim, 1, np.where(linear, 31 + order, 8 | order))) << 1
+    warm = np.arange(LINEAR_ORDER) < order[:, None]
+    pieces = [head, kind[:, None], np.where(warm, byte[:, :LINEAR_ORDER], 0), ((LINEAR_BITS - 1) << 5 | best["shift"])[:, None], best["taps"] & ((1 << LINEAR_BITS) - 1)]
+    widths = [8 * (np.arange(11) < (5 + digits)[:, None]), np.full((frames, 1), 8), 8 * warm, np.where(linear, 9, 0)[:, None], LINEAR_BITS * np.repeat(linear[:, None], LINEAR_ORDER, axis=1)]
     for p in range(parts):
-        open_bits = np.where(plain, 0, 10 if p == 0 else 4)
-        pieces += [np.where(plain, 0, rice[:, p] | (PARTITION_ORDER << 4 if p == 0 else 0))[:, None], code[:, p * BLOCK // parts : (p + 1) * BLOCK // parts]]
-        widths += [open_bits[:, None], size[:, p * BLOCK // parts : (p + 1) * BLOCK // parts]]
+        opens = ~plain & (p % (parts >> best["split"]) == 0)
+        pieces += [(rice[:, p] | (best["split"] << 4 if p == 0 else 0))[:, None], code[:, p * BLOCK // parts : (p + 1) * BLOCK // parts]]
+        widths += [np.where(opens, 10 if p == 0 else 4, 0)[:, None], size[:, p * BLOCK // parts : (p + 1) * BLOCK // parts]]
     code, size = np.concatenate(pieces, axis=1), np.concatenate(widths, axis=1).astype(np.int64)
     code[size == 0] = 0
     inside = np.cumsum(size, axis=1)
@@ -135,22 +198,35 @@ def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray,
     return data, body + 2
 
 
-def encode_streams(payloads: list[np.ndarray]) -> list[bytes]:
-    """A FLAC stream of each payload; payloads are whole, positive multiples of 576 bytes."""
+def encode_streams(payloads: Iterable[np.ndarray]) -> Iterator[bytes]:
+    """A FLAC stream of each payload; payloads are whole, positive multiples of 576 bytes. ``GROUP`` frames are encoded at a time, of one long payload or of several short ones."""
+    held: list[np.ndarray] = []
+    for payload in payloads:
+        held.append(payload)
+        if sum(map(len, held)) >= GROUP * BLOCK:
+            yield from _streams(held)
+            held = []
+    if held:
+        yield from _streams(held)
+
+
+def _streams(payloads: list[np.ndarray]) -> Iterator[bytes]:
     counts = np.array([len(p) // BLOCK for p in payloads])
-    samples = np.concatenate(payloads).astype(np.int32).reshape(-1, BLOCK) - 128
+    whole = np.concatenate(payloads) if len(payloads) > 1 else payloads[0]
     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    data, sizes = encode_frames(samples, number)
+    made = [encode_frames(whole[at * BLOCK : (at + GROUP) * BLOCK].astype(np.int32).reshape(-1, BLOCK) - 128, number[at : at + GROUP]) for at in range(0, len(number), GROUP)]
+    data, sizes = b"".join(d.tobytes() for d, _ in made), np.concatenate([n for _, n in made])
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    out, first = [], 0
+    first = 0
     for payload, n in zip(payloads, counts.tolist()):
         own = sizes[first : first + n]
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | n * BLOCK).to_bytes(8, "big") + hashlib.md5((payload ^ 0x80).tobytes()).digest()
-        points = b"".join(struct.pack(">QQH", f * BLOCK, int(ends[first + f] - ends[first]), BLOCK) for f in range(0, n, SEEK_FRAMES))
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + data[ends[first] : ends[first + n]].tobytes())
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | n * BLOCK).to_bytes(8, "big") + hashlib.md5(payload ^ 0x80).digest()
+        # a block of metadata has 24 bits for its size
+        step = max(SEEK_FRAMES, -(-18 * n // MOST_SEEK_BYTES))
+        points = b"".join(struct.pack(">QQH", f * BLOCK, int(ends[first + f] - ends[first]), BLOCK) for f in range(0, n, step))
+        yield b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + data[ends[first] : ends[first + n]]
         first += n
-    return out
 
 
 def _read(window: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -268,72 +344,95 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return out.T.astype(np.int32), number, ends + 2
 
 
+def _head(s: memoryview) -> tuple[int, bytes, int, list[tuple[int, int]]]:
+    """Samples of a stream, their MD5, where its frames start, and its seek points: sample and byte after that start."""
+    if s[:4] != b"fLaC":
+        raise ValueError("not a FLAC stream")
+    at, last, info, table = 4, False, b"", b""
+    while not last:
+        last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
+        body = bytes(s[at + 4 : at + 4 + size])
+        info, table = (body, table) if kind == 0 else (info, body) if kind == 3 else (info, table)
+        at += 4 + size
+    packed = int.from_bytes(info[10:18], "big")
+    if packed >> 36 & 0xFF != 7:
+        raise ValueError("only 8-bit mono streams are read")
+    points = [struct.unpack(">QQ", table[p : p + 16]) for p in range(0, len(table), 18)]
+    return packed & (1 << 36) - 1, info[18:34], at, points or [(0, 0)]
+
+
+def decode_pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Pieces of all streams ``data[bounds[n]:bounds[n + 1]]`` in order: the stream, the first sample and the samples as bytes (sample + 128).
+
+    Frames from some seek points on are decoded side by side, so many that their streams take ``GROUP`` frames in all, about, and
+    no more where a stream is long. Every checksum is verified; a stream's MD5 when its last piece has been handed on.
+    """
+    view = memoryview(data)
+    heads = [_head(view[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    lanes = [(n, s, e, int(bounds[n]) + at + o) for n, (total, _, at, own) in enumerate(heads) for (s, o), e in zip(own, [*(p[0] for p in own[1:]), total])]
+    sums, first = {n: hashlib.md5() for n in range(len(heads))}, 0
+    while first < len(lanes):
+        last, room = first, 0
+        while last < len(lanes) and (last == first or room + lanes[last][2] - lanes[last][1] <= GROUP * BLOCK):
+            room += lanes[last][2] - lanes[last][1]
+            last += 1
+        low = lanes[first][3]
+        part = data[low : lanes[last][3] if last < len(lanes) else len(data)]
+        own = np.array(lanes[first:last], np.int64)
+        target, upto, where = np.cumsum(own[:, 2] - own[:, 1]) - (own[:, 2] - own[:, 1]) - own[:, 1], own[:, 2], own[:, 3] - low
+        samples = np.empty(room, np.uint8)
+        while len(where):
+            found, number, where = decode_frames(part, where)
+            samples[(target + number * BLOCK)[:, None] + np.arange(BLOCK)] = found + 128
+            on = (number + 1) * BLOCK < upto
+            where, target, upto = where[on], target[on], upto[on]
+        at = 0
+        for n in np.unique(own[:, 0]).tolist():
+            mine = own[own[:, 0] == n]
+            size = int((mine[:, 2] - mine[:, 1]).sum())
+            piece = samples[at : at + size]
+            sums[n].update(piece ^ 0x80)
+            yield n, int(mine[0, 1]), piece
+            if mine[-1, 2] == heads[n][0] and sums.pop(n).digest() != heads[n][1]:
+                raise ValueError("a stream's MD5 does not hold")
+            at += size
+        first = last
+
+
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of each stream as bytes (sample + 128), by its seek table; every checksum is verified."""
-    spans, points, heads = [], [], []
-    for n, s in enumerate(streams):
-        if s[:4] != b"fLaC":
-            raise ValueError("not a FLAC stream")
-        at, last, info, table = 4, False, b"", b""
-        while not last:
-            last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
-            body = s[at + 4 : at + 4 + size]
-            info, table = (body, table) if kind == 0 else (info, body) if kind == 3 else (info, table)
-            at += 4 + size
-        packed = int.from_bytes(info[10:18], "big")
-        if packed >> 36 & 0xFF != 7:
-            raise ValueError("only 8-bit mono streams are read")
-        heads.append((packed & (1 << 36) - 1, info[18:34]))
-        spans.append(s[at:])
-        points.append([struct.unpack(">QQ", table[p : p + 16]) for p in range(0, len(table), 18)] or [(0, 0)])
-    data = np.frombuffer(b"".join(spans), np.uint8)
-    base = np.cumsum([0, *map(len, spans)])
-    totals = np.array([h[0] for h in heads])
-    room = np.cumsum([0, *totals.tolist()])
-    samples = np.empty(room[-1], np.int32)
-    where = np.array([base[n] + o for n, own in enumerate(points) for _, o in own], np.int64)
-    stream = np.array([n for n, own in enumerate(points) for _ in own], np.int64)
-    upto = np.array([e for n, own in enumerate(points) for e in [*(p[0] for p in own[1:]), heads[n][0]]], np.int64)
-    while len(where):
-        own, number, where = decode_frames(data, where)
-        target = room[stream] + number * BLOCK
-        samples[target[:, None] + np.arange(BLOCK)] = own
-        on = (number + 1) * BLOCK < upto
-        where, stream, upto = where[on], stream[on], upto[on]
-    out = []
-    for n, (total, digest) in enumerate(heads):
-        own = samples[room[n] : room[n] + total]
-        if hashlib.md5(own.astype(np.int8).tobytes()).digest() != digest:
-            raise ValueError("a stream's MD5 does not hold")
-        out.append((own + 128).astype(np.uint8))
-    return out
+    """The samples of each stream as bytes (sample + 128)."""
+    out: list[list[np.ndarray]] = [[] for _ in streams]
+    for n, _, piece in decode_pieces(np.frombuffer(b"".join(streams), np.uint8), np.cumsum([0, *map(len, streams)])):
+        out[n].append(piece)
+    return [np.concatenate(pieces) for pieces in out]
 
 
-def payloads_of(texts: pa.Array) -> list[np.ndarray]:
+def payloads_of(texts: pa.Array) -> Iterator[np.ndarray]:
     """UTF-8 bytes of each text, then bytes 255 up to a positive multiple of 576."""
     raw, bounds = utf8(texts)
-    out = []
     for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
         fill = -(b - a) % BLOCK if b > a else BLOCK
-        out.append(np.concatenate([raw[a:b], np.full(fill, 255, np.uint8)]))
-    return out
+        yield np.concatenate([raw[a:b], np.full(fill, 255, np.uint8)])
 
 
-def encode_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes (of the text) and media (a FLAC stream of its padded bytes) of every row.
+def encode_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``carry``, n_bytes (of the text) and media (a FLAC stream of its padded bytes) of every row.
 
     A null or empty text has one frame of padding. Repeated rows give repeated streams, an
-    empty table none. Nothing is shuffled. Other columns are not read.
+    empty table none. Nothing is shuffled. Other columns are not read. A task holds one text and its stream
+    and ``GROUP`` frames on their way, however long the text.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
             sizes = np.diff(utf8(batch["text"])[1])
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sizes), pa.array(encode_streams(payloads_of(batch["text"])), pa.binary())], names=["key", "n_bytes", "media"])
+            media = pa.array(encode_streams(payloads_of(batch["text"])), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["key"], *(batch[c] for c in carry), pa.array(sizes), media], names=["key", *carry, "n_bytes", "media"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(encode, f"key {key}, n_bytes long, media binary").withColumnRenamed("key", id_col)
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    rows = docs.select(F.col(id_col).alias("key"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(encode, f"key {key}, {kinds}n_bytes long, media binary").withColumnRenamed("key", id_col)
 
 
 def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", block_samples: int = BLOCK * 8) -> DataFrame:
@@ -341,15 +440,30 @@ def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "media", SLICE):
-            rows, offsets, sizes, blocks = [], [], [], []
-            for n, pcm in enumerate(decode_streams(batch["media"].to_pylist())):
-                signed = (pcm ^ 0x80).tobytes()
-                for at in range(0, len(signed), block_samples):
-                    rows.append(n)
-                    offsets.append(at)
-                    blocks.append(signed[at : at + block_samples])
-                    sizes.append(len(blocks[-1]))
-            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(rows, pa.int64())), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names=["key", "sample_offset", "n_samples", "pcm"])
+            left: dict[int, bytes] = {}
+            for n, first, piece in decode_pieces(*utf8(batch["media"])):
+                held = left.pop(n, b"")
+                signed = held + (piece ^ 0x80).tobytes()
+                first -= len(held)
+                whole = [signed[at : at + block_samples] for at in range(0, len(signed), block_samples)]
+                if len(whole[-1]) < block_samples:
+                    left[n] = whole.pop()
+                yield blocks(batch["key"].slice(n, 1), first, whole)
+                # what is left is a last block where no more of the stream follows
+                for m in [m for m in left if m < n]:
+                    yield blocks(batch["key"].slice(m, 1), ends[m] - len(left[m]), [left.pop(m)])
+                ends[n] = first + len(signed)
+            for m, rest in left.items():
+                yield blocks(batch["key"].slice(m, 1), ends[m] - len(rest), [rest])
+            ends.clear()
+
+    ends: dict[int, int] = {}
+
+    def blocks(key: pa.Array, first: int, found: list[bytes]) -> pa.RecordBatch:
+        offsets = [first + n * block_samples for n in range(len(found))]
+        return pa.RecordBatch.from_arrays(
+            [key.take(pa.array([0] * len(found), pa.int64())), pa.array(offsets, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.binary())], names=["key", "sample_offset", "n_samples", "pcm"]
+        )
 
     key = media.schema[id_col].dataType.simpleString()
     rows = media.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(media_col).alias("media"))
@@ -367,24 +481,100 @@ def read_samples(spark: SparkSession, path: str, first: int, last: int) -> DataF
     return spark.read.parquet(path).where((F.col("sample_offset") <= last) & (F.col("sample_offset") + F.col("n_samples") > first))
 
 
+class _Features:
+    """Sums over the samples of a stream, a piece at a time."""
+
+    def __init__(self):
+        self.digest, self.tail, self.n, self.total, self.energy, self.crossings, self.peak, self.below = hashlib.sha256(), b"", 0, 0, 0, 0, 0, None
+
+    def add(self, piece: np.ndarray) -> None:
+        self.digest.update(piece)
+        self.tail = (self.tail + piece[-32:].tobytes())[-32:]
+        signed = piece.astype(np.int32) - 128
+        below = signed < 0
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.below is not None and self.below != bool(below[0]))
+        self.below = bool(below[-1])
+        self.n, self.total, self.energy = self.n + len(piece), self.total + int(signed.sum()), self.energy + int((signed * signed).sum(dtype=np.int64))
+        self.peak = max(self.peak, int(np.abs(signed).max()))
+
+    def row(self, stream: memoryview) -> tuple:
+        text = f"sum={self.total};energy={self.energy};crossings={self.crossings};peak={self.peak}"
+        return self.n, self.digest.hexdigest(), zlib.crc32(self.tail), len(stream), hashlib.sha256(stream).hexdigest(), text
+
+
 def flac_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
-    """Each stream decoded again and summed up: ``id_col``, the long columns ``carry``, payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes, media_sha256 and feature (sum, energy, zero crossings and peak of the samples)."""
+    """Each stream decoded again and summed up: ``id_col``, the columns ``carry``, payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes, media_sha256 and feature (sum, energy, zero crossings and peak of the samples)."""
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "media", SLICE):
-            streams = batch["media"].to_pylist()
-            rows = []
-            for stream, pcm in zip(streams, decode_streams(streams)):
-                signed = pcm.astype(np.int64) - 128
-                crossings = int(((signed[1:] < 0) != (signed[:-1] < 0)).sum())
-                text = f"sum={signed.sum()};energy={(signed * signed).sum()};crossings={crossings};peak={np.abs(signed).max(initial=0)}"
-                raw = pcm.tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), text))
+            data, bounds = utf8(batch["media"])
+            sums = [_Features() for _ in range(batch.num_rows)]
+            for n, _, piece in decode_pieces(data, bounds):
+                sums[n].add(piece)
+            rows = [own.row(memoryview(data)[a:b]) for own, a, b in zip(sums, bounds.tolist(), bounds[1:].tolist())]
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])]
             yield pa.RecordBatch.from_arrays([batch["key"], *(batch[c] for c in carry), *columns], names=names)
 
     names = ["key", *carry, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     key = media.schema[id_col].dataType.simpleString()
     rows = media.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("key"), *carry, F.col(media_col).alias("media"))
-    kinds = "".join(f"{c} long, " for c in carry) + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds = "".join(f"{c} {media.schema[c].dataType.simpleString()}, " for c in carry) + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return rows.mapInArrow(features, f"key {key}, {kinds}").withColumnRenamed("key", id_col)
+
+
+def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Streams in the shared folder, those of equal texts once: ``media`` (``id_col``, digest, shared, n_bytes, media) and ``copies`` (``id_col``, digest) of the rows that have none of their own.
+
+    The stream of equal texts is that of the row whose id is smallest. Which rows go without is told by two bitmaps of fixed size;
+    a row is left out only where both are sure, so at worst a text is stored again. shared is true
+    wherever there are copies. Texts are not shuffled, only 128-bit digests of them.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest")
+    keys = staged(docs.select(F.col(id_col).alias("key"), digest), "digests")
+    own = F.xxhash64("key", "digest")
+    several = keys.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    copies = staged(keys.join(several, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "digest"), "copies")
+    maybe = cell_bitmap(copies.select(own.alias("cell")), F.col("cell"))
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(maybe.value, np.asarray(batch["cell"]))))
+
+    met = keys.select("key", "digest", own.alias("cell")).mapInArrow(look, f"key {docs.schema[id_col].dataType.simpleString()}, digest binary, cell long")
+    same = copies.select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
+    kept = met.join(same, met["key"].eqNullSafe(same["__key"]) & (met["digest"] == same["__digest"]), "left_anti")
+    surely = cell_bitmap(kept.select("cell"), F.col("cell"))
+    held = cell_bitmap(copies.select(F.xxhash64("digest").alias("cell")), F.col("cell"))
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.asarray(batch["cell"])
+            left_out = in_bitmap(maybe.value, cell) & ~in_bitmap(surely.value, cell)
+            shared = in_bitmap(held.value, np.asarray(batch["shared"]))
+            columns = [batch[c] if c != "shared" else pa.array(shared) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~left_out))
+
+    key = docs.schema[id_col].dataType.simpleString()
+    names = ["key", "digest", "shared", "text"]
+    rows = docs.select(F.col(id_col).alias("key"), digest, F.xxhash64(digest).alias("shared"), F.xxhash64(F.col(id_col), digest).alias("cell"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = rows.mapInArrow(mark, f"key {key}, digest binary, shared boolean, text string")
+    media = staged(encode_flac(chosen, "key", "text", ("digest", "shared")), "media")
+
+    def without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~in_bitmap(surely.value, np.asarray(batch["cell"])))).select(["key", "digest"])
+
+    others = copies.select("key", "digest", own.alias("cell")).mapInArrow(without, f"key {key}, digest binary")
+    return media.withColumnRenamed("key", id_col), others.withColumnRenamed("key", id_col)
+
+
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`flac_features` of every row of ``docs`` from stored streams: ``id_col``, n_bytes and what it returns. Equal texts have one stream and equal values.
+
+    A null text is an empty one. Rows that repeat, or whose id is null, are answered each; an empty table gives no rows. Other columns are not read.
+    """
+    media, copies = store_flac(docs, id_col, text_col)
+    kept = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    each = flac_features(media, id_col).select(id_col, *kept)
+    shared = flac_features(media.where("shared"), id_col, carry=("digest", "n_bytes")).select("digest", *kept).dropDuplicates(["digest"])
+    return each.unionByName(copies.join(shared, "digest").select(id_col, *kept))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .flac import encode_flac, flac_features
+from .flac import media_features
 from .huffman import read_huffman, write_huffman
 from .languages import identify_languages, train_languages
 from .lattice import sample_pieces
@@ -15,7 +15,7 @@ from .partenum import jaccard_groups, jaccard_oracle
 from .quality import score_quality, train_quality
 from .ranked import search_documents, search_oracle
 from .secrets import scan_secrets, secret_digest, secret_oracle
-from .storage import scratch_path, staged
+from .storage import scratch_path
 from .vectors import link_vectors, vector_oracle
 from .whitening import whiten_vectors
 
@@ -77,8 +77,7 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = staged(encode_flac(table(spark, sf_dir, "documents")), "media")
-    return flac_features(media)
+    return media_features(table(spark, sf_dir, "documents"))
 
 
 def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

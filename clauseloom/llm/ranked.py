@@ -25,11 +25,11 @@ from .hashes import piece_hashes
 from .storage import discard, scratch_path, staged, written
 
 #: Documents of a block, and bytes of their texts (a longer text is a block of its own).
-BLOCK_DOCS, BLOCK_BYTES = 64, 1 << 18
+BLOCK_DOCS, BLOCK_BYTES = 8, 1 << 18
 #: Queries, and terms of all of them, that are searched at a time.
 BATCH_QUERIES, BATCH_TERMS = 512, 1 << 18
 #: Blocks of each query that the first rounds score; the last round scores all that are left and can matter.
-ROUNDS = (8, 64)
+ROUNDS = (8, 64, 512)
 #: Queries of all blocks together that a broadcast of visits may hold.
 BROADCAST_VISITS = 1 << 20
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 
 from clauseloom.llm import flac, queries
 
-from .cases import FOLDER
+from .cases import FOLDER, empty, frame, rows
 
 COEFFICIENTS = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
@@ -118,9 +120,13 @@ def read(raw):
         elif kind == 1:
             own = [signed_take(8) for _ in range(576)]
         else:
-            order = kind & 7
-            assert 8 <= kind <= 12
+            assert 8 <= kind <= 12 or kind >= 32
+            order = kind - 31 if kind >= 32 else kind & 7
             own = [signed_take(8) for _ in range(order)]
+            taps, shift = COEFFICIENTS.get(order), 0
+            if kind >= 32:
+                width, shift = take(4) + 1, take(5)
+                taps = [signed_take(width) for _ in range(order)]
             assert take(2) == 0
             parts = take(4)
             for q in range(1 << parts):
@@ -129,7 +135,7 @@ def read(raw):
                     high = bits.index("1", p) - p
                     p += high + 1
                     folded = high << k | take(k)
-                    own.append((folded >> 1 ^ -(folded & 1)) + sum(c * own[-1 - i] for i, c in enumerate(COEFFICIENTS[order])))
+                    own.append((folded >> 1 ^ -(folded & 1)) + (sum(c * own[-1 - i] for i, c in enumerate(taps)) >> shift))
         out += own
         at += 1 + -(-p // 8)
         assert crc(raw[begin:at], 0x8005, 16) == int.from_bytes(raw[at : at + 2], "big")
@@ -165,6 +171,75 @@ def test_another_reader_decodes_the_streams():
         assert read(raw) == payload
 
 
+def test_frames_take_the_best_that_they_could(monkeypatch):
+    rng = random.Random(3)
+    text = np.frombuffer(b"".join(bytes(rng.choice(b"etaoin shrdlu")) for _ in range(9)) + bytes(rng.choice(b"etaoin shrdlu") for _ in range(576 * 12)), np.uint8)[: 576 * 12]
+    samples = text.astype(np.int32).reshape(-1, 576) - 128
+    sizes = flac.encode_frames(samples, np.arange(12))[1]
+    for row, size in zip(samples.tolist(), sizes.tolist()):
+        best = 8 * 576
+        for order, taps in COEFFICIENTS.items():
+            residual = [row[t] - sum(c * row[t - 1 - i] for i, c in enumerate(taps)) for t in range(order, 576)]
+            folded = [2 * x if x >= 0 else -2 * x - 1 for x in residual]
+            for p in range(4):
+                width, bits = 576 >> p, 6 + 8 * order
+                for q in range(1 << p):
+                    part = folded[max(q * width - order, 0) : (q + 1) * width - order]
+                    bits += 4 + min(sum((x >> k) + 1 + k for x in part) for k in range(9))
+                best = min(best, bits)
+        assert size <= 5 + 1 + 1 + -(-best // 8) + 2
+
+
+MEMORY = """
+import hashlib, resource, sys
+import numpy as np, pyarrow as pa
+from clauseloom.llm import flac
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+size = 32 << 20
+text = pa.array([(b"abcdefghij klmnop " * (size // 18 + 1))[:size].decode()])
+raw = next(iter(flac.encode_streams(flac.payloads_of(text))))
+digest, n = hashlib.sha256(), 0
+for stream, first, piece in flac.decode_pieces(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])):
+    assert (stream, first) == (0, n)
+    digest.update(piece)
+    n += len(piece)
+payload = next(flac.payloads_of(text)).tobytes()
+assert n == len(payload) and digest.digest() == hashlib.sha256(payload).digest()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_a_text_of_32_mb_is_taken_in_bounded_memory():
+    done = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 600  # MB; the text, its payload and its stream are 100 of them
+
+
+def test_equal_texts_are_stored_once(spark):
+    texts = [(n, f"text {n % 40} " * (n % 7)) for n in range(300)] + [(5, "text 5 " * 5), (None, "text 1 "), (None, None), (900, None), (901, "")]
+    media, copies = flac.store_flac(frame(spark, texts))
+    stored = [(r.doc_id, r.shared) for r in media.collect()]
+    assert len(stored) + copies.count() == len(texts) and len(stored) <= len({t or "" for _, t in texts}) + 5
+    found = sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, r.payload_sha256) for r in flac.media_features(frame(spark, texts)).collect())
+    padded = lambda raw: raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+    assert found == sorted(((d is None, d or 0), len((t or "").encode()), hashlib.sha256(padded((t or "").encode())).hexdigest()) for d, t in texts)
+    assert flac.media_features(empty(spark)).count() == 0 and flac.media_features(frame(spark)).count() == len(rows())
+
+
+def test_pcm_blocks_of_all_sizes(spark):
+    rng = random.Random(5)
+    texts = [(n, "".join(rng.choice("abc déf") for _ in range(rng.choice([0, 5, 700, 5000, 30_000])))) for n in range(25)]
+    media = flac.encode_flac(frame(spark, texts))
+    for size in (576 * 8, 1000):
+        held = {}
+        for r in sorted(flac.decode_flac(media, block_samples=size).collect(), key=lambda r: (r.doc_id, r.sample_offset)):
+            assert r.sample_offset % size == 0 and r.n_samples == len(r.pcm) and r.sample_offset == len(held.get(r.doc_id, b""))
+            held[r.doc_id] = held.get(r.doc_id, b"") + bytes(b ^ 0x80 for b in r.pcm)
+        for d, t in texts:
+            raw = t.encode()
+            assert held[d] == raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+
+
 def test_registered_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     found = {r.doc_id: r for r in queries.op10_flac_media(spark, FOLDER).collect()}

@@ -125,7 +125,7 @@ def test_flac(spark):
 
 
 def test_flac_finds_damage():
-    stream = bytearray(flac.encode_streams(flac.payloads_of(pa.array(["some text that is long enough " * 40])))[0])
+    stream = bytearray(list(flac.encode_streams(flac.payloads_of(pa.array(["some text that is long enough " * 40]))))[0])
     stream[-40] ^= 1
     with pytest.raises(ValueError):
         flac.decode_streams([bytes(stream)])
