@@ -20,12 +20,19 @@ SCOPE = 200
 CELL = 1024
 
 _ASSIGN = r"""["']?\x20*[:=]\x20*["']?"""
+
+
+def _either_case(pattern: str) -> str:
+    """A pattern of words whose letters, ASCII alone, stand in either case; engines fold beyond ASCII in different ways."""
+    return "".join(f"[{c}{c.upper()}]" if c.isascii() and c.islower() else c for c in pattern)
+
+
 #: kind, the part of a credential it is, whether it is weak, pattern, group whose size counts, least and most size.
 KINDS = [
-    ("assign", "secret", False, rf"(?:(?i:password|passwd|secret|token|api_?key)){_ASSIGN}([A-Za-z0-9+/_.=-]+)", 1, 8, None),
+    ("assign", "secret", False, rf"(?:{_either_case('password|passwd|secret|token|api_?key')}){_ASSIGN}([A-Za-z0-9+/_.=-]+)", 1, 8, None),
     ("access", "identifier", False, r"AKIA[A-Z0-9]+", None, 16, None),
     ("hex", "secret", False, r"[0-9a-f]{32,}", None, 32, None),
-    ("account", "identifier", True, rf"(?:(?i:user(?:name)?|login|account|client_?id)){_ASSIGN}([A-Za-z0-9_.@-]+)", 1, 3, None),
+    ("account", "identifier", True, rf"(?:{_either_case('user(?:name)?|login|account|client_?id')}){_ASSIGN}([A-Za-z0-9_.@-]+)", 1, 3, None),
     ("run40", "secret", True, r"[A-Za-z0-9/+]{40,}", None, 40, 40),
     ("address", "endpoint", True, r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?", None, 10, None),
 ]

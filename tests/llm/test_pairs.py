@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import sys
 from itertools import combinations
 
 import numpy as np
@@ -196,6 +198,36 @@ def test_vectors_equal_brute_force(spark):
     assert link_vectors(df.where("false")).count() == 0
 
 
+DENSE = """
+import resource
+import numpy as np
+from clauseloom.llm.vectors import tile_links
+rng = np.random.default_rng(1)
+raws = [1 + 0.02 * rng.normal(size=(1024, 768)) for _ in range(2)]
+copies = [rng.integers(1, 5, 1024) for _ in range(2)]
+turn = np.linalg.qr(rng.normal(size=(768, 768)))[0]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+links, root = tile_links(raws, copies, turn, 0.98)
+assert (links[:1024] == copies[1].sum()).all() and (links[1024:] == copies[0].sum()).all() and not root.any()
+links, root = tile_links(raws[:1], copies[:1], turn, 0.98)
+assert (links == copies[0].sum() - copies[0]).all() and not root.any()
+print(before >> 10, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_tiles_full_of_near_copies_take_bounded_memory():
+    done = subprocess.run([sys.executable, "-c", DENSE], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[1]) < 500  # MB in all
+
+
+def test_single_and_double_precision_link_alike(spark):
+    near = [1.0, 0.1, 1 / 3]
+    made = [(0, near, 1), (1, [float(np.float32(x)) for x in near], 1), (2, [1e300, 1e299, 1e300 / 3], 1), (3, [1e-300, 1e-301, 1e-300 / 3], 1), (4, [0.0, 1.0, 0.0], 1), (5, [1.0, 0.1], 1)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {**{n: (3, 0) for n in range(4)}, 4: (0, 4), 5: (0, 5)}
+
+
 def test_whole_tables(spark):
     from clauseloom.llm import queries
 

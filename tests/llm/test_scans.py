@@ -25,6 +25,7 @@ SECRETS = [
     "short secret=abc " + "x" * 300 + " login: bob",
     None,
     "",
+    "paſſword=abcdefgh1 to\u212aen=abcdefgh2 Api_Key=abcdefgh3 TOKEN: abcdefgh4 uſer=abcdef LOGIN=bob1",
 ]
 LICENSES = ["Licensed under the MIT License.", "GNU General Public License version 3", "CC BY 4.0", "SPDX-License-Identifier: Apache-2.0", "no terms here", "apache license apache license, mit license", None, ""]
 
