@@ -14,10 +14,10 @@ LEAST = 0.3
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarities of the vectors of query rows (cases) with others (clauses), all from ``LEAST`` on once rounded."""
+    """Similarities of the vectors of query rows (cases) with all rows (clauses) but themselves, all from ``LEAST`` on once rounded."""
     vectors = table(spark, sf_dir, "embeddings")
     cases = vectors.where("vec_id % 50 = 0")
-    found = vector_links(vectors.where("vec_id % 50 <> 0"), cases, LEAST - 0.001)
+    found = vector_links(vectors, cases, LEAST - 0.001).where("vec_id <> query_id")
     return found.select(F.col("vec_id").alias("group"), F.col("query_id").alias("case_id"), F.round("similarity", 3).alias("similarity")).join(cases.select(F.col("vec_id").alias("case_id"), F.col("label").alias("release")), "case_id")
 
 
@@ -85,7 +85,7 @@ def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("covered").cast("long").alias("covered"), F.round(F.col("covered") / F.col("size"), 6).alias("share"))
 
 
-_COS = f"""with v as (select vec_id, label, embedding::double[] e from embeddings), p as (select d.vec_id "group", q.vec_id case_id, q.label release, round(list_cosine_similarity(q.e, d.e), 3) similarity from v q join v d on q.vec_id % 50 = 0 and d.vec_id % 50 <> 0), k as (select * from p where similarity >= {LEAST})"""
+_COS = f"""with v as (select vec_id, label, embedding::double[] e from embeddings), p as (select d.vec_id "group", q.vec_id case_id, q.label release, round(list_cosine_similarity(q.e, d.e), 3) similarity from v q join v d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id), k as (select * from p where similarity >= {LEAST})"""
 _SPANS = """with d as (select doc_id, length(text) n from documents where length(text) > 0), w as (select doc_id, s a_start, least(s + 750, n) a_end from (select doc_id, n, unnest(generate_series(0, n - 1, 650)) s from d)),
 g as (select doc_id, greatest(0, n // 2 - 100) b_start, least(greatest(0, n // 2 - 100) + 200, n) b_end from d), m as (select * from w join g using (doc_id) where a_start < b_end and b_start < a_end)"""
 _CITED = """with c as (select o_orderkey, '민법' law, '법률' category, '제' || o_custkey % 40 || '조' article, 0 nth from orders union all select o_orderkey, '민법', '법률', '제' || o_orderkey % 30 || '조의2', 1 from orders

@@ -106,6 +106,23 @@ def entity_dates_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", F.col("r.date_from").alias("date_from"), F.col("r.date_to").alias("date_to"))
 
 
+def month_day_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months that questions about orders name, with years of two and four digits, without any, and such as do not exist."""
+    day = F.col("o_orderdate")
+    y, yy, m, d = F.date_format(day, "yyyy"), F.date_format(day, "yy"), F.month(day), F.dayofmonth(day)
+    said = [
+        F.concat(m, F.lit("월 "), d, F.lit("일 개정")),
+        F.concat(m, F.lit("월에 바뀐 조항")),
+        F.concat(yy, F.lit("년 "), m, F.lit("월에 바뀐 조항")),
+        F.concat(yy, F.lit("년 "), m, F.lit("월 "), d, F.lit("일 개정")),
+        F.concat(y, F.lit("년 "), m, F.lit("월 개정")),
+        F.concat(yy, F.lit("년 "), m, F.lit("월 말고 "), d % 12 + 1, F.lit("월은?")),
+        F.concat(m + 12, F.lit("월 "), d, F.lit("일")),
+    ]
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*said), (F.col("o_orderkey") % len(said) + 1).cast("int")).alias("asked"))
+    return asked.select("o_orderkey", dates.month_day(F.col("asked")).alias("month_day"))
+
+
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     raw = F.concat(F.lit("---\nlang: "), "lang", F.lit('\nsource: "'), "source", F.lit('"  # where it is from\nnote: null\n---\n\n'), "text")
@@ -194,6 +211,10 @@ select doc_id, len(l) as n_lines, len(l) > 0 and (len(list_filter(l, lambda s: s
         f"""select o_orderkey, case s when 'F' then d when 'O' then null else make_date(y, 1, 1) end as date_from,
 case s when 'F' then null when 'O' then make_date(y, m, 1) - 1 else make_date(y, 12, 31) end as date_to from ({_DATES})""",
     ),
+    "month_day_named": (
+        month_day_named,
+        "select o_orderkey, case o_orderkey % 7 when 0 then strftime(o_orderdate::date, '%m-%d') when 1 then strftime(o_orderdate::date, '%m') when 5 then lpad((day(o_orderdate::date) % 12 + 1)::varchar, 2, '0') end as month_day from orders",
+    ),
     "front_matter": (front_matter, "select doc_id, lang, source, null::varchar as note, length(ltrim(text, chr(10))) as body_chars from documents"),
     "path_parts": (path_parts, "select doc_id, source || '/' || lang as service, source as company, 'Web' as platform from documents"),
     "overlap_ratio": (

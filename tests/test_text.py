@@ -1,11 +1,13 @@
 """Text functions on cases worked out by hand."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions import dates, text
+from clauseloom.operators import scoring
 from clauseloom.operators import versions as V
 from clauseloom.sources import frontmatter, html
 
@@ -102,3 +104,36 @@ def test_front_matter(spark):
 
 def test_pages(spark):
     assert value(spark, "<p>a &lt;b&gt;</p><script>x</script>\n<b>c</b>", html.visible_text) == "a <b> c"
+
+
+def plain_cuts(text, budget):
+    """Every admissible end of a span is tried, the furthest first."""
+    spans, start = [], 0
+    while len(text) - start > budget:
+        low, reach = start + budget // 3, start + budget
+        feeds = [e for e in range(reach - 1, low - 1, -1) if text[e] == "\n" and e > start]
+
+        def behind_sentence(e):
+            a = e
+            while a > start and text[a - 1].isspace():
+                a -= 1
+            return start < a < e and text[a - 1] in ".!?。" and (e == reach or not text[e].isspace())
+
+        ends = feeds or [e for e in range(reach, low - 1, -1) if behind_sentence(e)]
+        spans.append((start, ends[0] if ends else reach))
+        start = spans[-1][1]
+    return [*spans, (start, len(text))]
+
+
+def test_windows_end_where_the_rule_says():
+    rng = random.Random(8)
+    for budget in (3, 10, 37):
+        for _ in range(300):
+            text = "".join(rng.choice(["a", "bc", ". ", "!  ", "。\n", "\n", " ", "?", "가"]) for _ in range(rng.randrange(80)))
+            assert scoring.cut_spans(text, budget) == plain_cuts(text, budget)
+
+
+def test_months_without_a_year(spark):
+    said = {"15년 7월에 바뀐 조항": None, "24년 3월 5일 개정": None, "7월 25일 개정": "07-25", "3월": "03", "2020년 3월": None, "13월": None, "작년 12월 1일": None, "지난 12월 1일": "12-01", "15년 7월 말고 8월": "08", "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in said], "t string").select("t", dates.month_day(F.col("t")).alias("m"))
+    assert {r.t: r.m for r in df.collect()} == said
