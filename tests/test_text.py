@@ -134,6 +134,6 @@ def test_windows_end_where_the_rule_says():
 
 
 def test_months_without_a_year(spark):
-    said = {"15년 7월에 바뀐 조항": None, "24년 3월 5일 개정": None, "7월 25일 개정": "07-25", "3월": "03", "2020년 3월": None, "13월": None, "작년 12월 1일": None, "지난 12월 1일": "12-01", "15년 7월 말고 8월": "08", "": None, None: None}
+    said = {"15년 7월에 바뀐 조항": None, "24년 3월 5일 개정": None, "7월 25일 개정": "07-25", "3월": "03", "2020년 3월": None, "13월": None, "작년12월 1일": None, "작년 12월 1일": "12-01", "지난 12월 1일": "12-01", "15년 7월 말고 8월": "08", "": None, None: None}
     df = spark.createDataFrame([(k,) for k in said], "t string").select("t", dates.month_day(F.col("t")).alias("m"))
     assert {r.t: r.m for r in df.collect()} == said
