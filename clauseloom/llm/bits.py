@@ -25,8 +25,12 @@ def pack(codes: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, total_bits
 
 def windows(data: np.ndarray) -> np.ndarray:
     """For each byte position the 32 bits that start there; zeros follow the end."""
-    b = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
-    return (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
+    b = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = b[:-3].astype(np.uint32)
+    for n in (1, 2, 3):
+        out <<= np.uint32(8)
+        out |= b[n : len(b) - 3 + n]
+    return out
 
 
 def peek(window: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Samples are the bytes of a payload, minus 128. A frame has 576 of them and is constant,
 verbatim or the residual of a fixed or linear predictor in partitioned Rice code, whichever is shortest. The seek
-table names every ``SEEK_FRAMES``-th frame; decoding follows all of these points side by
+table of a longer stream names every ``SEEK_FRAMES``-th frame; decoding follows all of these points side by
 side, undoes fixed and other linear predictors, and verifies the header's CRC-8, the frame's
 CRC-16 and the stream's MD5.
 """
@@ -16,30 +16,34 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bits
 from .batches import text_slices, utf8
 from .buckets import cell_bitmap, in_bitmap
-from .storage import staged
+from .storage import discard, staged, written
 
 BLOCK = 576
-SEEK_FRAMES = 4
+SEEK_FRAMES = 8
 RATE = 8000
 #: 2 to this power are the most partitions of a frame.
 PARTITION_ORDER = 3
 LARGEST_RICE = 8
 #: Longer codes are not written; a frame that would need one is coded otherwise.
 LONGEST_CODE = 57
-#: Order of a frame's own linear predictor, and bits of its coefficients.
-LINEAR_ORDER, LINEAR_BITS = 12, 6
+#: Orders of a frame's own linear predictors, and bits of their coefficients.
+LINEAR_ORDERS, LINEAR_BITS = (8, 16), 5
+LINEAR_MOST = max(LINEAR_ORDERS)
 NEVER = 1 << 40
-#: Frames that are encoded or decoded at a time.
-GROUP = 1024
+#: Frames that are encoded, and decoded, at a time.
+GROUP, READ_GROUP = 1024, 16384
 MOST_SEEK_BYTES = (1 << 24) - 18
 #: Text bytes handled at a time.
 SLICE = 1 << 19
+#: Bytes of streams that are decoded at a time, or one stream.
+READ_SLICE = 8 << 20
 
 #: Fixed values of the format: predictor coefficients by order, and the CRC polynomials.
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
@@ -127,37 +131,38 @@ def _folded(residual: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _linear(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _linear(samples: np.ndarray, lags: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Residuals of each frame's own linear predictor, its shift and its coefficients, from the frame's autocorrelation."""
-    x = samples.astype(np.float64)
-    lags = np.stack([(x[:, k:] * x[:, : BLOCK - k]).sum(axis=1) for k in range(LINEAR_ORDER + 1)], axis=1)
-    lags[:, 0] = lags[:, 0] * 1.0001 + 1
-    apart = np.abs(np.arange(LINEAR_ORDER)[:, None] - np.arange(LINEAR_ORDER)[None, :])
-    exact = np.linalg.solve(lags[:, apart], lags[:, 1:, None])[:, :, 0]
+    apart = np.abs(np.arange(order)[:, None] - np.arange(order)[None, :])
+    exact = np.linalg.solve(lags[:, apart], lags[:, 1 : order + 1, None])[:, :, 0]
     limit = 1 << (LINEAR_BITS - 1)
     shift = np.clip(LINEAR_BITS - 1 - np.ceil(np.log2(np.abs(exact).max(axis=1) + 1e-9)), 0, 15).astype(np.int64)
     taps = np.clip(np.round(exact * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int32)
     guess = np.zeros_like(samples)
-    for i in range(LINEAR_ORDER):
+    for i in range(order):
         guess[:, i + 1 :] += taps[:, i : i + 1] * samples[:, : BLOCK - 1 - i]
-    return samples - (guess >> shift[:, None].astype(np.int32)), shift, taps
+    return samples - (guess >> shift[:, None].astype(np.int32)), shift, np.pad(taps, ((0, 0), (0, LINEAR_MOST - order)))
 
 
 def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all frames on end, and each frame's length. ``samples`` is (frames, 576) int32.
 
-    Each frame takes what codes it in the fewest bits: fixed predictors of orders 0 to 4 or a linear one of its own,
+    Each frame takes what codes it in the fewest bits: fixed predictors of orders 0 to 4 or one of its own linear ones,
     1 to 8 partitions, and in each the best of all Rice parameters.
     """
     frames, parts = len(samples), 1 << PARTITION_ORDER
-    best = {"bits": np.full(frames, NEVER), "folded": np.zeros((frames, BLOCK), np.int64), "taps": np.zeros((frames, LINEAR_ORDER), np.int64), "rice": np.zeros((frames, parts), np.int64)}
+    best = {"bits": np.full(frames, NEVER), "folded": np.zeros((frames, BLOCK), np.int64), "taps": np.zeros((frames, LINEAR_MOST), np.int64), "rice": np.zeros((frames, parts), np.int64)}
     best |= {name: np.zeros(frames, np.int64) for name in ("split", "order", "linear", "shift")}
     diff = samples
     for order in FIXED:
         _best(best, _folded(diff, order), order, 8 * order)
         diff = np.diff(diff, axis=1, prepend=0)
-    residual, shift, taps = _linear(samples)
-    _best(best, _folded(residual, LINEAR_ORDER), LINEAR_ORDER, (8 + LINEAR_BITS) * LINEAR_ORDER + 9, shift, taps)
+    exact = samples.astype(np.float64)
+    lags = np.stack([(exact[:, k:] * exact[:, : BLOCK - k]).sum(axis=1) for k in range(LINEAR_MOST + 1)], axis=1)
+    lags[:, 0] = lags[:, 0] * 1.0001 + 1
+    for order in LINEAR_ORDERS:
+        residual, shift, taps = _linear(samples, lags, order)
+        _best(best, _folded(residual, order), order, (8 + LINEAR_BITS) * order + 9, shift, taps)
     order, linear, rice, folded = best["order"], best["linear"].astype(bool), best["rice"], best["folded"]
     k = np.repeat(rice, BLOCK // parts, axis=1)
     size = (folded >> k) + 1 + k
@@ -179,9 +184,9 @@ def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray,
     used = np.arange(11) < (4 + digits)[:, None]
     head[np.arange(frames), 4 + digits] = checksums(head[used].astype(np.uint8), np.cumsum(4 + digits) - (4 + digits), 4 + digits, CRC8)
     kind = np.where(constant, 0, np.where(verbatim, 1, np.where(linear, 31 + order, 8 | order))) << 1
-    warm = np.arange(LINEAR_ORDER) < order[:, None]
-    pieces = [head, kind[:, None], np.where(warm, byte[:, :LINEAR_ORDER], 0), ((LINEAR_BITS - 1) << 5 | best["shift"])[:, None], best["taps"] & ((1 << LINEAR_BITS) - 1)]
-    widths = [8 * (np.arange(11) < (5 + digits)[:, None]), np.full((frames, 1), 8), 8 * warm, np.where(linear, 9, 0)[:, None], LINEAR_BITS * np.repeat(linear[:, None], LINEAR_ORDER, axis=1)]
+    warm = np.arange(LINEAR_MOST) < order[:, None]
+    pieces = [head, kind[:, None], np.where(warm, byte[:, :LINEAR_MOST], 0), ((LINEAR_BITS - 1) << 5 | best["shift"])[:, None], best["taps"] & ((1 << LINEAR_BITS) - 1)]
+    widths = [8 * (np.arange(11) < (5 + digits)[:, None]), np.full((frames, 1), 8), 8 * warm, np.where(linear, 9, 0)[:, None], LINEAR_BITS * (warm & linear[:, None])]
     for p in range(parts):
         opens = ~plain & (p % (parts >> best["split"]) == 0)
         pieces += [(rice[:, p] | (best["split"] << 4 if p == 0 else 0))[:, None], code[:, p * BLOCK // parts : (p + 1) * BLOCK // parts]]
@@ -222,10 +227,11 @@ def _streams(payloads: list[np.ndarray]) -> Iterator[bytes]:
         own = sizes[first : first + n]
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | n * BLOCK).to_bytes(8, "big") + hashlib.md5(payload ^ 0x80).digest()
-        # a block of metadata has 24 bits for its size
+        # a block of metadata has 24 bits for its size; a table of one point would say nothing
         step = max(SEEK_FRAMES, -(-18 * n // MOST_SEEK_BYTES))
         points = b"".join(struct.pack(">QQH", f * BLOCK, int(ends[first + f] - ends[first]), BLOCK) for f in range(0, n, step))
-        yield b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + data[ends[first] : ends[first + n]]
+        table = b"\x83" + len(points).to_bytes(3, "big") + points if n > step else b""
+        yield b"fLaC" + (b"\x00" if table else b"\x80") + len(info).to_bytes(3, "big") + info + table + data[ends[first] : ends[first + n]]
         first += n
 
 
@@ -364,7 +370,7 @@ def _head(s: memoryview) -> tuple[int, bytes, int, list[tuple[int, int]]]:
 def decode_pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Pieces of all streams ``data[bounds[n]:bounds[n + 1]]`` in order: the stream, the first sample and the samples as bytes (sample + 128).
 
-    Frames from some seek points on are decoded side by side, so many that their streams take ``GROUP`` frames in all, about, and
+    Frames from some seek points on are decoded side by side, so many that their streams take ``READ_GROUP`` frames in all, about, and
     no more where a stream is long. Every checksum is verified; a stream's MD5 when its last piece has been handed on.
     """
     view = memoryview(data)
@@ -373,7 +379,7 @@ def decode_pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, i
     sums, first = {n: hashlib.md5() for n in range(len(heads))}, 0
     while first < len(lanes):
         last, room = first, 0
-        while last < len(lanes) and (last == first or room + lanes[last][2] - lanes[last][1] <= GROUP * BLOCK):
+        while last < len(lanes) and (last == first or room + lanes[last][2] - lanes[last][1] <= READ_GROUP * BLOCK):
             room += lanes[last][2] - lanes[last][1]
             last += 1
         low = lanes[first][3]
@@ -439,7 +445,7 @@ def decode_flac(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     """PCM blocks of every stream: ``id_col``, sample_offset, n_samples, pcm (signed 8-bit). A null stream has no blocks; a damaged one raises."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "media", SLICE):
+        for batch in text_slices(batches, "media", READ_SLICE):
             left: dict[int, bytes] = {}
             for n, first, piece in decode_pieces(*utf8(batch["media"])):
                 held = left.pop(n, b"")
@@ -506,7 +512,7 @@ def flac_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
     """Each stream decoded again and summed up: ``id_col``, the columns ``carry``, payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes, media_sha256 and feature (sum, energy, zero crossings and peak of the samples)."""
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "media", SLICE):
+        for batch in text_slices(batches, "media", READ_SLICE):
             data, bounds = utf8(batch["media"])
             sums = [_Features() for _ in range(batch.num_rows)]
             for n, _, piece in decode_pieces(data, bounds):
@@ -523,14 +529,14 @@ def flac_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
 
 
 def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Streams in the shared folder, those of equal texts once: ``media`` (``id_col``, digest, shared, n_bytes, media) and ``copies`` (``id_col``, digest) of the rows that have none of their own.
+    """Streams in the shared folder, those of equal texts once: ``media`` (``id_col``, digest where shared, shared, n_bytes, media) and ``copies`` (``id_col``, digest) of the rows that have none of their own.
 
     The stream of equal texts is that of the row whose id is smallest. Which rows go without is told by two bitmaps of fixed size;
     a row is left out only where both are sure, so at worst a text is stored again. shared is true
     wherever there are copies. Texts are not shuffled, only 128-bit digests of them.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest")
-    keys = staged(docs.select(F.col(id_col).alias("key"), digest), "digests")
+    keys, path = written(docs.select(F.col(id_col).alias("key"), digest), "digests")
     own = F.xxhash64("key", "digest")
     several = keys.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     copies = staged(keys.join(several, "digest").where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "digest"), "copies")
@@ -551,13 +557,15 @@ def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             cell = np.asarray(batch["cell"])
             left_out = in_bitmap(maybe.value, cell) & ~in_bitmap(surely.value, cell)
             shared = in_bitmap(held.value, np.asarray(batch["shared"]))
-            columns = [batch[c] if c != "shared" else pa.array(shared) for c in names]
+            digests = pc.if_else(pa.array(shared), batch["digest"], pa.scalar(None, pa.binary()))
+            columns = [batch["key"], digests, pa.array(shared), batch["text"]]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(~left_out))
 
     key = docs.schema[id_col].dataType.simpleString()
     names = ["key", "digest", "shared", "text"]
     rows = docs.select(F.col(id_col).alias("key"), digest, F.xxhash64(digest).alias("shared"), F.xxhash64(F.col(id_col), digest).alias("cell"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = rows.mapInArrow(mark, f"key {key}, digest binary, shared boolean, text string")
+    discard(docs.sparkSession, path)
     media = staged(encode_flac(chosen, "key", "text", ("digest", "shared")), "media")
 
     def without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,7 +141,7 @@ def read(raw):
         assert crc(raw[begin:at], 0x8005, 16) == int.from_bytes(raw[at : at + 2], "big")
         at += 2
     assert at == len(raw) and hashlib.md5(bytes(x & 255 for x in out)).digest() == blocks[0][18:34]
-    for n in range(0, len(blocks[3]), 18):
+    for n in range(0, len(blocks.get(3, b"")), 18):
         sample, offset = (int.from_bytes(blocks[3][n + 8 * i : n + 8 * i + 8], "big") for i in (0, 1))
         assert starts[sample] == offset
     return bytes(x + 128 for x in out)
