@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseloom-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once beside the checkpoints, and read from there: what came before is not worked out again, also where an executor is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """One row for each line: doc_id, source, lang, idx (from 0), line. A null text has no lines."""
     return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("idx", "line"))

@@ -91,13 +91,15 @@ def test_similarity_is_the_matched_share(a, b):
     assert C.similarity(a, b) == (0.0 if far else matcher.ratio())
 
 
-def test_oversized_blocks_go_by_ids(monkeypatch):
+def test_oversized_blocks_go_by_ids(spark):
     import pandas as pd
 
-    monkeypatch.setattr(C, "MOST_PAIRS", 3)
     old = pd.DataFrame({"idx": [0, 1], "key": ["abcdefgh", "zzzz"], "title": "", "clause_id": ["x", "y"]})
     new = pd.DataFrame({"idx": [0, 1], "key": ["qqqq", "abcdefgi"], "title": "", "clause_id": ["x", "n"]})
-    assert sorted((r.change_type, r.old_idx, r.new_idx) for r in C.pair_clauses(old, new).itertuples() if r.old_idx == 0) == [("modified", 0, 0)]
+    assert sorted((r.change_type, r.old_idx, r.new_idx) for r in C.pair_clauses(old, new, most_pairs=3).itertuples() if r.old_idx == 0) == [("modified", 0, 0)]
+    chain = spark.createDataFrame(pd.concat([old.assign(version_seq=1, doc_id=5), new.assign(version_seq=2, doc_id=5)]))
+    found = {n: sorted((r.change_type, r.old_idx, r.new_idx) for r in C.clause_changes(chain, most_pairs=n).collect() if r.old_idx == 0) for n in (3, 4, None)}
+    assert found == {3: [("modified", 0, 0)], 4: [("modified", 0, 1)], None: [("modified", 0, 1)]}
 
 
 def test_context_of_windows():
