@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from .linking import covered, overlaps
+from .postings import build_postings, top_postings
 
 # Both ways, line starts that open a section, where paragraphs end, and what counts as found.
 WAYS = {"A": (1500, 0), "B": (750, 100)}
@@ -97,6 +100,17 @@ def probes(docs: DataFrame, key: str, body: str) -> DataFrame:
     return middle.select(key, F.col("line").alias("question"), F.col("start").cast("int").alias("start"), (F.col("start") + F.length("line")).cast("int").alias("end"))
 
 
+def search_ways(chunks: DataFrame, questions: DataFrame, key: str, question: str, text: str, top: int = TOP) -> DataFrame:
+    """``question``, way, rank, ``key``, start, end: for each way the spans of all texts that keywords rank highest, by an index of that way's spans. ``chunks`` are those of :func:`chunk`."""
+    kept = stored(chunks.select("way", F.struct(key, "start", "end").alias("span"), "text"))
+    found = []
+    for way in sorted(r[0] for r in kept.select("way").distinct().collect()):
+        index = build_postings(kept.where(F.col("way") == way), "span", "text")
+        best = top_postings(index, questions, question, text, top)
+        found.append(best.select(question, F.lit(way).alias("way"), "rank", "span.*"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def evaluate(ranked: DataFrame, gold: DataFrame, question: str, key: str, by: list[str], top: int = TOP, budget: int = BUDGET) -> DataFrame:
     """For each question and ``by`` (ways, scopes): hit1, hit5, mrr5 and coverage of the gold spans by the first ``budget`` characters of results.
 

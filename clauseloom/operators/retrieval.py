@@ -10,37 +10,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .postings import Postings, asked_terms, build_postings, score_all, top_postings
 
 # Fixed values of the rankings.
-K1, B = 1.2, 0.75
 RRF_K, BM25_WEIGHT, CANDIDATES = 60, 0.5, 50
 DIVERSE_MIN, DIVERSE_SHARE = 2, 5
 LIST_PIECES, EXPAND_ALL = 3, 8
 
 
-def postings(docs: DataFrame, key: str, text: str, extra: list[str] | None = None) -> DataFrame:
-    """term, key, len (terms of the document) and ``extra`` columns for every occurrence of a term."""
-    cut = docs.select(key, *(extra or []), tokens(F.col(text)).alias("__terms"))
-    return cut.withColumn("len", F.size("__terms").cast("long")).select(key, "len", *(extra or []), F.explode("__terms").alias("term"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, allowed: Column | None = None) -> DataFrame:
     """query_key, key and score of every document that shares a term with a query.
 
     A query's terms count once. Statistics are those of all documents, also where ``allowed``, over
-    columns of ``docs``, restricts the results. Only occurrences of query terms are shuffled, each with its
-    document's length, so documents are not joined again.
+    columns of ``docs``, restricts the results. Texts are tokenised once; only postings of query terms are read again.
     """
-    terms = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    stats = docs.agg(F.count("*").alias("n"), (F.sum(F.size(tokens(F.col(text)))) / F.count("*")).alias("avg"))  # one row
-    marked = docs.withColumn("__on", allowed if allowed is not None else F.lit(True))
-    held = postings(marked, key, text, ["__on"]).join(terms.select("term").distinct(), "term", "left_semi")
-    held = held.groupBy("term", key, "len", "__on").agg(F.count("*").alias("tf"))
-    seen = held.groupBy("term").agg(F.count("*").alias("df"))
-    scored = held.where("__on").join(seen, "term").crossJoin(F.broadcast(stats))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return terms.join(scored.select("term", key, weight.alias("w")), "term").groupBy(query_key, key).agg(F.sum("w").alias("score")).where("score > 0")
+    index, on = bm25_index(docs, key, text, allowed)
+    return score_all(index, asked_terms(index, queries, query_key, query_text), query_key, on)
+
+
+def bm25_index(docs: DataFrame, key: str, text: str, allowed: Column | None = None) -> tuple[Postings, Column | None]:
+    """An index of ``docs``, and ``allowed`` as a condition on its postings."""
+    if allowed is None:
+        return build_postings(docs, key, text), None
+    return build_postings(docs.withColumn("__on", F.coalesce(allowed, F.lit(False))), key, text, ("__on",)), F.col("__on")
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, allowed: Column | None = None) -> DataFrame:
+    """The ``k`` best of :func:`bm25` for each query, with rank; blocks of postings that cannot matter are left out."""
+    index, on = bm25_index(docs, key, text, allowed)
+    return top_postings(index, queries, query_key, query_text, k, on)
 
 
 def top(scores: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import chunking as K
+from ..operators import retrieval as R
 from ..operators import scan as X
 from ..operators import scoring as S
 from ..operators import search as P
 from ..operators import statutes as L
 from ..operators import views as W
 from ..tables import CHAIN_SQL, table, version_chain
-from .retrieval_queries import _BM25, _bm25
+from .retrieval_queries import _BM25
 from .scoring_queries import CUES
 from .text_queries import match_key_sql
 
@@ -66,7 +67,8 @@ def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     source = F.col("source")
     entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), F.col("doc_id").cast("string").alias("group"), source.alias("company"), source.alias("service"), F.col("lang").alias("doc_type"), source.alias("path"))
-    scores = _bm25(spark, sf_dir).select(F.col("item_id").alias("question"), F.col("doc_id").alias("entry"), "score")
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "question")
+    scores = R.bm25(table(spark, sf_dir, "documents"), items, "doc_id", "text", "item_id", "question").withColumn("score", F.round("score", 6)).select(F.col("item_id").alias("question"), F.col("doc_id").alias("entry"), "score")
     return P.routed_search(asked, entries, [(scores, 1.0)], 10).select("question", "entry", "rank", "diverse")
 
 
@@ -155,6 +157,22 @@ def chunk_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.side_by_side(results, docs, "source", "way", ["A", "B"], ["hit1", "hit5", "mrr5", "coverage"])
 
 
+def ab_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five spans of all documents that keywords rank highest in each way, for the middle line of every fiftieth document."""
+    docs = table(spark, sf_dir, "documents")
+    asked = K.probes(docs.where("doc_id % 50 = 0"), "doc_id", "text").select(F.col("doc_id").alias("asked"), "question")
+    return K.search_ways(K.chunk(docs, "doc_id", "text"), asked, "doc_id", "asked", "question")
+
+
+def ab_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well both ways find the line that was asked for among the spans of all documents: means by source of the document asked about."""
+    docs = table(spark, sf_dir, "documents")
+    asked = K.probes(docs.where("doc_id % 50 = 0"), "doc_id", "text")
+    gold = asked.select(F.col("doc_id").alias("asked"), "doc_id", F.array(F.struct("start", "end")).alias("spans"))
+    results = K.evaluate(ab_spans(spark, sf_dir), gold, "asked", "doc_id", ["way"]).join(docs.select(F.col("doc_id").alias("asked"), "source"), "asked")
+    return K.side_by_side(results, docs, "source", "way", ["A", "B"], ["hit1", "hit5", "mrr5", "coverage"])
+
+
 def long_unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as units: scores of long ones by windows of 800 characters that say what they continue."""
     docs = table(spark, sf_dir, "documents")
@@ -229,5 +247,7 @@ k as (select *, row_number() over (partition by question order by nth, item, id,
     ),
     "chunk_structure": (chunk_structure, None),
     "chunk_comparison": (chunk_comparison, None),
+    "ab_spans": (ab_spans, None),
+    "ab_search": (ab_search, None),
     "long_unit_scores": (long_unit_scores, None),
 }

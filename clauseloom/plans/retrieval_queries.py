@@ -14,10 +14,9 @@ from .text_queries import normalize_sql, tokens_sql
 TOP = 10
 
 
-def _bm25(spark: SparkSession, sf_dir: str, allowed=None) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, k: int, allowed=None) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    scores = R.bm25(docs, items.withColumnRenamed("text", "question"), "doc_id", "text", "item_id", "question", allowed)
-    return scores.withColumn("score", F.round("score", 6))
+    return R.bm25_top(docs, items.withColumnRenamed("text", "question"), "doc_id", "text", "item_id", "question", k, allowed)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +30,12 @@ def _vectors(spark: SparkSession, sf_dir: str, k: int, same: str | None = None)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(_bm25(spark, sf_dir), "item_id", "doc_id", "score", TOP)
+    return _bm25(spark, sf_dir, TOP)
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents alone; the statistics stay those of all."""
-    return R.top(_bm25(spark, sf_dir, F.col("lang") == "en"), "item_id", "doc_id", "score", TOP)
+    return _bm25(spark, sf_dir, TOP, F.col("lang") == "en")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +74,14 @@ def ranked_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_dedup_also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword results whose texts are alike as one, the others named with it."""
-    ranked = R.top(_bm25(spark, sf_dir), "item_id", "doc_id", "score", R.CANDIDATES)
+    ranked = _bm25(spark, sf_dir, R.CANDIDATES)
     content = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content"))
     merged = R.merge_equals(ranked.join(content, "doc_id"), "item_id", "doc_id", "content", TOP)
     return merged.select("item_id", "doc_id", "place", F.array_join(F.transform("also_in", lambda x: x.cast("string")), ",").alias("also_in"))
 
 
 def diversify_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.top(_bm25(spark, sf_dir), "item_id", "doc_id", "score", R.CANDIDATES).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    ranked = _bm25(spark, sf_dir, R.CANDIDATES).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return R.diversify(ranked, "item_id", "source", TOP).select("item_id", "source", "doc_id", "rank", "group_order")
 
 
@@ -141,7 +140,7 @@ def recall_mrr_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether keyword search finds the documents that hold a benchmark text whole."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    ranked = R.top(_bm25(spark, sf_dir), "item_id", "doc_id", "score", TOP)
+    ranked = _bm25(spark, sf_dir, TOP)
     gold = R.holding(docs, items.withColumnRenamed("text", "passage"), "doc_id", "text", "item_id", "passage")
     ranks = E.first_relevant(ranked, gold, "item_id", "doc_id").join(gold.select("item_id").distinct(), "item_id", "left_semi")
     return ranks.agg(F.count("*").alias("questions"), F.count("rank").alias("found"))
@@ -150,7 +149,7 @@ def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ab_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of keyword results that fit into 3,000."""
     sizes = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
-    ranked = R.top(_bm25(spark, sf_dir), "item_id", "doc_id", "score", TOP).join(sizes, "doc_id")
+    ranked = _bm25(spark, sf_dir, TOP).join(sizes, "doc_id")
     used = E.within_budget(ranked, "item_id", "chars", 3000)
     return used.groupBy("item_id").agg(F.count("*").alias("results"), F.sum("used").alias("used"))
 
