@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .cells import build_cells, links_cells, top_cells
 from .postings import Postings, asked_terms, build_postings, score_all, top_postings
 
 # Fixed values of the rankings.
@@ -47,83 +44,24 @@ def top(scores: DataFrame, query: str, key: str, score: str, k: int) -> DataFram
     return scores.withColumn("rank", order.cast("long")).where(F.col("rank") <= k)
 
 
-def _matrices(vectors: DataFrame, key: str, vector: str, rows: int, extra: list[str]) -> DataFrame:
-    """Blocks of about ``rows`` unit vectors: keys, extra columns as arrays, and the rows' bytes."""
-    kinds = "keys array<long>, rows binary" + "".join(f", {c} array<long>" for c in extra)
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                flat = part[vector].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                norm = np.linalg.norm(flat, axis=1, keepdims=True)
-                flat = flat / np.where(norm > 0, norm, 1)
-                lists = [pa.array([part[c].to_pylist()], pa.list_(pa.int64())) for c in (key, *extra)]
-                yield pa.RecordBatch.from_arrays([lists[0], pa.array([flat.tobytes()], pa.binary()), *lists[1:]], names=["keys", "rows", *extra])
-
-    return vectors.where(F.col(vector).isNotNull()).select(key, vector, *(F.col(c).cast("long").alias(c) for c in extra)).mapInArrow(pack, kinds)
-
-
-def _products(vectors: DataFrame, queries: DataFrame, work, kinds: str, key: str, vector: str, same: str | None, block: int, query_block: int) -> DataFrame:
-    """``work`` of the keys and cosines of each block of queries and block of vectors; pairs of one row, or that differ in ``same``, have minus infinity."""
-    extra = [same] if same else []
-    left = _matrices(queries, key, vector, query_block, extra).select(F.col("keys").alias("q_keys"), F.col("rows").alias("q_rows"), *(F.col(c).alias(f"q_{c}") for c in extra))
-    right = _matrices(vectors, key, vector, block, extra)
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None, cells: int | None = None) -> DataFrame:
+    """query_id, key, similarity and rank of the ``k`` most alike others by exact cosine; with ``same``, among those that share this column. Only cells that can hold one are searched."""
+    return top_cells(build_cells(vectors, key, vector, same, cells), queries, k, key, vector)
 
-    def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                row = {c: batch[c][n] for c in batch.schema.names}
-                qk, dk = np.asarray(row["q_keys"].values), np.asarray(row["keys"].values)
-                q = np.frombuffer(row["q_rows"].as_buffer()).reshape(len(qk), -1)
-                d = np.frombuffer(row["rows"].as_buffer()).reshape(len(dk), -1)
-                sim = q @ d.T
-                sim[qk[:, None] == dk[None, :]] = -np.inf
-                for c in extra:
-                    sim[np.asarray(row[f"q_{c}"].values)[:, None] != np.asarray(row[c].values)[None, :]] = -np.inf
-                yield work(qk, dk, sim)
 
-    return left.crossJoin(right).mapInArrow(multiply, kinds)
-
-
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None, block: int = 2048, query_block: int = 512) -> DataFrame:
-    """query_id, key, similarity and rank of the ``k`` most alike others by exact cosine; with ``same``, among those that share this column.
-
-    Blocks of queries meet blocks of vectors, and each pair of blocks hands on its ``k`` best for every query.
-    """
-
-    def best(qk: np.ndarray, dk: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((np.broadcast_to(dk, sim.shape), -sim), axis=1)[:, :k]
-        found = np.take_along_axis(sim, order, axis=1)
-        i, j = np.nonzero(np.isfinite(found))
-        return pa.RecordBatch.from_arrays([pa.array(qk[i]), pa.array(dk[order[i, j]]), pa.array(found[i, j])], names=["query_id", key, "similarity"])
-
-    met = _products(vectors, queries, best, f"query_id long, {key} long, similarity double", key, vector, same, block, query_block)
-    return top(met, "query_id", key, "similarity", k)
-
-
-def vector_links(vectors: DataFrame, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 2048, query_block: int = 512) -> DataFrame:
+def vector_links(vectors: DataFrame, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> DataFrame:
     """query_id, key and similarity of all others whose exact cosine is ``least`` or more."""
+    return links_cells(build_cells(vectors, key, vector, None, cells), queries, least, key, vector)
 
-    def near(qk: np.ndarray, dk: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        i, j = np.nonzero(np.isfinite(sim) & (sim >= least))
-        return pa.RecordBatch.from_arrays([pa.array(qk[i]), pa.array(dk[j]), pa.array(sim[i, j])], names=["query_id", key, "similarity"])
 
-    return _products(vectors, queries, near, f"query_id long, {key} long, similarity double", key, vector, None, block, query_block)
-
-
-def vector_counts(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", same: str | None = None, block: int = 2048, query_block: int = 512) -> DataFrame:
+def vector_counts(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", same: str | None = None, cells: int | None = None) -> DataFrame:
     """query_id, candidates and best: how many others each query is compared with, and the key of the most alike, the smallest of equals."""
-
-    def count(qk: np.ndarray, dk: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        on = np.isfinite(sim).sum(axis=1)
-        high = np.where(np.isfinite(sim), sim, -np.inf).max(axis=1, initial=-np.inf)
-        low = np.where(sim == high[:, None], dk[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-        i = np.flatnonzero(on)
-        return pa.RecordBatch.from_arrays([pa.array(qk[i]), pa.array(on[i].astype(np.int64)), pa.array(low[i]), pa.array(high[i])], names=["query_id", "n", key, "similarity"])
-
-    met = _products(vectors, queries, count, f"query_id long, n long, {key} long, similarity double", key, vector, same, block, query_block)
-    return met.groupBy("query_id").agg(F.sum("n").alias("candidates"), F.min_by(key, F.struct(-F.col("similarity"), key)).alias("best"))
+    own = [same] if same else []
+    counts = vectors.where(F.col(vector).isNotNull()).groupBy(*own, F.size(vector).alias("__size")).agg(F.count("*").alias("__n"))
+    asked = queries.select(F.col(key).alias("query_id"), F.size(vector).alias("__size"), *own)
+    held = asked.join(vectors.select(F.col(key).alias("query_id"), F.lit(1).alias("__self")).distinct(), "query_id", "left").join(counts, ["__size", *own])
+    best = vector_top(vectors, queries, 1, key, vector, same, cells).select("query_id", F.col(key).alias("best"))
+    return held.select("query_id", (F.col("__n") - F.coalesce("__self", F.lit(0))).alias("candidates")).join(best, "query_id")
 
 
 def fuse(runs: list[tuple[DataFrame, float]], query: str, key: str, k: int = RRF_K) -> DataFrame:
