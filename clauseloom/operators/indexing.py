@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_deletion
+from ..tables import stored
+from .index_table import Table, change, rows_of
 from .retrieval import upsert_plan
 
 #: Texts of a batch, and limits of tokens that batches are padded to.
@@ -51,32 +53,47 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, embedder: Embedder, model
     return keyed.join(known.withColumnRenamed("key", "__key"), "__key").drop("__key"), fresh
 
 
-def _version(path: str, number: int) -> str:
-    return f"{path}/version={number:09d}"
+_COLUMNS = ["id", "embed_hash", "text", "metadata", "vector"]
 
 
-def read_index(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """The index as it was after step ``number``: id, embed_hash, text, metadata (map) and vector."""
-    return spark.read.parquet(_version(path, number))
+def read_index(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The index as it was after step ``number``, or is now: id, embed_hash, text, metadata (map) and vector."""
+    found = rows_of(Table(spark, path), number)
+    kinds = "id string, embed_hash string, text string, metadata map<string,string>, vector array<double>"
+    return spark.createDataFrame([], kinds) if found is None else found.select(*_COLUMNS)
 
 
 def upsert(spark: SparkSession, wanted: DataFrame, path: str, number: int, embedder: Embedder) -> DataFrame:
-    """Bring the index at ``path`` from step ``number - 1`` (none: empty) to ``wanted`` (id, embed, embed_hash, text, metadata) and return the counts of each action.
+    """Bring the index at ``path`` to ``wanted`` (id, embed, embed_hash, text, metadata) as step ``number`` and return the counts of each action.
 
-    Only texts whose hash is new are embedded; others keep their vectors and take the new metadata; entries that are no longer wanted go. A step
-    writes a folder of its own, so one that runs again, after a failure, writes the same.
+    Only texts whose hash is new are embedded; others keep their vectors and take the new metadata; entries that are no longer wanted go. Entries that
+    stay as they are are not written. A step that has been made returns its counts and changes nothing; one that broke off runs anew.
     """
-    columns = ["id", "embed_hash", "text", "metadata", "vector"]
-    if number > 0:
-        held = read_index(spark, path, number - 1)
-    else:
-        held = wanted.select("id", "embed_hash", "text", "metadata", F.array().cast("array<double>").alias("vector")).where("false")
-    plan = upsert_plan(held, wanted, "id", "embed_hash")
-    todo = wanted.join(plan.where("action in ('insert', 'embed')").select("id"), "id", "left_semi")
-    fresh = embed(todo, "embed", embedder).select(*columns)
-    same = wanted.join(plan.where("action = 'metadata'").select("id"), "id", "left_semi").join(held.select("id", "vector"), "id").select(*columns)
-    fresh.unionByName(same).write.mode("overwrite").parquet(_version(path, number))
-    return plan.groupBy("action").agg(F.count("*").alias("ids"))
+    return _step(spark, stored(wanted.select("id", "embed", "embed_hash", "text", "metadata")), None, path, number, embedder)
+
+
+def apply_changes(spark: SparkSession, changes: DataFrame, path: str, number: int, embedder: Embedder) -> DataFrame:
+    """As :func:`upsert`, of ``changes`` (its columns and deleted): entries of other ids stay, and only these are looked up and written."""
+    kept = stored(changes.select("id", "embed", "embed_hash", "text", "metadata", "deleted"))
+    return _step(spark, kept.where("not deleted").drop("deleted"), kept.select("id"), path, number, embedder)
+
+
+def _step(spark: SparkSession, wanted: DataFrame, ids: DataFrame | None, path: str, number: int, embedder: Embedder) -> DataFrame:
+    table = Table(spark, path)
+    if number not in table.versions():
+        held = rows_of(table, max((n for n in table.versions() if n < number), default=-1))
+        if held is None:
+            held = wanted.select("id", "embed_hash", "text", "metadata", F.array().cast("array<double>").alias("vector")).where("false")
+        held = held.select(*_COLUMNS) if ids is None else held.select(*_COLUMNS).join(ids, "id", "left_semi")
+        plan = stored(upsert_plan(held, wanted, "id", "embed_hash"))
+        of = lambda *actions: plan.where(F.col("action").isin(*actions)).select("id")
+        fresh = embed(wanted.join(of("insert", "embed"), "id", "left_semi"), "embed", embedder).select(*_COLUMNS)
+        said = lambda side: F.struct(F.col(f"{side}.text"), F.array_sort(F.map_entries(f"{side}.metadata")))
+        same = wanted.join(of("metadata"), "id", "left_semi").alias("w").join(held.alias("h"), "id").where(~said("w").eqNullSafe(said("h")))
+        same = same.select("id", *(F.col(f"w.{c}") for c in _COLUMNS[1:-1]), "h.vector")
+        rows = fresh.unionByName(same).withColumn("deleted", F.lit(False)).unionByName(of("delete").withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+        change(table, number, rows, {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()})
+    return spark.createDataFrame(sorted(table.manifest(number)["counts"].items()), "action string, ids long")
 
 
 def fetch(index: DataFrame, groups: DataFrame, group: str = "group") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_hash
-from ..operators import indexing
+from ..operators import index_table, indexing
 
 
 def changed_only(versions: DataFrame, path: str = "path", seq: str = "version_seq", body: str = "body") -> DataFrame:
@@ -58,18 +58,13 @@ def keep_scored(units: DataFrame, score: Callable[[DataFrame], DataFrame], cache
 def keep_index(entries: DataFrame, path: str, embedder: indexing.Embedder, checkpoint: str) -> StreamingQuery:
     """Keep an index up with a stream of entries (id, seq, deleted, embed, embed_hash, text, metadata): the last of each id counts, deleted ones go.
 
-    A batch is one step of :func:`clauseloom.operators.indexing.upsert`, so entries whose text stayed keep their vectors, and one that runs
-    again after a failure changes nothing more.
+    A batch is one step of :func:`clauseloom.operators.indexing.apply_changes`: it reads and writes its own entries alone, those whose text stayed keep
+    their vectors, and one that runs again after a failure changes nothing more. Now and then the index is compacted.
     """
-    columns = ["id", "embed", "embed_hash", "text", "metadata"]
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy("id").agg(F.max_by(F.struct("deleted", *columns[1:]), "seq").alias("e")).select("id", "e.*")
-        wanted = last.where(~F.col("deleted")).select(*columns)
-        if number > 0:
-            others = indexing.read_index(spark, path, number - 1).join(last.select("id"), "id", "left_anti")
-            wanted = wanted.unionByName(others.select("id", F.col("text").alias("embed"), "embed_hash", "text", "metadata"))
-        indexing.upsert(spark, wanted, path, number, embedder)
+        last = batch.groupBy("id").agg(F.max_by(F.struct("deleted", "embed", "embed_hash", "text", "metadata"), "seq").alias("e")).select("id", "e.*")
+        indexing.apply_changes(batch.sparkSession, last, path, number, embedder)
+        index_table.compact(index_table.Table(batch.sparkSession, path))
 
     return entries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
