@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import NameFinder
 from .linking import ARTICLES_MAX, QUOTES, TITLE_MIN
 
+#: Names that one pass over texts looks for.
+NAMES = 200_000
 # Lines of a statute's head, headings of articles and parts, how much of an article is shown.
 META = r"(?m)^(제목|시행일자|공포일자|상태|출처):\s*(.+?)\s*$"
 ARTICLE_LINE = r"^#+\s*제\s*(\d+)\s*조(?:\s*의\s*(\d+))?\s*(?:\(([^)\n]*)\))?"
@@ -73,6 +77,35 @@ def title_terms(title: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*GENERIC))
 
 
+def find_names(texts: DataFrame, key: str, text: str, names: Iterable[str], longest_first: bool = False) -> DataFrame:
+    """key, name, start and end of every place of every name; with ``longest_first``, without places that start inside that of a longer name.
+
+    Names are written without spaces, which texts may have anywhere inside them. ``NAMES`` of them are looked up in one pass over the texts, in time that does not
+    depend on their number; more take more passes, and cannot be looked up longest first. A null text has no places.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    passes: list[list[str]] = [[]]
+    for name in dict.fromkeys(names):
+        if len(passes[-1]) == NAMES:
+            passes.append([])
+        passes[-1].append(name)
+    if longest_first and len(passes) > 1:
+        raise ValueError(f"longest first, {NAMES} names at most")
+
+    def look(known: list[str]) -> DataFrame:
+        def find(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            finder = NameFinder(known)
+            places = finder.longest_first if longest_first else finder.places
+            for frame in frames:
+                found = [(k, known[n], a, b) for k, t in zip(frame["key"], frame["text"]) for n, a, b in places(t or "")]
+                yield pd.DataFrame(found, columns=["key", "name", "start", "end"])
+
+        return rows.mapInPandas(find, f"key {kind}, name string, start long, end long")
+
+    return reduce(DataFrame.unionByName, map(look, passes)).withColumnRenamed("key", key)
+
+
 def named_statutes(texts: DataFrame, key: str, text: str, names: dict[str, str]) -> DataFrame:
     """Statutes that texts cite by name, without an article: key, nth, law, category, context (what stands around the first such place, without the name).
 
@@ -81,26 +114,20 @@ def named_statutes(texts: DataFrame, key: str, text: str, names: dict[str, str])
     """
     kind = texts.schema[key].dataType.simpleString()
     drop = str.maketrans({c: " " for c in QUOTES})
-    spaced = lambda name: r"\s*".join("[ㆍ·・]" if c == "ㆍ" else re.escape(c) for c in name)
-    patterns = [(law, spaced(name)) for name, law in sorted(names.items(), key=lambda n: -len(n[0]))]
+    known, laws = list(names), list(names.values())
 
     def find(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [(law, re.compile(p)) for law, p in patterns]
+        finder = NameFinder(known)
         for frame in frames:
             rows = []
             for k, raw in zip(frame["key"], frame["text"]):
-                plain, free, seen = (raw or "").translate(drop), None, {}
-                free = bytearray(b"\1") * (len(plain) + 1)
-                for law, pattern in known:
-                    for m in pattern.finditer(plain):
-                        if not free[m.start()]:
-                            continue
-                        free[m.start() : m.end()] = bytes(m.end() - m.start())
-                        behind = plain[m.end() : m.end() + 20]
-                        if re.match(ARTICLE_BEHIND, behind):
-                            continue
-                        rank = re.match(r"\s*(시행령|시행규칙)", behind)
-                        seen.setdefault((law, rank[1] if rank else "법률"), plain[max(0, m.start() - BEFORE) : m.start()] + " " + plain[m.end() : m.end() + BEHIND])
+                plain, seen = (raw or "").translate(drop), {}
+                for n, start, end in finder.longest_first(plain):
+                    behind = plain[end : end + 20]
+                    if re.match(ARTICLE_BEHIND, behind):
+                        continue
+                    rank = re.match(r"\s*(시행령|시행규칙)", behind)
+                    seen.setdefault((laws[n], rank[1] if rank else "법률"), plain[max(0, start - BEFORE) : start] + " " + plain[end : end + BEHIND])
                 rows += [(k, n, law, category, context) for n, ((law, category), context) in enumerate(seen.items())]
             yield pd.DataFrame(rows, columns=["key", "nth", "law", "category", "context"])
 

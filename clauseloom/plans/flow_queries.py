@@ -127,6 +127,14 @@ def named_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.named_statutes(table(spark, sf_dir, "orders").select(by, said.alias("said")), "o_orderkey", "said", STATUTES).select("o_orderkey", "law", "category")
 
 
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every benchmark text, written as one, in documents that may put white space anywhere inside them."""
+    words = [F.regexp_extract("text", r"^(\S+)\s+(\S+)", n) for n in (1, 2)]
+    names = table(spark, sf_dir, "benchmark").select(F.concat(*words).alias("name")).where("name <> ''").distinct()
+    found = L.find_names(table(spark, sf_dir, "documents"), "doc_id", "text", (r[0] for r in names.toLocalIterator()))
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("places"))
+
+
 def cited_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose titles' words stand around the name of their statute."""
     parts = table(spark, sf_dir, "part")
@@ -241,6 +249,11 @@ k as (select *, row_number() over (partition by question order by nth, item, id,
         """select n_regionkey, '제' || n_nationkey || '조' as article, n_name as title, '제1장 총칙' as part, md5('제' || n_nationkey || '조 (' || n_name || ')' || chr(10) || n_name || ' has rules.' || chr(10) || chr(10) || 'and more') as text, '2020-01-01' as effective from nation""",
     ),
     "named_statutes": (named_statutes, f"select o_orderkey, law, category from orders join {_NAMED} on k = o_orderkey % 5"),
+    "names_in_documents": (
+        names_in_documents,
+        """with n as (select distinct regexp_extract(text, '^(\\S+)\\s+(\\S+)', 1) || regexp_extract(text, '^(\\S+)\\s+(\\S+)', 2) as name from benchmark), d as (select doc_id, regexp_replace(text, '\\s+', '', 'g') s from documents)
+select doc_id, name, (length(s) - length(replace(s, name, ''))) // length(name) as places from d join n on name <> '' and contains(s, name)""",
+    ),
     "cited_titles": (
         cited_titles,
         """select p_partkey, article, score::bigint as score, rank::bigint as rank from part join (values (0, '제17조', 4, 1), (0, '제18조', 4, 2), (1, '제17조', 4, 1), (1, '제18조', 4, 2)) v(k, article, score, rank) on k = p_partkey % 4""",
