@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import sentencepiece
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -126,6 +127,68 @@ def test_pieces_are_drawn_by_their_weights():
     assert all(abs(seen[w] / draws - p / total) < 0.012 for w, p in ways.items())
 
 
+FULL = (1 << 64) - 1
+
+
+def plain_mix(x, seed=0):
+    """The finaliser of splitmix64, on Python's integers."""
+    x = (x + 0x9E3779B97F4A7C15 * (seed + 1)) & FULL
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & FULL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & FULL
+    return x ^ x >> 31
+
+
+def plain_samples(docs):
+    """Pieces of each text, drawn one word at a time: the sums of all ways to each place, then the last piece, the one before it, and so on."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    kept = [n for n in range(model.vocab_size()) if not (model.is_control(n) or model.is_unknown(n) or model.is_unused(n) or model.is_byte(n))]
+    by_rank = sorted(kept, key=lambda n: -model.get_score(n))
+    weight = {model.id_to_piece(n).replace("▁", " ").encode(): (n, -math.log(k + 2.0)) for k, n in enumerate(by_rank)}
+    rare, longest = -math.log(len(by_rank) + 1.0) - 5, max(map(len, weight))
+    byte = {int(model.id_to_piece(n)[3:5], 16): n for n in range(model.vocab_size()) if model.is_byte(n)}
+    known = {}
+
+    def edges(word):
+        if word not in known:
+            alone = {k for at, c in zip(np.cumsum([0, *(len(c.encode()) for c in word.decode())]), word.decode()) if c.encode() not in weight for k in range(at, at + len(c.encode()))}
+            total, into = [0.0] + [-math.inf] * len(word), [[] for _ in range(len(word) + 1)]
+            for end in range(1, len(word) + 1):
+                found = [(start, *weight[word[start:end]]) for start in range(end - 1, max(0, end - longest) - 1, -1) if word[start:end] in weight]
+                found += [(end - 1, byte[word[end - 1]], rare)] if end - 1 in alone else []
+                found = [(start, n, total[start] + w) for start, n, w in found if total[start] > -math.inf]
+                if found:
+                    high = max(v for *_, v in found)
+                    total[end] = high + math.log(sum(math.exp(v - high) for *_, v in found))
+                    upto = np.cumsum([0.0, *(math.exp(v - total[end]) for *_, v in found)])[:-1]
+                    into[end] = [(int(min(b, 1) * 2.0**32), start, n) for b, (start, n, _) in zip(upto, found)]
+            known[word] = into
+        return known[word]
+
+    for d, text, key in docs:
+        raw, out = b" " + text.encode() if text else b"", []
+        cuts = [n for n in range(1, len(raw)) if raw[n] == 32 != raw[n - 1] or raw[n] == 10 or raw[n - 1] == 10]
+        for start, stop in zip([0, *cuts], [*cuts, len(raw)]):
+            into, at, step, own = edges(raw[start:stop]), stop - start, 0, []
+            seed = plain_mix((key % (1 << 64) + plain_mix(start)) & FULL)
+            while at:
+                draw = plain_mix(seed, step) >> 32
+                _, at, n = [e for e in into[at] if e[0] <= draw][-1]
+                own.append(n)
+                step += 1
+            out += own[::-1]
+        yield d, out
+
+
+def test_registered_query_draws_what_a_plain_sampler_draws(spark):
+    from clauseloom.llm import queries
+
+    from .cases import FOLDER
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(doc_id, 0) as key").collect()
+    want = {d: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, ids in plain_samples(docs)}
+    assert {r.doc_id: (r.n_pieces, r.ids_crc32) for r in queries.op4_lattice_sampling(spark, FOLDER).collect()} == want
+
+
 def test_whole_table_digests(spark):
     from clauseloom.llm import queries
 
