@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..operators import changes as C
 from ..operators import history as H
 from ..operators import versions as V
 from ..operators import views as W
-from ..tables import CHAIN_SQL, LINES_SQL, table, version_chain
+from ..operators.history_store import write_store
+from ..tables import CHAIN_SQL, LINES_SQL, ensure_checkpoint_dir, table, version_chain
 from .text_queries import match_key_sql
 
 
@@ -148,6 +151,17 @@ def latest_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.latest_of(_facts(spark, sf_dir), ["path"])
 
 
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes as a store in buckets: for every customer's tenth lineage how many changes its timeline has, and the newest of them."""
+    ensure_checkpoint_dir(spark)
+    facts = _facts(spark, sf_dir).withColumn("lineage", F.col("id") % 20)
+    name = f"history_{uuid.uuid4().hex}"
+    store = write_store(facts, facts.select("path", "lineage", "id"), name, f"{spark.sparkContext.getCheckpointDir()}/{name}", 16)
+    asked = facts.where("lineage = 10").select("path", "lineage")
+    found = store.timelines(asked).groupBy("path", "lineage").agg(F.count("*").alias("changes"))
+    return found.join(store.latest(), ["path", "lineage"]).select("path", "changes", F.col("id").alias("newest"), "version_date")
+
+
 def timeline_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.head_and_tail(_facts(spark, sf_dir), "path", _ORDER).select("path", "id", "version_date")
 
@@ -230,6 +244,10 @@ select path, id, row_number() over (partition by path order by version_date, id)
         changes_between_topn,
         f"with {FACTS_SQL} select id, path, version_date, change_type from facts where version_date between date '1998-01-01' and date '1998-06-30' order by version_date desc, id limit 50",
     ),
+    "stored_history": (
+        stored_history,
+        f"with {FACTS_SQL} select path, count(*) as changes, max_by(id, (version_date, id)) as newest, max(version_date) as version_date from facts where id % 20 = 10 group by path",
+    ),
     "month_day_filter": (month_day_filter, f"with {FACTS_SQL} select id, path, version_date from facts where strftime(version_date, '%m-%d') = '07-25'"),
     "latest_by_lineage": (latest_by_lineage, f"with {FACTS_SQL} select path, max_by(id, (version_date, id)) as id, max(version_date) as version_date from facts group by path"),
     "timeline_head_tail": (
