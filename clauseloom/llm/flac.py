@@ -566,7 +566,8 @@ def store_flac(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("key"), digest, F.xxhash64(digest).alias("shared"), F.xxhash64(F.col(id_col), digest).alias("cell"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = rows.mapInArrow(mark, f"key {key}, digest binary, shared boolean, text string")
     discard(docs.sparkSession, path)
-    media = staged(encode_flac(chosen, "key", "text", ("digest", "shared")), "media")
+    # heads of streams and frames are much alike, and words recur where residuals do
+    media = staged(encode_flac(chosen, "key", "text", ("digest", "shared")), "media", "zstd")
 
     def without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,8 +32,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder: the written table and its path, for :func:`discard`.
+def written(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder: the written table and its path, for :func:`discard`. ``codec`` compresses its pages, the session's unless given.
 
     Work goes on from the table, so a lost executor never forces what came before it to run again. Shuffle
     files of the write go when it has ended.
@@ -43,15 +43,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The table of :func:`written`."""
-    return written(df, name)[0]
+    return written(df, name, codec)[0]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
