@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .cells import build_cells, links_cells, top_cells
-from .postings import Postings, asked_terms, build_postings, score_all, top_postings
+from .postings import Postings, asked_terms, build_postings, score_all
+from .term_blocks import build_blocks, top_blocks
 
 # Fixed values of the rankings.
 RRF_K, BM25_WEIGHT, CANDIDATES = 60, 0.5, 50
@@ -32,10 +33,9 @@ def bm25_index(docs: DataFrame, key: str, text: str, allowed: Column | None = No
     return build_postings(docs.withColumn("__on", F.coalesce(allowed, F.lit(False))), key, text, ("__on",)), F.col("__on")
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, allowed: Column | None = None) -> DataFrame:
-    """The ``k`` best of :func:`bm25` for each query, with rank; blocks of postings that cannot matter are left out."""
-    index, on = bm25_index(docs, key, text, allowed)
-    return top_postings(index, queries, query_key, query_text, k, on)
+def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, allowed: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` best of :func:`bm25` for each query, with rank, where ``by`` names columns in each of their combinations by itself; no posting is shuffled."""
+    return top_blocks(build_blocks(docs, key, text, allowed, by), queries, query_key, query_text, k)
 
 
 def top(scores: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
