@@ -120,8 +120,8 @@ def build_cells(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     return Cells(stored(blocks.withColumn("block", F.monotonically_increasing_id())), centres, same)
 
 
-def _near(index: Cells, queries: DataFrame, visits: DataFrame, k: int | None) -> DataFrame:
-    """query_id, key and similarity of each block and the queries that visit it: the ``k`` best of both, or all from the query's ``least`` on."""
+def _near(index: Cells, queries: DataFrame, visits: DataFrame, k: int | None, digits: int | None = None) -> DataFrame:
+    """query_id, key and similarity (to ``digits`` places) of each block and the queries that visit it: the ``k`` best of both, or all from the query's ``least`` on."""
     parts = F.pmod(F.xxhash64("key"), F.ceil(F.count("*").over(Window.partitionBy("block")) / QUERIES))
     asked = visits.join(queries.select("key", "same", "unit", "least"), "key").withColumn("part", parts)
     listed = F.collect_list(F.struct("key", "same", "unit", "least")).alias("asked")
@@ -137,6 +137,8 @@ def _near(index: Cells, queries: DataFrame, visits: DataFrame, k: int | None) ->
                 dk = np.asarray(batch["keys"][n].values)
                 q, d = (np.frombuffer(b"".join(x.to_pylist()), np.float64).reshape(len(x), -1) for x in (asked.field("unit"), batch["rows"][n].values))
                 sim = q @ d.T
+                if digits is not None:
+                    sim = np.copysign(np.floor(np.abs(sim) * 10.0**digits + 0.5) / 10.0**digits, sim) + 0.0
                 out = qk[:, None] == dk[None, :]
                 if same:
                     other = batch["sames"][n].values.to_numpy(zero_copy_only=False)
@@ -178,22 +180,24 @@ def _visits(index: Cells, asked: DataFrame) -> DataFrame:
     return met.where((F.col("angle") - F.col("reach") <= F.col("high")) & (F.col("angle") + F.col("reach") >= F.col("low"))).select("key", "block")
 
 
-def top_cells(index: Cells, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", report: list | None = None) -> DataFrame:
+def top_cells(index: Cells, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", report: list | None = None, digits: int | None = None) -> DataFrame:
     """query_id, ``key``, similarity and rank of the ``k`` most alike others by exact cosine, equal ones by key; with ``same``, among those that share it.
 
+    With ``digits`` cosines count to so many places: copies of a vector, whose cosines a product may round differently, are equal then.
+
     A query's own cell is searched first; then the blocks within the angle of the k-th best there. Queries that are no usable vectors have no
     results, and vectors of other sizes are none. ``report`` gets the pairs of query and block that were visited, and how many there are.
     """
     asked = _asked(index, queries, key, vector)
     best = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")).cast("long")).where(F.col("rank") <= k)
     own = asked.join(index.blocks.select("size", "cell", "block"), ["size", "cell"]).select("key", "block")
-    first = stored(best(_near(index, asked.withColumn("least", F.lit(-1.0)), own, k)))
-    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("similarity").alias("least"))
+    first = stored(best(_near(index, asked.withColumn("least", F.lit(-1.0)), own, k, digits)))
+    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("key"), (F.col("similarity") - (0.0 if digits is None else 10.0**-digits)).alias("least"))
     known = asked.join(least, "key", "left")
     visits = stored(_visits(index, known))
     if report is not None:
         report.append((visits.count(), asked.count() * index.blocks.count()))
-    found = best(_near(index, known, visits, k))
+    found = best(_near(index, known, visits, k, digits))
     return found.select("query_id", F.col("key").alias(key), "similarity", "rank")
 
 

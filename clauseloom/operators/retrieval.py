@@ -44,9 +44,9 @@ def top(scores: DataFrame, query: str, key: str, score: str, k: int) -> DataFram
     return scores.withColumn("rank", order.cast("long")).where(F.col("rank") <= k)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None, cells: int | None = None) -> DataFrame:
-    """query_id, key, similarity and rank of the ``k`` most alike others by exact cosine; with ``same``, among those that share this column. Only cells that can hold one are searched."""
-    return top_cells(build_cells(vectors, key, vector, same, cells), queries, k, key, vector)
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None, cells: int | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, key, similarity and rank of the ``k`` most alike others by exact cosine (to ``digits`` places); with ``same``, among those that share this column. Only cells that can hold one are searched."""
+    return top_cells(build_cells(vectors, key, vector, same, cells), queries, k, key, vector, digits=digits)
 
 
 def vector_links(vectors: DataFrame, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> DataFrame:
@@ -54,13 +54,13 @@ def vector_links(vectors: DataFrame, queries: DataFrame, least: float, key: str
     return links_cells(build_cells(vectors, key, vector, None, cells), queries, least, key, vector)
 
 
-def vector_counts(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", same: str | None = None, cells: int | None = None) -> DataFrame:
+def vector_counts(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", same: str | None = None, cells: int | None = None, digits: int | None = None) -> DataFrame:
     """query_id, candidates and best: how many others each query is compared with, and the key of the most alike, the smallest of equals."""
     own = [same] if same else []
     counts = vectors.where(F.col(vector).isNotNull()).groupBy(*own, F.size(vector).alias("__size")).agg(F.count("*").alias("__n"))
     asked = queries.select(F.col(key).alias("query_id"), F.size(vector).alias("__size"), *own)
     held = asked.join(vectors.select(F.col(key).alias("query_id"), F.lit(1).alias("__self")).distinct(), "query_id", "left").join(counts, ["__size", *own])
-    best = vector_top(vectors, queries, 1, key, vector, same, cells).select("query_id", F.col(key).alias("best"))
+    best = vector_top(vectors, queries, 1, key, vector, same, cells, digits).select("query_id", F.col(key).alias("best"))
     return held.select("query_id", (F.col("__n") - F.coalesce("__self", F.lit(0))).alias("candidates")).join(best, "query_id")
 
 
