@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_list, tokens
+from .frames import slices
 from .retrieval import LIST_PIECES
 
 # Characters of a piece, of what is embedded, and of a change's text.
@@ -61,7 +62,7 @@ def pieces(clauses: DataFrame, key: str, units: str, limit: int = PIECE_CHARS) -
     kind = clauses.schema[key].dataType.simpleString()
 
     def pack(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, "units", lambda units: sum(len(u or "") for u in units)):
             rows = []
             for k, own in zip(frame["key"], frame["units"]):
                 found = pack_units([u or "" for u in own], limit)
