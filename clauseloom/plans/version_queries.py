@@ -13,7 +13,7 @@ from ..operators import history as H
 from ..operators import versions as V
 from ..operators import views as W
 from ..operators.history_store import write_store
-from ..tables import CHAIN_SQL, LINES_SQL, ensure_checkpoint_dir, table, version_chain
+from ..tables import CHAIN_SQL, LINES_SQL, ensure_checkpoint_dir, stored, table, version_chain
 from .text_queries import match_key_sql
 
 
@@ -77,7 +77,8 @@ def clause_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moved_unit_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = _chain(spark, sf_dir).select("doc_id", "version_seq", "idx", text.match_key(F.col("line")).alias("key"))
+    kept = _chain(spark, sf_dir).where(F.col("version_seq").isin(2, 3))
+    chain = stored(kept.select("doc_id", "version_seq", "idx", F.md5(text.match_key(F.col("line"))).alias("key")))  # read six times
     old, new = (chain.where(F.col("version_seq") == v).select("doc_id", "idx", "key") for v in (2, 3))
     gone = old.join(new.select("doc_id", "idx", "key"), ["doc_id", "idx", "key"], "left_anti")
     come = new.join(old.select("doc_id", "idx", "key"), ["doc_id", "idx", "key"], "left_anti")
