@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..tables import discard
 from .cells import build_cells, links_cells, top_cells
 from .postings import Postings, asked_terms, build_postings, score_all
 from .term_blocks import build_blocks, top_blocks
@@ -34,8 +35,11 @@ def bm25_index(docs: DataFrame, key: str, text: str, allowed: Column | None = No
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, allowed: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """The ``k`` best of :func:`bm25` for each query, with rank, where ``by`` names columns in each of their combinations by itself; no posting is shuffled."""
-    return top_blocks(build_blocks(docs, key, text, allowed, by), queries, query_key, query_text, k)
+    """The ``k`` best of :func:`bm25` for each query, with rank, where ``by`` names columns in each of their combinations by itself; no posting is shuffled, and the index goes when the results are written."""
+    index = build_blocks(docs, key, text, allowed, by)
+    found = top_blocks(index, queries, query_key, query_text, k)
+    discard(index.blocks)
+    return found
 
 
 def top(scores: DataFrame, query: str, key: str, score: str, k: int) -> DataFrame:
