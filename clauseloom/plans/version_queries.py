@@ -96,11 +96,10 @@ def lineage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage of each clause by its key: its first version and place in the document."""
-    chain = _chain(spark, sf_dir).select("doc_id", "version_seq", "idx", F.md5(text.match_key(F.col("line"))).alias("key"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "version_seq", "key").orderBy("idx"))
-    named = chain.withColumn("nth", nth)
-    chains = named.groupBy("doc_id", "key", "nth").agg(F.min(F.struct("version_seq", "idx")).alias("f"), F.count("*").alias("versions"))
-    return chains.select("doc_id", F.concat(F.col("f.idx").cast("string"), F.lit("@"), F.col("f.version_seq").cast("string")).alias("lineage"), "versions")
+    chain = version_chain(table(spark, sf_dir, "documents"), lambda line: F.unhex(F.md5(text.match_key(line))))
+    return V.key_lineages(chain.withColumnRenamed("line", "key"), "doc_id", "version_seq", "idx", "key").select(
+        "doc_id", F.concat(F.col("first.idx").cast("string"), F.lit("@"), F.col("first.version_seq").cast("string")).alias("lineage"), "versions"
+    )
 
 
 def score_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
