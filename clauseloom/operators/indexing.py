@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_deletion
-from ..tables import stored
 from .index_table import Table, change, rows_of
-from .retrieval import upsert_plan
 
 #: Texts of a batch, and limits of tokens that batches are padded to.
 BATCH, BUCKETS = 32, (128, 256, 512, 768, 1024)
@@ -19,18 +17,19 @@ BATCH, BUCKETS = 32, (128, 256, 512, 768, 1024)
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def embed(entries: DataFrame, text: str, embedder: Embedder, prompt: str = "", size: Callable[[str], int] = len, batch: int = BATCH) -> DataFrame:
+def embed(entries: DataFrame, text: str, embedder: Embedder, prompt: str = "", size: Callable[[str], int] = len, batch: int = BATCH, only: str | None = None) -> DataFrame:
     """``entries`` with vector. Texts go to ``embedder`` in batches of similar ``size``, each with ``prompt`` before it; queries take another prompt than documents do.
 
-    An embedder is loaded in the tasks. A vector that is zero or not finite raises.
+    An embedder is loaded in the tasks. A vector that is zero or not finite raises. With ``only``, a column, rows for which it is not true keep the vector that they have.
     """
-    names = entries.columns
+    names = [c for c in entries.columns if c != "vector"]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [prompt + (t or "") for t in frame[text]]
-            order = sorted(range(len(texts)), key=lambda n: (next((b for b in BUCKETS if b >= size(texts[n])), BUCKETS[-1]), n))
-            vectors: list = [None] * len(texts)
+            asked = range(len(texts)) if only is None else [n for n, on in enumerate(frame[only]) if on]
+            order = sorted(asked, key=lambda n: (next((b for b in BUCKETS if b >= size(texts[n])), BUCKETS[-1]), n))
+            vectors: list = [None] * len(texts) if only is None else list(frame["vector"])
             for at in range(0, len(order), batch):
                 chosen = order[at : at + batch]
                 for n, v in zip(chosen, embedder([texts[n] for n in chosen])):
@@ -39,7 +38,7 @@ def embed(entries: DataFrame, text: str, embedder: Embedder, prompt: str = "", s
                     vectors[n] = list(map(float, v))
             yield frame.assign(vector=vectors)[[*names, "vector"]]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    kinds = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in names)
     return entries.mapInPandas(run, f"{kinds}, vector array<double>")
 
 
@@ -69,30 +68,43 @@ def upsert(spark: SparkSession, wanted: DataFrame, path: str, number: int, embed
     Only texts whose hash is new are embedded; others keep their vectors and take the new metadata; entries that are no longer wanted go. Entries that
     stay as they are are not written. A step that has been made returns its counts and changes nothing; one that broke off runs anew.
     """
-    return _step(spark, stored(wanted.select("id", "embed", "embed_hash", "text", "metadata")), None, path, number, embedder)
+    return _step(spark, wanted.withColumn("deleted", F.lit(False)), True, path, number, embedder)
 
 
 def apply_changes(spark: SparkSession, changes: DataFrame, path: str, number: int, embedder: Embedder) -> DataFrame:
     """As :func:`upsert`, of ``changes`` (its columns and deleted): entries of other ids stay, and only these are looked up and written."""
-    kept = stored(changes.select("id", "embed", "embed_hash", "text", "metadata", "deleted"))
-    return _step(spark, kept.where("not deleted").drop("deleted"), kept.select("id"), path, number, embedder)
+    return _step(spark, changes, False, path, number, embedder)
 
 
-def _step(spark: SparkSession, wanted: DataFrame, ids: DataFrame | None, path: str, number: int, embedder: Embedder) -> DataFrame:
+def _said() -> Column:
+    """What an entry says besides what is embedded, as a digest."""
+    return F.unhex(F.sha2(F.to_json(F.struct("text", F.array_sort(F.map_entries("metadata")).alias("metadata"))), 256))
+
+
+def _step(spark: SparkSession, wanted: DataFrame, whole: bool, path: str, number: int, embedder: Embedder) -> DataFrame:
+    """One pass: wanted entries meet what is held, are counted, embedded where they are new, and written where they differ."""
     table = Table(spark, path)
     if number not in table.versions():
         held = rows_of(table, max((n for n in table.versions() if n < number), default=-1))
+        # a text that is embedded as it is moves once
+        embedded = F.when(~F.col("embed").eqNullSafe(F.col("text")), F.struct("embed")).alias("embed")
+        new = wanted.select("id", "deleted", embedded, "embed_hash", "text", "metadata")
         if held is None:
-            held = wanted.select("id", "embed_hash", "text", "metadata", F.array().cast("array<double>").alias("vector")).where("false")
-        held = held.select(*_COLUMNS) if ids is None else held.select(*_COLUMNS).join(ids, "id", "left_semi")
-        plan = stored(upsert_plan(held, wanted, "id", "embed_hash"))
-        of = lambda *actions: plan.where(F.col("action").isin(*actions)).select("id")
-        fresh = embed(wanted.join(of("insert", "embed"), "id", "left_semi"), "embed", embedder).select(*_COLUMNS)
-        said = lambda side: F.struct(F.col(f"{side}.text"), F.array_sort(F.map_entries(f"{side}.metadata")))
-        same = wanted.join(of("metadata"), "id", "left_semi").alias("w").join(held.alias("h"), "id").where(~said("w").eqNullSafe(said("h")))
-        same = same.select("id", *(F.col(f"w.{c}") for c in _COLUMNS[1:-1]), "h.vector")
-        rows = fresh.unionByName(same).withColumn("deleted", F.lit(False)).unionByName(of("delete").withColumn("deleted", F.lit(True)), allowMissingColumns=True)
-        change(table, number, rows, {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()})
+            met = new.withColumns({"old_hash": F.lit(None).cast("string"), "said": F.lit(None).cast("binary"), "vector": F.lit(None).cast("array<double>"), "held": F.lit(False)})
+        else:
+            old = held.select("id", F.col("embed_hash").alias("old_hash"), _said().alias("said"), "vector", F.lit(True).alias("held"))
+            met = new.join(old, "id", "full_outer" if whole else "left")
+        gone, was = F.coalesce("deleted", F.lit(True)), F.coalesce("held", F.lit(False))
+        action = F.when(gone & was, "delete").when(~gone & ~was, "insert").when(~gone & ~F.col("embed_hash").eqNullSafe(F.col("old_hash")), "embed").when(~gone, "metadata")
+        seen = Observation()
+        acts = ("delete", "embed", "insert", "metadata")
+        named = met.withColumn("action", action).observe(seen, *(F.count(F.when(F.col("action") == a, 1)).alias(a) for a in acts))
+        fresh = F.col("action").isin("insert", "embed")
+        rows = named.where(fresh | (F.col("action") == "delete") | ((F.col("action") == "metadata") & ~_said().eqNullSafe(F.col("said"))))
+        kept = lambda c: F.when(F.col("action") != "delete", F.col(c)).alias(c)
+        texts = F.when(F.col("embed").isNull(), F.col("text")).otherwise(F.col("embed.embed")).alias("embed")
+        ready = rows.select("id", *map(kept, _COLUMNS[1:]), (F.col("action") == "delete").alias("deleted"), F.when(fresh, texts).alias("embed"), fresh.alias("fresh"))
+        change(table, number, embed(ready, "embed", embedder, only="fresh").select(*_COLUMNS, "deleted"), lambda: {a: n for a, n in seen.get.items() if n})
     return spark.createDataFrame(sorted(table.manifest(number)["counts"].items()), "action string, ids long")
 
 

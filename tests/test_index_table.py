@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from clauseloom import tables
 from clauseloom.operators import index_table as T
 from clauseloom.operators import indexing as I
 
@@ -89,3 +90,14 @@ def test_compaction_keeps_rows_and_numbers(spark, tmp_path):
     I.apply_changes(spark, wanted(spark, {"e9": ("new", "g")}).selectExpr("*", "false as deleted"), path, 4, lengths)
     assert held(spark, path) == before | {"e9": ("new", "g", 3.0)}
     assert T.Table(spark, str(tmp_path / "none")).versions() == [] and I.read_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_step_writes_the_index_alone_and_reads_what_is_asked_for(spark, tmp_path, monkeypatch):
+    path, written = str(tmp_path / "index"), []
+    monkeypatch.setattr(tables, "stored", lambda df: written.append(df) or df)
+    monkeypatch.setattr(I, "stored", tables.stored, raising=False)
+    I.upsert(spark, wanted(spark, {"a": ("one", "g"), "b": ("two", "g"), "c": ("", "g")}), path, 0, lambda texts: [[1.0, 1.0]] * len(texts))
+    I.upsert(spark, wanted(spark, {"a": ("one", "h"), "b": ("two", "g")}), path, 1, broken)
+    assert not written and {i: (t, g) for i, (t, g, _) in held(spark, path).items()} == {"a": ("one", "h"), "b": ("two", "g")}
+    plan = I.read_index(spark, path).select("id", "vector")._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "metadata:map" not in plan
