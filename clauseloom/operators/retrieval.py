@@ -34,10 +34,10 @@ def bm25_index(docs: DataFrame, key: str, text: str, allowed: Column | None = No
     return build_postings(docs.withColumn("__on", F.coalesce(allowed, F.lit(False))), key, text, ("__on",)), F.col("__on")
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, allowed: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """The ``k`` best of :func:`bm25` for each query, with rank, where ``by`` names columns in each of their combinations by itself; no posting is shuffled, and the index goes when the results are written."""
+def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, allowed: Column | None = None, by: tuple[str, ...] = (), among: str | None = None) -> DataFrame:
+    """The ``k`` best of :func:`bm25` for each query, with rank, where ``by`` names columns in each of their combinations by itself, or, with ``among`` (a column of ``queries``, see :func:`top_blocks`), in all of certain combinations together; no posting is shuffled, and the index goes when the results are written."""
     index = build_blocks(docs, key, text, allowed, by)
-    found = top_blocks(index, queries, query_key, query_text, k)
+    found = top_blocks(index, queries, query_key, query_text, k, among=among)
     discard(index.blocks)
     return found
 
