@@ -72,7 +72,7 @@ def exact_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clause_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full diff of consecutive versions with modified and moved clauses; counts by version and kind."""
-    chain = _chain(spark, sf_dir).select("doc_id", "version_seq", "idx", text.match_key(F.col("line")).alias("key"), F.lit("").alias("title"))
+    chain = version_chain(table(spark, sf_dir, "documents"), text.match_key).select("doc_id", "version_seq", "idx", F.col("line").alias("key"), F.lit("").alias("title"))
     return C.clause_changes(chain).groupBy("version_seq", "change_type").agg(F.count("*").alias("changes"), F.round(F.avg("similarity"), 6).alias("similarity"))
 
 
